@@ -54,9 +54,9 @@ def nearest_trade_days(days: DataFrame, calendar: DataFrame, day: str) -> DataFr
         calendar.select(F.col("dt").alias(day), F.col("dt").alias("_t"))
     ).groupBy(day).agg(F.max("_t").alias("_t"), F.max(F.col("_t").isNull()).alias("_asked"))
     back = Window.partitionBy(F.lit(1)).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(F.lit(1)).orderBy(day).rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(F.lit(1)).orderBy(F.desc(day)).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumns({
-        "start_dt": F.first("_t", ignorenulls=True).over(ahead),
+        "start_dt": F.last("_t", ignorenulls=True).over(ahead),
         "end_dt": F.last("_t", ignorenulls=True).over(back),
     }).where("_asked").drop("_t", "_asked")
 

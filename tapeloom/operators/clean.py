@@ -129,10 +129,15 @@ def flatten(df: DataFrame) -> DataFrame:
 def fill_both_ways(
     df: DataFrame, columns: Sequence[str], inst: str = "inst", dt: str = "dt", default: float | None = None
 ) -> DataFrame:
-    """Forward fill, then backward fill, then ``default``, per instrument by day."""
+    """Forward fill, then backward fill, then ``default``, per instrument by day.
+
+    After the forward fill only leading gaps are left, and for those the next value is
+    the first known one of the instrument: a whole-partition frame, linear in its rows,
+    where a frame that looks ahead would be quadratic.
+    """
     w = Window.partitionBy(inst).orderBy(dt)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    ahead = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = {}
     for c in columns:
         parts = [F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)]

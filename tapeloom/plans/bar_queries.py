@@ -234,7 +234,7 @@ def _(t):
 
 
 @query("x11_base_price_scaling", with_frames(
-    """SELECT inst, CAST(dt AS VARCHAR) AS dt, round(v_open, 6) AS open, round(v_close, 6) AS close, round(v_volume, 3) AS volume, round(v_adj, 9) AS adjclose FROM (
+    """SELECT inst, CAST(dt AS VARCHAR) AS dt, round(v_open, 6) AS open, round(v_close, 6) AS close, round(v_volume, 6) AS volume, round(v_adj, 9) AS adjclose FROM (
  SELECT inst, dt, """ + ", ".join(
         f"""coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY inst ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
  first_value({c} IGNORE NULLS) OVER (PARTITION BY inst ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1e-12) AS v_{c}"""
@@ -247,4 +247,4 @@ def _(t):
 def _(t):
     panel = t.daily().select("inst", "dt", "open", "high", "low", "close", "volume", "amount", "open_interest")
     out = B.normalize_panel(panel, t.calendar(), t.multiplier())
-    return out.select("inst", day(), rnd("open"), rnd("close"), rnd("volume", 3), rnd("adjclose", 9))
+    return out.select("inst", day(), rnd("open"), rnd("close"), rnd("volume"), rnd("adjclose", 9))

@@ -75,7 +75,8 @@ class Tables:
             F.col("l_suppkey").alias("inst"),
             F.to_date("l_shipdate").alias("dt"),
             *BAR_ORDER,
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"),
+            # four decimals, cut the same way in SQL, so that sums of prices agree
+            (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 10000) / 10000.0).alias("p"),
             F.col("l_quantity").alias("q"),
             F.col("l_extendedprice").alias("a"),
             F.col("l_returnflag").alias("dominant_id"),
@@ -110,7 +111,8 @@ class Tables:
     def index(self) -> DataFrame:
         """Mean close and total volume per day."""
         return self.daily().groupBy("dt").agg(
-            F.round(F.avg("close"), 6).alias("close"), F.sum("volume").alias("volume")
+            (F.sum(F.round(F.col("close") * 10000).cast("long")) / (F.count(F.lit(1)) * 10000.0)).alias("close"),
+            F.sum("volume").alias("volume"),
         )
 
     def industry(self) -> DataFrame:
@@ -213,7 +215,7 @@ _CTE: dict[str, tuple[list[str], str]] = {
         value + 1 AS high, greatest(value - 1, 0.0) AS low, value AS close, CAST(user_id + 1 AS DOUBLE) AS volume,
         value * (user_id + 1) AS amount, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS num_trades FROM events"""),
     "ticks": ([], """SELECT l_suppkey AS inst, CAST(l_shipdate AS DATE) AS dt, l_orderkey, l_partkey, l_linenumber,
-        l_extendedprice / l_quantity AS p, l_quantity AS q, l_extendedprice AS a, l_returnflag AS dominant_id,
+        floor(l_extendedprice / l_quantity * 10000) / 10000.0::DOUBLE AS p, l_quantity AS q, l_extendedprice AS a, l_returnflag AS dominant_id,
         CAST(l_partkey + 1 AS DOUBLE) AS oi,
         row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey, l_partkey, l_linenumber) AS rn,
         row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey DESC, l_partkey DESC, l_linenumber DESC) AS rv
@@ -230,7 +232,7 @@ _CTE: dict[str, tuple[list[str], str]] = {
         CAST(num_trades - 1 AS DOUBLE) AS roll_count FROM daily"""),
     "calendar": ([], """SELECT dt, row_number() OVER (ORDER BY dt) AS idx FROM
         (SELECT DISTINCT CAST(l_shipdate AS DATE) AS dt FROM lineitem)"""),
-    "index_bars": (["daily"], """SELECT dt, round(avg(close), 6) AS close, sum(volume) AS volume FROM daily GROUP BY dt"""),
+    "index_bars": (["daily"], """SELECT dt, sum(CAST(round(close * 10000) AS BIGINT)) / (count(*) * 10000.0::DOUBLE) AS close, sum(volume) AS volume FROM daily GROUP BY dt"""),
     "industry": ([], """SELECT s_suppkey AS inst, CAST(n_nationkey AS BIGINT) AS industry, CAST(n_regionkey AS BIGINT) AS sector
         FROM supplier JOIN nation ON s_nationkey = n_nationkey"""),
     "multiplier": ([], """SELECT s_suppkey AS inst, CAST(1 + s_suppkey % 5 AS DOUBLE) AS contract_multiplier
