@@ -219,7 +219,7 @@ family("f15_turnover_momentum", X.turnover_momentum, {
 @query("f09_market_block", with_frames(
     "SELECT CAST(dt AS VARCHAR) AS dt, count(*) AS names, " + ", ".join(
         f'round(max({e}), 8) AS "{n}"' for n, e in ({"IDX_RET": "r0"} | {
-            k: v for d in X.WINDOWS for k, v in {f"IDX_RET_MEAN_{d}": f"rm{d}", f"IDX_RET_STD_{d}": f"rs{d}", f"IDX_VOL_MEAN_{d}": f"vm{d}", f"IDX_VOL_STD_{d}": f"vs{d}"}.items()}).items())
+            k: v for d in X.WINDOWS for k, v in {f"IDX_RET_MEAN_{d}": f"rm{d}", f"IDX_RET_STD_{d}": f"rs{d}", f"IDX_VOL_MEAN_{d}": f"ln(vm{d})", f"IDX_VOL_STD_{d}": f"vs{d}"}.items()}).items())
     + " FROM daily JOIN m USING (dt) GROUP BY dt", "daily", "index_bars", m0=_IDX,
     m="SELECT dt, m_ret AS r0, " + ", ".join(
         f"avg(m_ret) {o} AS rm{d}, stddev_samp(m_ret) {o} AS rs{d}, avg(mv) {o} / mv AS vm{d}, stddev_samp(mv) {o} / mv AS vs{d}"
@@ -227,7 +227,7 @@ family("f15_turnover_momentum", X.turnover_momentum, {
 def _(t):
     rows = X.mask(t.ticks().select("inst", "dt").distinct(), X.market_block(t.index(), "IDX"))
     names = [c for c in rows.columns if c.startswith("IDX")]
-    return rows.groupBy("dt").agg(F.count(F.lit(1)).alias("names"), *[F.round(F.max(c), 8).alias(c) for c in names]).select(day(), "names", *names)
+    return rows.groupBy("dt").agg(F.count(F.lit(1)).alias("names"), *[F.round(F.max(F.ln(c) if "VOL_MEAN" in c else c), 8).alias(c) for c in names]).select(day(), "names", *names)
 
 
 @query("f16_illiquidity", family_sql(
@@ -297,7 +297,14 @@ def _(t):
     return wide.select("inst", day(), *[F.round(c, 9).alias(c) for c in X.fundamental_columns(wide)])
 
 
-family("f22_valuation_over_volume", X.valuation_over_volume, {"PB_OVER_VOLUME": "pb / volume", "PE_OVER_VOLUME": "pe_ttm / volume"}, digits=9)
+
+
+@query("f22_valuation_over_volume", with_frames(
+    "SELECT inst, CAST(dt AS VARCHAR) AS dt, round(ln(pb / volume), 8) AS pb_log, round(ln(pe_ttm / volume), 8) AS pe_log FROM daily_plus", "daily_plus"))
+def _(t):
+    out = X.build(t.daily_plus(), X.valuation_over_volume(X.Stage()))
+    return out.select("inst", day(), F.round(F.ln("PB_OVER_VOLUME"), 8).alias("pb_log"), F.round(F.ln("PE_OVER_VOLUME"), 8).alias("pe_log"))
+
 
 
 @query("f00_futures_set", None)
