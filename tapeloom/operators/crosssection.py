@@ -108,6 +108,21 @@ def previous_close(x="close") -> Column:
     return F.coalesce(W.ref(x, 1), F.col(x))
 
 
+def _field(name: str):
+    return lambda r: r[name]
+
+
+def _known_at(values: Column):
+    """Value at place i, else the last known before it, else the first known after it."""
+
+    def at(i: Column) -> Column:
+        known = F.filter(F.slice(values, 1, i + 1), lambda v: v.isNotNull())
+        later = F.filter(values, lambda v: v.isNotNull())
+        return F.coalesce(F.try_element_at(known, F.lit(-1)), F.try_element_at(later, F.lit(1)))
+
+    return at
+
+
 def lookback_tensor(df: DataFrame, features: Sequence[str], steps: int = 8, out: str = "tensor", pad: str = "zero") -> DataFrame:
     """Last ``steps`` rows of the features per (inst, dt) as an array of arrays.
 
@@ -126,14 +141,8 @@ def lookback_tensor(df: DataFrame, features: Sequence[str], steps: int = 8, out:
         F.array_repeat(F.element_at("_seen", 1), F.lit(steps) - F.size("_seen")), F.col("_seen")))
     filled = {}
     for c in features:
-        values = F.transform(F.col("_seen"), lambda r, c=c: r[c])
-
-        def at(i: Column, values=values) -> Column:
-            known = F.filter(F.slice(values, 1, i + 1), lambda v: v.isNotNull())
-            later = F.filter(values, lambda v: v.isNotNull())
-            return F.coalesce(F.try_element_at(known, F.lit(-1)), F.try_element_at(later, F.lit(1)))
-
-        filled[f"_v_{c}"] = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), at)
+        values = F.transform(F.col("_seen"), _field(c))
+        filled[f"_v_{c}"] = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), _known_at(values))
     rows = rows.withColumns(filled)
     row = F.transform(
         F.sequence(F.lit(1), F.lit(steps)), lambda i: F.array(*[F.element_at(F.col(f"_v_{c}"), i) for c in features])

@@ -22,14 +22,15 @@ def daily_rank_ic(
 ) -> DataFrame:
     """Spearman correlation of ``x`` and ``y`` per group, with the usable share of its rows.
 
-    Groups need ``min_names`` pairs and more than one distinct value on both sides.
+    Groups need ``min_names`` pairs and more than one distinct value on both sides. The
+    value is rounded to 12 places, so that a true zero has no stray sign.
     """
     by = list(by)
     usable = F.col(x).isNotNull() & F.col(y).isNotNull()
     pairs = long.where(usable)
     pairs = with_ranks(pairs, by, x, avg="_rx", split=split)
     pairs = with_ranks(pairs, by, y, avg="_ry", split=split)
-    ic = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("names"), correlation("_rx", "_ry").alias("rank_ic"))
+    ic = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("names"), F.round(correlation("_rx", "_ry"), 12).alias("rank_ic"))
     ic = ic.where((F.col("names") >= min_names) & F.col("rank_ic").isNotNull())
     size = long.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
     return ic.join(size, by).select(*by, "names", "rank_ic", (F.col("names") / F.col("_all")).alias("coverage"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.stats import ratio
+from tapeloom.operators.clean import lookup
 from tapeloom.scale import group_limit, per_group, quantiles, row_numbers, with_ranks
 from tapeloom.session import materialize
 
@@ -24,6 +25,16 @@ FINAL_WEIGHTS = {
     "max_drawdown": 0.2, "annual_return": 0.1, "winning_rate_cumulant": 0.15, "Test_IC": 0.1, "Test_ICIR": 0.05,
     "sharpe": 0.1, "information_ratio": 0.05, "annual_turnover": -0.05, "volatility": -0.15,
 }
+# Labels and advised use of the seed classes, as published (fixed values).
+SEED_CLASSES = {
+    "scalpel": ("手术刀型", "仅用于 Ensemble（小权重）"),
+    "workhorse": ("老黄牛型", "主力模型 / 核心仓位"),
+    "swiss_knife": ("瑞士军刀型", "单模型或 Ensemble 核心"),
+    "lottery": ("彩票型", "研究用途，不回测"),
+    "blunt_knife": ("钝刀型", "稳定器 / 风控辅助"),
+    "paper_knife": ("纸糊刀型", "淘汰"),
+    "unclassified": ("未分类", "人工复核"),
+}
 MAXIMIZE = ["annual_return", "max_drawdown", "sharpe", "information_ratio", "alpha", "winning_rate_cumulant",
             "Test_IC", "Test_ICIR", "Test_RIC", "Test_RICIR"]
 MINIMIZE = ["annual_turnover", "volatility"]
@@ -62,7 +73,7 @@ def seed_score(weights: Mapping[str, float] = SEED_WEIGHTS, overfit: float = OVE
 
 
 def seed_class() -> Column:
-    """Seven ordered classes of a seed; bounds are fixed values, names are ours in English."""
+    """Seven ordered classes of a seed; bounds are fixed values. See ``seed_class_labels``."""
     mr, cv, top, gap = (F.col(c) for c in ("mean_rankicir", "cv_rankicir", "top_rankicir_mean", "overfit_gap"))
     return (
         F.when((top > 0.7) & (cv > 0.6), "scalpel")
@@ -75,6 +86,13 @@ def seed_class() -> Column:
     )
 
 
+def seed_class_labels(c: Column) -> dict[str, Column]:
+    return {
+        "SeedType": lookup(c, {k: v[0] for k, v in SEED_CLASSES.items()}),
+        "RecommendedUsage": lookup(c, {k: v[1] for k, v in SEED_CLASSES.items()}),
+    }
+
+
 def parameter_means(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Means per value of each parameter in turn, all in one grouping-sets pass."""
     won = F.col("qlib_annual_excess_return") > 0

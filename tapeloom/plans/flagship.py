@@ -42,6 +42,6 @@ FLAGSHIP_SQL = with_frames(
  round(lead(close, 5) OVER w / lead(close, 1) OVER w - 1, 8) AS label FROM daily WINDOW w AS (PARTITION BY inst ORDER BY dt)""",
     long="SELECT inst, dt, label, unnest(['MA_5', 'STD_5']) AS factor, unnest([ma, sd]) AS x FROM panel",
     ranks=RANKS.format(src="long"),
-    ic="""SELECT dt, factor, corr(rx, ry) AS rank_ic FROM ranks GROUP BY dt, factor
+    ic="""SELECT dt, factor, round(corr(rx, ry), 12) AS rank_ic FROM ranks GROUP BY dt, factor
  HAVING count(*) >= 10 AND min(rx) < max(rx) AND min(ry) < max(ry)""",
 )

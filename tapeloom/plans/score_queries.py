@@ -13,9 +13,10 @@ from tapeloom.plans.bar_queries import day, rnd
 from tapeloom.plans.flagship import RANKS
 from tapeloom.plans.frames import FACTORS, with_frames
 from tapeloom.plans.registry import query
+from tapeloom.scale import group_limit, quantiles, with_ranks
 
 L = {"ranks": RANKS.format(src="factor_long"),
-     "ic": """SELECT dt, factor, corr(rx, ry) AS rank_ic, count(*) AS names, count(*) / any_value(n_all)::DOUBLE AS coverage FROM ranks
+     "ic": """SELECT dt, factor, round(corr(rx, ry), 12) AS rank_ic, count(*) AS names, count(*) / any_value(n_all)::DOUBLE AS coverage FROM ranks
  JOIN (SELECT dt, factor, count(*) AS n_all FROM factor_long GROUP BY dt, factor) USING (dt, factor) GROUP BY dt, factor
  HAVING count(*) >= 10 AND min(rx) < max(rx) AND min(ry) < max(ry)"""}
 
@@ -172,23 +173,17 @@ def _(t):
 
 
 # --- A50-A64 -------------------------------------------------------------------------
-_SEED = {"o": """SELECT *, row_number() OVER (PARTITION BY seed ORDER BY rankicir DESC, epoch) AS best, row_number() OVER (PARTITION BY seed ORDER BY epoch) AS at,
+_SEED = {"o": """SELECT *, row_number() OVER (PARTITION BY seed ORDER BY rankicir DESC, epoch) AS best, row_number() OVER (PARTITION BY seed ORDER BY epoch) AS pl,
  count(*) OVER (PARTITION BY seed) AS n FROM epochs""",
          "m": """SELECT seed, avg(rankicir) AS mean_rankicir, stddev_samp(rankicir) AS std_rankicir, stddev_samp(rankicir) / (abs(avg(rankicir)) + 1e-6) AS cv_rankicir,
  avg(icir) AS mean_icir, avg(rankic) AS mean_rankic, avg(ic) AS mean_ic, avg(rankicir) FILTER (best <= greatest(1, floor(n * 0.2))) AS top_rankicir_mean,
- avg(rankicir) FILTER (at <= n // 2) AS early_rankicir, avg(rankicir) FILTER (at > n // 2) AS late_rankicir FROM o GROUP BY seed""",
+ avg(rankicir) FILTER (pl <= n // 2) AS early_rankicir, avg(rankicir) FILTER (pl > n // 2) AS late_rankicir FROM o GROUP BY seed""",
          "mm": "SELECT *, early_rankicir - late_rankicir AS overfit_gap FROM m"}
 _SEEDC = ["mean_rankicir", "std_rankicir", "cv_rankicir", "mean_icir", "mean_rankic", "mean_ic", "top_rankicir_mean", "early_rankicir", "late_rankicir", "overfit_gap"]
 
 
 def seeds(t):
-    return runs.seed_metrics(t.epochs(), split=t.size("orders", "o_custkey") > int(1e6) or t.size("orders", "o_custkey") > _limit(t))
-
-
-def _limit(t):
-    from tapeloom.scale import group_limit
-
-    return group_limit(t.spark)
+    return runs.seed_metrics(t.epochs(), split=t.size("orders", "o_custkey") > group_limit(t.spark))
 
 
 @query("a50_seed_metrics", with_frames("SELECT seed, " + ", ".join(f"round({c}, 6) AS {c}" for c in _SEEDC) + " FROM mm", "epochs", **_SEED))
@@ -289,14 +284,10 @@ def _(t):
     """SELECT seed, CAST(dt AS VARCHAR) AS dt, round(avg(CASE WHEN score > 0.5 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS positive_ratio, round(median(score), 8) AS score_median
  FROM scores GROUP BY seed, dt""", "scores"))
 def _(t):
-    from tapeloom.scale import quantiles
-
     s = t.scores()
     share = s.groupBy("seed", "dt").agg(F.avg((F.col("score") > 0.5).cast("double")).alias("positive_ratio"))
-    return rnds(share.join(quantiles(s, ["seed", "dt"], "score", {"score_median": 0.5}, t.wide_days()), ["seed", "dt"]),
-                ["seed", day()], F.col("positive_ratio"), n=6) if False else share.join(
-        quantiles(s, ["seed", "dt"], "score", {"score_median": 0.5}, t.wide_days()), ["seed", "dt"]).select(
-        "seed", day(), rnd("positive_ratio"), rnd("score_median", 8))
+    med = quantiles(s, ["seed", "dt"], "score", {"score_median": 0.5}, t.wide_days())
+    return share.join(med, ["seed", "dt"]).select("seed", day(), rnd("positive_ratio"), rnd("score_median", 8))
 
 
 @query("a62_best_epochs", with_frames("SELECT seed, " + ", ".join(
@@ -323,10 +314,7 @@ def _(t):
 
 
 # --- X -------------------------------------------------------------------------------
-TRAIN_END, VALID_END = "1998-12-31", "2000-06-30"
-_RZ = """SELECT inst, CAST(dt AS VARCHAR) AS dt, """ + ", ".join(
-    f"round(greatest(-3, least(3, ({c} - m_{c}) / (d_{c} * 1.4826 + 1e-12))), 6) AS {c}" for c in ("f_ma5", "f_vol"))
-
+TRAIN_END = "1998-12-31"
 
 @query("x01_robust_zscore", with_frames(
     "SELECT inst, CAST(dt AS VARCHAR) AS dt, " + ", ".join(
@@ -412,8 +400,6 @@ def _(t):
 
 @query("x16_dense_rank", with_frames('SELECT "Step", dense_rank() OVER (ORDER BY sharpe) AS sharpe_rank, dense_rank() OVER (ORDER BY annual_return) AS annual_return_rank FROM runs', "runs"))
 def _(t):
-    from tapeloom.scale import with_ranks
-
     df = t.runs().select("Step", "sharpe", "annual_return")
     for c in ("sharpe", "annual_return"):
         df = with_ranks(df, [], c, dense=f"{c}_rank", split=t.big("part"))
@@ -423,8 +409,6 @@ def _(t):
 @query("x17_percent_rank", with_frames(
     'SELECT "Step", round((rank() OVER (ORDER BY sharpe) + (count(*) OVER (PARTITION BY sharpe) - 1) / 2.0) / count(*) OVER (), 8) AS sharpe_pct FROM runs', "runs"))
 def _(t):
-    from tapeloom.scale import with_ranks
-
     return with_ranks(t.runs().select("Step", "sharpe"), [], "sharpe", pct="p", split=t.big("part")).select("Step", F.round("p", 8).alias("sharpe_pct"))
 
 
