@@ -108,21 +108,6 @@ def previous_close(x="close") -> Column:
     return F.coalesce(W.ref(x, 1), F.col(x))
 
 
-def _field(name: str):
-    return lambda r: r[name]
-
-
-def _known_at(values: Column):
-    """Value at place i, else the last known before it, else the first known after it."""
-
-    def at(i: Column) -> Column:
-        known = F.filter(F.slice(values, 1, i + 1), lambda v: v.isNotNull())
-        later = F.filter(values, lambda v: v.isNotNull())
-        return F.coalesce(F.try_element_at(known, F.lit(-1)), F.try_element_at(later, F.lit(1)))
-
-    return at
-
-
 def lookback_tensor(df: DataFrame, features: Sequence[str], steps: int = 8, out: str = "tensor", pad: str = "zero") -> DataFrame:
     """Last ``steps`` rows of the features per (inst, dt) as an array of arrays.
 
@@ -136,15 +121,13 @@ def lookback_tensor(df: DataFrame, features: Sequence[str], steps: int = 8, out:
         rows = df.withColumn("_seen", seen)
         missing = F.lit(steps) - F.size("_seen")
         return rows.withColumn(out, F.concat(F.array_repeat(zero, missing), F.col("_seen"))).drop("_seen")
-    rows = df.withColumn("_seen", F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in features])).over(w))
-    rows = rows.withColumn("_seen", F.concat(
-        F.array_repeat(F.element_at("_seen", 1), F.lit(steps) - F.size("_seen")), F.col("_seen")))
-    filled = {}
-    for c in features:
-        values = F.transform(F.col("_seen"), _field(c))
-        filled[f"_v_{c}"] = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), _known_at(values))
-    rows = rows.withColumns(filled)
-    row = F.transform(
-        F.sequence(F.lit(1), F.lit(steps)), lambda i: F.array(*[F.element_at(F.col(f"_v_{c}"), i) for c in features])
-    )
-    return rows.withColumn(out, row).drop("_seen", *filled)
+    # step i of a feature: its own value, else the nearest earlier, else the nearest later
+    steps_back = range(steps - 1, -1, -1)
+    lags = {f"_{c}_{k}": F.col(c).cast("double") if k == 0 else W.ref(c, k).cast("double") for c in features for k in steps_back}
+
+    def step(c: str, k: int) -> Column:
+        nearest = [*range(k, steps), *range(k - 1, -1, -1)]
+        return F.coalesce(*[F.col(f"_{c}_{n}") for n in nearest])
+
+    row = F.array(*[F.array(*[step(c, k) for c in features]) for k in steps_back])
+    return df.withColumns(lags).withColumn(out, row).drop(*lags)

@@ -28,9 +28,9 @@ def daily_rank_ic(
     by = list(by)
     usable = F.col(x).isNotNull() & F.col(y).isNotNull()
     pairs = long.where(usable)
-    pairs = with_ranks(pairs, by, x, avg="_rx", split=split)
-    pairs = with_ranks(pairs, by, y, avg="_ry", split=split)
-    ic = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("names"), F.round(correlation("_rx", "_ry"), 12).alias("rank_ic"))
+    ranked = with_ranks(pairs, by, x, avg="_rx", split=split)
+    ranked = with_ranks(ranked, by, y, avg="_ry", split=split, source=pairs)
+    ic = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("names"), F.round(correlation("_rx", "_ry"), 12).alias("rank_ic"))
     ic = ic.where((F.col("names") >= min_names) & F.col("rank_ic").isNotNull())
     size = long.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
     return ic.join(size, by).select(*by, "names", "rank_ic", (F.col("names") / F.col("_all")).alias("coverage"))
@@ -42,9 +42,9 @@ def daily_ic(
     """Pearson ``ic`` and Spearman ``ric`` of a score per group; null where a side is constant."""
     by = list(by)
     pairs = scored.where(F.col(pred).isNotNull() & F.col(label).isNotNull())
-    pairs = with_ranks(pairs, by, pred, avg="_rp", split=split)
-    pairs = with_ranks(pairs, by, label, avg="_rl", split=split)
-    return pairs.groupBy(*by).agg(correlation(pred, label).alias("ic"), correlation("_rp", "_rl").alias("ric"))
+    ranked = with_ranks(pairs, by, pred, avg="_rp", split=split)
+    ranked = with_ranks(ranked, by, label, avg="_rl", split=split, source=pairs)
+    return ranked.groupBy(*by).agg(correlation(pred, label).alias("ic"), correlation("_rp", "_rl").alias("ric"))
 
 
 def model_summary(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -45,10 +45,10 @@ def seed_metrics(epochs: DataFrame, seed: str = "seed", epoch: str = "epoch", to
 
     Positions inside a seed come from ``row_numbers``, so a seed of any length is fine.
     """
+    epochs = epochs.withColumn("_e", F.col(epoch).cast("double"))
     rows = per_group(epochs, [seed], F.count(F.lit(1)).alias("_n"))
-    rows = row_numbers(rows, [seed], "rankicir", epoch, "_best", split, ascending=False)
-    rows = rows.withColumn("_e", F.col(epoch).cast("double"))
-    rows = row_numbers(rows, [seed], "_e", epoch, "_at", split)
+    rows = row_numbers(rows, [seed], "rankicir", epoch, "_best", split, ascending=False, source=epochs)
+    rows = row_numbers(rows, [seed], "_e", epoch, "_at", split, source=epochs)
     r, mid = F.col("rankicir"), F.floor(F.col("_n") / 2)
     top = F.greatest(F.lit(1), F.floor(F.col("_n") * top_ratio))
     mean = F.avg(r)
@@ -281,9 +281,9 @@ def pareto_front(df: DataFrame, maximize: Sequence[str], minimize: Sequence[str]
 
 def composite_rank(df: DataFrame, weights: Mapping[str, float] = FINAL_WEIGHTS, split: bool = False) -> DataFrame:
     """Weighted sum of average percent ranks."""
-    total = F.lit(0.0)
+    total, source = F.lit(0.0), df
     for i, (c, w) in enumerate(weights.items()):
-        df = with_ranks(df, [], c, pct=f"_pct{i}", split=split)
+        df = with_ranks(df, [], c, pct=f"_pct{i}", split=split, source=source)
         total = total + F.col(f"_pct{i}") * w
     return df.withColumn("final_score", total).drop(*[f"_pct{i}" for i in range(len(weights))])
 

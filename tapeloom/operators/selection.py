@@ -210,9 +210,14 @@ def sorted_report(report: DataFrame) -> DataFrame:
 
 
 def factor_report(panel: DataFrame, factors: Sequence[str], min_names: int = 10, split: bool = False, big: bool = False) -> DataFrame:
-    """The whole report of one factor panel (inst, dt, label, factors): health, rank IC, stability."""
+    """The whole report of one factor panel (inst, dt, label, factors): health, rank IC, stability.
+
+    The panel is written out first: seven aggregates read it, and none should build the
+    rolling features again.
+    """
     from tapeloom.operators import health, ranking
 
+    panel = materialize(panel.select("inst", "dt", "label", *factors), "panel")
     long = ranking.to_long(panel, factors)
     x = F.col("x")
     base = long.groupBy("factor").agg(

@@ -52,9 +52,9 @@ def _(t):
     return book.affordable(book.top_n(rows, 10), 1_000_000.0).select("inst", day(), F.col("names").cast("long").alias("names"), "lots")
 
 
-@query("b04_cost_with_floor", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(floor(l_extendedprice) * 0.0005, 5.0), 2) AS cost FROM lineitem")
+@query("b04_cost_with_floor", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(l_extendedprice * 0.00031, 5.0), 2) AS cost FROM lineitem")
 def _(t):
-    return t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", book.cost(F.floor("l_extendedprice"), 0.0005, 5.0).alias("cost"))
+    return t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", book.cost(F.col("l_extendedprice"), 0.00031, 5.0).alias("cost"))
 
 
 @query("b05_stop_flag", with_frames(
@@ -64,21 +64,21 @@ def _(t):
 
 
 # a trade per (inst, day): bought three rows ago, sold now, a hundred pieces
-_TRADES = """SELECT *, (close - buy) * 100 - bc - sc AS profit FROM (SELECT *, round(greatest(buy * 100 * 0.0005, 5.0::DOUBLE), 2) AS bc, round(greatest(close * 100 * 0.0015, 5.0::DOUBLE), 2) AS sc
+_TRADES = """SELECT *, (close - buy) * 100 - bc - sc AS profit FROM (SELECT *, round(greatest(buy * 100 * 0.00031, 5.0::DOUBLE), 2) AS bc, round(greatest(close * 100 * 0.00131, 5.0::DOUBLE), 2) AS sc
  FROM (SELECT inst, dt, close, lag(close, 3) OVER (PARTITION BY inst ORDER BY dt) AS buy FROM daily)) WHERE buy IS NOT NULL"""
 
 
 def trades(t):
     rows = t.daily().select("inst", "dt", "close", W.ref("close", 3).alias("buy")).where(F.col("buy").isNotNull())
     v = F.lit(100)
-    rows = rows.withColumns({"bc": book.cost(F.col("buy") * v, 0.0005, 5.0), "sc": book.cost(F.col("close") * v, 0.0015, 5.0)})
+    rows = rows.withColumns({"bc": book.cost(F.col("buy") * v, 0.00031, 5.0), "sc": book.cost(F.col("close") * v, 0.00131, 5.0)})
     return rows.withColumns(book.trade_profit(F.col("buy"), F.col("close"), v, F.col("bc"), F.col("sc"), F.lit(3)))
 
 
 @query("b06_trade_profit", with_frames(
-    f"SELECT inst, {D}, round(profit, 1) AS sell_profit, round(profit / (buy * 100 + bc), 5) AS sell_profit_rate, round(profit / (buy * 100 + bc) / 3, 5) AS sell_profit_rate_daily FROM tr", "daily", tr=_TRADES))
+    f"SELECT inst, {D}, round(profit, 4) AS sell_profit, round(profit / (buy * 100 + bc), 5) AS sell_profit_rate, round(profit / (buy * 100 + bc) / 3, 5) AS sell_profit_rate_daily FROM tr", "daily", tr=_TRADES))
 def _(t):
-    return trades(t).select("inst", day(), rnd("sell_profit", 1), rnd("sell_profit_rate", 5), rnd("sell_profit_rate_daily", 5))
+    return trades(t).select("inst", day(), rnd("sell_profit", 4), rnd("sell_profit_rate", 5), rnd("sell_profit_rate_daily", 5))
 
 
 @query("b07_win_rates", with_frames(
@@ -92,8 +92,8 @@ def _(t):
 # --- risk figures --------------------------------------------------------------------
 _RF = "(pow(1.02::DOUBLE, 1.0 / 252) - 1)"
 _BOOK = {
-    "bk": """SELECT seed, dt, avg(fwd) / 50 AS ret FROM (SELECT *, row_number() OVER (PARTITION BY seed, dt ORDER BY score DESC, inst) AS rn FROM scores JOIN rets USING (inst, dt) WHERE fwd IS NOT NULL) WHERE rn <= 5 GROUP BY seed, dt""",
-    "bm": "SELECT dt, avg(fwd) / 50 AS bench FROM rets WHERE fwd IS NOT NULL GROUP BY dt",
+    "bk": """SELECT seed, dt, avg(fwd) / 500 AS ret FROM (SELECT *, row_number() OVER (PARTITION BY seed, dt ORDER BY score DESC, inst) AS rn FROM scores JOIN rets USING (inst, dt) WHERE fwd IS NOT NULL) WHERE rn <= 5 GROUP BY seed, dt""",
+    "bm": "SELECT dt, avg(fwd) / 500 AS bench FROM rets WHERE fwd IS NOT NULL GROUP BY dt",
     "rb": "SELECT seed, dt, ret, bench FROM bk JOIN bm USING (dt)",
     "pa": "SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY seed ORDER BY dt)) AS assets FROM rb",
     "dd": "SELECT *, greatest(1.0, max(assets) OVER (PARTITION BY seed ORDER BY dt)) AS top FROM pa",
@@ -105,10 +105,10 @@ _BOOK = {
 
 
 def book_with_bench(t):
-    """Daily book per seed and equal-weight bench; moves are cut to a fiftieth to look like a market."""
+    """Daily book per seed and equal-weight bench; moves are cut to a five-hundredth to look like a market."""
     rows = scored(t)
-    bench = t.returns().where(F.col("fwd").isNotNull()).groupBy("dt").agg((F.avg("fwd") / 50).alias("bench"))
-    ret = book.book_returns(rows, 5, ["seed", "dt"]).withColumn("ret", F.col("ret") / 50)
+    bench = t.returns().where(F.col("fwd").isNotNull()).groupBy("dt").agg((F.avg("fwd") / 500).alias("bench"))
+    ret = book.book_returns(rows, 5, ["seed", "dt"]).withColumn("ret", F.col("ret") / 500)
     return ret.join(F.broadcast(bench), "dt").select("seed", "dt", "ret", "bench")
 
 
@@ -162,13 +162,13 @@ def _(t):
 
 @query("b18_book_grid", with_frames(
     "SELECT seed, top_k, " + ", ".join(f"round({c}, 5) AS {c}" for c in FIGURES) + " FROM fg", "scores", "rets", **(_BOOK | {
-        "bk": """SELECT seed, k AS top_k, dt, avg(fwd) / 50 AS ret FROM (SELECT *, row_number() OVER (PARTITION BY seed, dt ORDER BY score DESC, inst) AS rn FROM scores JOIN rets USING (inst, dt) WHERE fwd IS NOT NULL), (SELECT unnest([3, 5, 10]) AS k) WHERE rn <= k GROUP BY ALL""",
+        "bk": """SELECT seed, k AS top_k, dt, avg(fwd) / 500 AS ret FROM (SELECT *, row_number() OVER (PARTITION BY seed, dt ORDER BY score DESC, inst) AS rn FROM scores JOIN rets USING (inst, dt) WHERE fwd IS NOT NULL), (SELECT unnest([3, 5, 10]) AS k) WHERE rn <= k GROUP BY ALL""",
         "rb": "SELECT seed, top_k, dt, ret, bench FROM bk JOIN bm USING (dt)",
         "pa": _BOOK["pa"].replace("PARTITION BY seed", "PARTITION BY seed, top_k"), "dd": _BOOK["dd"].replace("PARTITION BY seed", "PARTITION BY seed, top_k"),
         "fg": _BOOK["fg"].replace("SELECT seed,", "SELECT seed, top_k,").replace("GROUP BY seed", "GROUP BY seed, top_k")})))
 def _(t):
-    bench = t.returns().where(F.col("fwd").isNotNull()).groupBy("dt").agg((F.avg("fwd") / 50).alias("bench"))
-    grid = book.book_grid(scored(t), [3, 5, 10]).withColumn("ret", F.col("ret") / 50).join(F.broadcast(bench), "dt")
+    bench = t.returns().where(F.col("fwd").isNotNull()).groupBy("dt").agg((F.avg("fwd") / 500).alias("bench"))
+    grid = book.book_grid(scored(t), [3, 5, 10]).withColumn("ret", F.col("ret") / 500).join(F.broadcast(bench), "dt")
     return rnds(book.risk_figures(grid, ["seed", "top_k"]), ["seed", "top_k"], *FIGURES, n=5)
 
 

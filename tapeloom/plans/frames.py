@@ -186,7 +186,7 @@ class Tables:
         return self.read("orders").select(
             F.col("o_custkey").alias("seed"), F.col("o_orderkey").alias("epoch"),
             (F.pmod(F.col("o_orderkey") * 7, F.lit(89)) / 500.0).alias("ic"),
-            (F.pmod(F.col("o_orderkey") * 11, F.lit(97)) / 80.0).alias("icir"),
+            (F.pmod(F.col("o_orderkey") * 11, F.lit(97)) / 83.0).alias("icir"),
             (F.pmod(F.col("o_orderkey") * 13, F.lit(83)) / 500.0).alias("rankic"),
             (F.pmod(F.col("o_orderkey") * 19, F.lit(101)) / 90.0).alias("rankicir"),
         )
@@ -256,7 +256,7 @@ _CTE: dict[str, tuple[list[str], str]] = {
         (k * 79 % 887) / 1000.0::DOUBLE AS "Valid_ICIR", (k * 83 % 883) / 9000.0::DOUBLE AS "Valid_RIC",
         (k * 89 % 881) / 1000.0::DOUBLE AS "Valid_RICIR" FROM (SELECT *, p_partkey AS k FROM part)"""),
     "epochs": ([], """SELECT o_custkey AS seed, o_orderkey AS epoch, (o_orderkey * 7 % 89) / 500.0::DOUBLE AS ic,
-        (o_orderkey * 11 % 97) / 80.0::DOUBLE AS icir, (o_orderkey * 13 % 83) / 500.0::DOUBLE AS rankic,
+        (o_orderkey * 11 % 97) / 83.0::DOUBLE AS icir, (o_orderkey * 13 % 83) / 500.0::DOUBLE AS rankic,
         (o_orderkey * 19 % 101) / 90.0::DOUBLE AS rankicir FROM orders"""),
     "factors": (["daily"], """SELECT inst, dt, round(close / lag(close) OVER w - 1, 8) AS f_mom, round((high - low) / open, 8) AS f_range,
         volume AS f_vol, round(CASE WHEN num_trades > 1 THEN close / open - 1 END, 8) AS f_gap,

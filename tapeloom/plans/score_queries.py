@@ -400,9 +400,9 @@ def _(t):
 
 @query("x16_dense_rank", with_frames('SELECT "Step", dense_rank() OVER (ORDER BY sharpe) AS sharpe_rank, dense_rank() OVER (ORDER BY annual_return) AS annual_return_rank FROM runs', "runs"))
 def _(t):
-    df = t.runs().select("Step", "sharpe", "annual_return")
+    df = source = t.runs().select("Step", "sharpe", "annual_return")
     for c in ("sharpe", "annual_return"):
-        df = with_ranks(df, [], c, dense=f"{c}_rank", split=t.big("part"))
+        df = with_ranks(df, [], c, dense=f"{c}_rank", split=t.big("part"), source=source)
     return df.select("Step", "sharpe_rank", "annual_return_rank")
 
 

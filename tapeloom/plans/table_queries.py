@@ -636,7 +636,7 @@ def _(t):
 def _(t):
     raw = bars_stream.stream_files(t.spark, t.sf_dir, t.read("events").schema, "events.parquet")
     bars = raw.select(
-        F.col("event_type").alias("inst"), F.col("ts").alias("datetime"), F.col("value").alias("open"), (F.col("value") + 1).alias("high"),
+        F.col("event_type").alias("inst"), bars_stream.utc_instant(F.col("ts")).alias("datetime"), F.col("value").alias("open"), (F.col("value") + 1).alias("high"),
         F.greatest(F.col("value") - 1, F.lit(0.0)).alias("low"), F.col("value").alias("close"), (F.col("user_id") + 1).cast("double").alias("volume"),
         (F.col("value") * (F.col("user_id") + 1)).alias("amount"))
     out = fresh_path(t.spark, "stream")
@@ -645,10 +645,10 @@ def _(t):
 
 
 @query("f21_style_factor_series", with_frames(
-    "SELECT code, type, CAST(dt AS VARCHAR) AS dt, round(avg(close), 5) AS v FROM (SELECT * FROM daily JOIN industry USING (inst)) x RIGHT JOIN codes ON pos = industry GROUP BY code, type, dt", "daily", "industry",
+    "SELECT code, type, CAST(dt AS VARCHAR) AS dt, round(ln(avg(close)), 8) AS v FROM (SELECT * FROM daily JOIN industry USING (inst)) x RIGHT JOIN codes ON pos = industry GROUP BY code, type, dt", "daily", "industry",
     codes="SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{k}')" for i, (c, k) in enumerate((c, k) for k, cs in style_factors.TYPES.items() for c in cs)) + ") v(pos, code, type)"))
 def _(t):
     table = style_factors.factor_table(t.spark)
     codes = table.select(F.col("pos").alias("industry"), "code")
-    series = t.daily().join(t.industry(), "inst").groupBy("industry", "dt").agg(F.round(F.avg("close"), 5).alias("v")).join(F.broadcast(codes), "industry").drop("industry")
+    series = t.daily().join(t.industry(), "inst").groupBy("industry", "dt").agg(F.round(F.ln(F.avg("close")), 8).alias("v")).join(F.broadcast(codes), "industry").drop("industry")
     return style_factors.with_series(table, series).select("code", "type", day(), "v")

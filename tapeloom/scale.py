@@ -112,11 +112,13 @@ def ranked_values(df: DataFrame, keys: Sequence[str], x: str, buckets: int = BUC
 
 def with_ranks(
     df: DataFrame, keys: Sequence[str], x: str, *, avg: str | None = None, dense: str | None = None,
-    pct: str | None = None, split: bool = False, ascending: bool = True,
+    pct: str | None = None, split: bool = False, ascending: bool = True, source: DataFrame | None = None,
 ) -> DataFrame:
     """Add average rank, dense rank and / or average percent rank of ``x`` inside ``keys``.
 
     Rows with a null ``x`` get null. Average rank of ties is ``low rank + (ties - 1) / 2``.
+    When several columns are ranked in turn, pass the first frame as ``source``: it has the
+    same rows, and the split way then does not recompute the ranks joined before.
     """
     keys = list(keys)
     if not split:
@@ -132,7 +134,7 @@ def with_ranks(
         if pct:
             cols[pct] = F.when(F.col(x).isNotNull(), mean_rank / F.count(x).over(Window.partitionBy(*keys)))
         return df.withColumns(cols)
-    ranks = ranked_values(df, keys, x)
+    ranks = ranked_values(df if source is None else source, keys, x)
     if ascending:
         mean_rank = F.col("below") + (F.col("n") + 1) / F.lit(2.0)
         dense_rank = F.col("dense")
@@ -182,25 +184,25 @@ def quantiles(
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], x: str, tie: str, out: str, split: bool = False, ascending: bool = True
+    df: DataFrame, keys: Sequence[str], x: str, tie: str, out: str, split: bool = False, ascending: bool = True,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """1-based position by ``x`` then ``tie`` ascending. ``tie`` is unique inside a group.
 
     The split way ranks the values first and then orders ``tie`` only among equal values.
+    ``source`` is as in ``with_ranks``.
     """
     keys = list(keys)
     if not split:
         order = F.col(x).asc_nulls_last() if ascending else F.col(x).desc_nulls_last()
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order, tie)).cast("long"))
-    ranks = ranked_values(df, keys, x)
+    base = (df if source is None else source).select(*dict.fromkeys([*keys, x, tie]))
+    ranks = ranked_values(base, keys, x)
     first = F.col("below") if ascending else F.col("total") - F.col("below") - F.col("n")
     ranks = ranks.select(*keys, x, first.alias("_first"), F.col("n").alias("_ties"))
-    placed = df.join(ranks, [*keys, x], "left")
-    tied = placed.where(F.col("_ties") > 1)
-    inner = ranked_values(tied.select(*keys, x, tie), [*keys, x], tie).select(
-        *keys, x, tie, F.col("below").alias("_in")
-    )
-    placed = placed.join(inner, [*keys, x, tie], "left")
+    tied = base.join(ranks.where(F.col("_ties") > 1), [*keys, x], "left_semi")
+    inner = ranked_values(tied, [*keys, x], tie).select(*keys, x, tie, F.col("below").alias("_in"))
+    placed = df.join(ranks, [*keys, x], "left").join(inner, [*keys, x, tie], "left")
     pos = F.col("_first") + F.coalesce(F.col("_in"), F.lit(0)) + 1
     return placed.withColumn(out, pos.cast("long")).drop("_first", "_ties", "_in")
 

@@ -7,19 +7,28 @@ shuffle. Each closed day is written once; a repeated batch writes the same folde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def utc_instant(local: Column) -> Column:
+    """A zone-less time read as UTC, whatever the session zone; a watermark needs an instant."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), local).cast("timestamp")
+
+
+def utc_day(instant: Column) -> Column:
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz")))
+
+
 def daily_from_stream(bars: DataFrame, inst: str = "inst", time: str = "datetime", late: str = "1 hour") -> DataFrame:
-    """Streaming daily bars; rows later than the watermark are dropped."""
+    """Streaming daily bars over UTC days; rows later than the watermark are dropped."""
     v, tp = F.col("volume"), (F.col("high") + F.col("low") + F.col("close")) / 3
     day = F.window(F.col(time), "1 day")
     return bars.withWatermark(time, late).groupBy(day.alias("w"), inst).agg(
         F.min_by("open", time).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", time).alias("close"),
         F.sum(v).alias("volume"), F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("bars"),
         (F.sum(tp * v) / (F.sum(v) + 1e-12)).alias("vwap"), (F.sum(v * v) / F.pow(F.sum(v) + 1e-12, 2)).alias("hhi"),
-    ).select(inst, F.to_date("w.start").alias("day"), "open", "high", "low", "close", "volume", "amount", "bars", "vwap", "hhi")
+    ).select(inst, utc_day(F.col("w.start")).alias("day"), "open", "high", "low", "close", "volume", "amount", "bars", "vwap", "hhi")
 
 
 def run_to_table(daily: DataFrame, out: str, checkpoint: str, available_now: bool = True, seconds: int = 60):
