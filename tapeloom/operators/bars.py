@@ -205,6 +205,23 @@ def base_close(panel: DataFrame, inst: str = "inst", dt: str = "dt", close: str
     return names.join(first, inst, "left").select(inst, F.coalesce("_base", F.lit(1.0)).alias("base_close"))
 
 
+def with_base_close(panel: DataFrame, inst: str = "inst", dt: str = "dt", close: str = "close", window: int = 30) -> DataFrame:
+    """``base_close`` on every row, inside the instrument's own partition: no join.
+
+    At most ``window`` closes are gathered per instrument.
+    """
+    c = F.col(close)
+    ok = F.coalesce((c > 0) & (F.abs(c) < float("inf")), F.lit(False))
+    own = Window.partitionBy(inst)
+    rows = panel.withColumn("_n", F.sum(ok.cast("int")).over(own.orderBy(dt)))
+    first = F.sort_array(F.collect_list(F.when(ok & (F.col("_n") <= window), c)).over(own))
+    rows = rows.withColumns({"_first": first, "_one": F.min(F.when(ok & (F.col("_n") == 1), c)).over(own)})
+    lo, hi = (window - 1) // 2, window // 2
+    median = (F.get("_first", F.lit(lo)) + F.get("_first", F.lit(hi))) / 2
+    base = F.when(F.size("_first") >= window, median).otherwise(F.coalesce("_one", F.lit(1.0)))
+    return rows.withColumn("base_close", base).drop("_n", "_first", "_one")
+
+
 def normalize_panel(
     panel: DataFrame, calendar: DataFrame, multipliers: DataFrame, inst: str = "inst", dt: str = "dt", window: int = 30
 ) -> DataFrame:
@@ -216,8 +233,7 @@ def normalize_panel(
     from tapeloom.operators.calendar import align
     from tapeloom.operators.clean import fill_both_ways, positive_or_null
 
-    base = base_close(panel, inst, dt, window=window)
-    rows = with_multiplier(panel.join(base, inst), multipliers, inst)
+    rows = with_multiplier(with_base_close(panel, inst, dt, window=window), multipliers, inst)
     b = F.col("base_close")
     prices = [c for c in ("open", "high", "low", "close", "vwap") if c in panel.columns]
     rows = rows.withColumn("adjclose", F.col("close")).withColumns({c: F.col(c) / (b + EPS) for c in prices})

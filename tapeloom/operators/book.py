@@ -165,32 +165,33 @@ def equal_weight_benchmark(panel: DataFrame, spans: DataFrame, start: str, end:
     return rows.groupBy(dt).agg(F.avg(ret).alias("bench"))
 
 
-def simple_figures(rows: DataFrame, by: Sequence[str], x: str, prefix: str, periods: int = YEAR, dt: str = "dt") -> DataFrame:
-    """Mean-based yearly return, ratio and drawdown of summed returns."""
+def simple_figures(rows: DataFrame, by: Sequence[str], series: dict[str, str], periods: int = YEAR, dt: str = "dt") -> DataFrame:
+    """Mean-based yearly return, ratio and drawdown of summed returns, for each prefix: column.
+
+    All series share one window and one aggregation.
+    """
     run = Window.partitionBy(*by, F.lit(1)).orderBy(dt).rowsBetween(Window.unboundedPreceding, 0)
-    path = rows.withColumn("_sum", F.sum(x).over(run)).withColumn("_top", F.max("_sum").over(run))
-    c = F.col(x)
-    return path.groupBy(*by).agg(
-        (F.avg(c) * periods).alias(f"{prefix}annual"),
-        (ratio(F.avg(c), F.stddev_samp(c)) * F.sqrt(F.lit(float(periods)))).alias(f"{prefix}ratio"),
-        F.min(F.col("_sum") - F.col("_top")).alias(f"{prefix}drawdown"),
-    )
+    path = rows.withColumns({f"_{p}sum": F.sum(x).over(run) for p, x in series.items()})
+    path = path.withColumns({f"_{p}top": F.max(f"_{p}sum").over(run) for p in series})
+    aggs = []
+    for p, x in series.items():
+        c = F.col(x)
+        aggs += [
+            (F.avg(c) * periods).alias(f"{p}annual"),
+            (ratio(F.avg(c), F.stddev_samp(c)) * F.sqrt(F.lit(float(periods)))).alias(f"{p}ratio"),
+            F.min(F.col(f"_{p}sum") - F.col(f"_{p}top")).alias(f"{p}drawdown"),
+        ]
+    return path.groupBy(*by).agg(*aggs)
 
 
 def net_and_excess(report: DataFrame, by: Sequence[str] = (), periods: int = YEAR, dt: str = "dt") -> DataFrame:
     """Six figures of (return - cost) and (return - bench - cost); the last three are null without a bench."""
-    has_bench = "bench" in report.columns
-    bench = F.col("bench") if has_bench else F.lit(None).cast("double")
+    bench = F.col("bench") if "bench" in report.columns else F.lit(None).cast("double")
     rows = report.withColumns({"_net": F.col("ret") - F.col("cost"), "_ex": F.col("ret") - bench - F.col("cost")})
-    if not by:
-        rows, by, single = rows.withColumn("_book", F.lit(0)), ["_book"], True
-    else:
-        by, single = list(by), False
-    net, ex = simple_figures(rows, by, "_net", "n_", periods, dt), simple_figures(rows, by, "_ex", "e_", periods, dt)
-    out = net.join(ex, by).select(
+    out = simple_figures(rows, by, {"n_": "_net", "e_": "_ex"}, periods, dt)
+    return out.select(
         *by, F.col("n_ratio").alias("sharpe"), F.col("n_annual").alias("annual_return"), F.col("n_drawdown").alias("max_drawdown"),
         F.col("e_ratio").alias("information_ratio"), F.col("e_annual").alias("annual_excess_return"), F.col("e_drawdown").alias("excess_max_drawdown"))
-    return out.drop("_book") if single else out
 
 
 def parameter_grid(runs: DataFrame, ks: Sequence[int] = (80, 50, 30, 20, 10), ratios: Sequence[float] = (1.0, 0.1), holds: Sequence[int] = (10, 5, 1)) -> DataFrame:

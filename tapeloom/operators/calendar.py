@@ -19,15 +19,18 @@ def trade_calendar(days: DataFrame, dt: str = "dt") -> DataFrame:
 def align(panel: DataFrame, calendar: DataFrame, inst: str = "inst", dt: str = "dt") -> DataFrame:
     """Give each instrument one row per trade day between its first and last day.
 
-    Spans become index ranges, so the fill is an explode and an equi join with the
-    calendar, never a range join.
+    Each row is stretched over the trade days up to the instrument's next row, by day
+    index; only the first copy keeps its values. One exchange by instrument, no join of the
+    panel with itself and no range join. The calendar is small and broadcast.
     """
-    cal = F.broadcast(calendar)
-    spans = panel.groupBy(inst).agg(F.min(dt).alias("_first"), F.max(dt).alias("_last"))
-    spans = spans.join(F.broadcast(calendar.select(F.col(dt).alias("_first"), F.col("idx").alias("_i"))), "_first")
-    spans = spans.join(F.broadcast(calendar.select(F.col(dt).alias("_last"), F.col("idx").alias("_j"))), "_last")
-    grid = spans.select(inst, F.explode(F.sequence("_i", "_j")).alias("idx")).join(cal, "idx").select(inst, dt)
-    return grid.join(panel, [inst, dt], "left")
+    cal = calendar.select(dt, "idx")
+    rows = panel.join(F.broadcast(cal.withColumnRenamed("idx", "_i")), dt)
+    following = F.lead("_i").over(Window.partitionBy(inst).orderBy("_i"))
+    rows = rows.withColumn("_j", F.coalesce(following - 1, F.col("_i")))
+    rows = rows.withColumn("idx", F.explode(F.sequence("_i", "_j"))).drop(dt)
+    own = F.col("idx") == F.col("_i")
+    values = [F.when(own, F.col(c)).alias(c) for c in panel.columns if c not in (inst, dt)]
+    return rows.select(inst, "idx", *values).join(F.broadcast(cal), "idx").select(*panel.columns)
 
 
 def next_trade_day(calendar: DataFrame, dt: str = "dt") -> DataFrame:

@@ -58,8 +58,18 @@ def model_summary(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def sign_stability(ic: Column) -> Column:
+    """Share of days whose sign is the sign of the mean: one of three shares, known after the sum."""
+    mean = F.avg(ic)
+
+    def share(cond: Column) -> Column:
+        return F.avg(cond.cast("double"))
+
+    return F.when(mean > 0, share(ic > 0)).when(mean < 0, share(ic < 0)).otherwise(share(ic == 0))
+
+
 def rank_ic_summary(daily: DataFrame, by: Sequence[str] = ("factor",), ic: str = "rank_ic") -> DataFrame:
-    """Mean, sample deviation, IR, quartiles, positive share and mean coverage per factor.
+    """Mean, sample deviation, IR, quartiles, positive share, sign stability and mean coverage.
 
     The series has one row per day, so the percentile state is bounded by the calendar.
     """
@@ -72,18 +82,11 @@ def rank_ic_summary(daily: DataFrame, by: Sequence[str] = ("factor",), ic: str =
         F.percentile(c, F.lit(0.5)).alias("rankic_q50"),
         F.percentile(c, F.lit(0.75)).alias("rankic_q75"),
         F.avg((c > 0).cast("double")).alias("positive_ratio"),
+        sign_stability(c).alias("sign_stability"),
         F.avg("coverage").alias("coverage"),
     )
 
 
-def sign_stability(daily: DataFrame, by: Sequence[str] = ("factor",), ic: str = "rank_ic") -> DataFrame:
-    """Share of days whose sign is the sign of the mean."""
-    mean = daily.groupBy(*by).agg(F.avg(ic).alias("_m"))
-    rows = daily.join(mean, list(by))
-    same = (F.signum(F.col(ic)) == F.signum(F.col("_m"))).cast("double")
-    return rows.groupBy(*by).agg(F.avg(same).alias("sign_stability"))
-
-
 def ic_summary(daily: DataFrame, by: Sequence[str] = ("factor",), ic: str = "rank_ic") -> DataFrame:
     """Mean, deviation, IR (0 without deviation), mean of absolute values, days."""
     c = F.col(ic)

@@ -227,7 +227,7 @@ def factor_report(panel: DataFrame, factors: Sequence[str], min_names: int = 10,
     daily = materialize(ranking.daily_rank_ic(long, min_names=min_names, split=split), "rankic")
     parts = [
         health.entropy(long), health.shape(long), health.extreme_share(long, split=big),
-        health.longest_null_run(panel, factors, split=big), ranking.rank_ic_summary(daily), ranking.sign_stability(daily),
+        health.longest_null_run(panel, factors, split=big), ranking.rank_ic_summary(daily),
     ]
     for p in parts:
         base = base.join(F.broadcast(p), "factor")

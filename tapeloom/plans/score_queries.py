@@ -150,9 +150,7 @@ def _(t):
     """SELECT factor, round(avg(CASE WHEN sign(rank_ic) = sign(m) THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS sign_stability,
  round(avg(CASE WHEN rank_ic > 0 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS positive_ratio FROM ic JOIN (SELECT factor, avg(rank_ic) AS m FROM ic GROUP BY factor) USING (factor) GROUP BY factor""", **L))
 def _(t):
-    d = rank_ic(t)
-    both = ranking.sign_stability(d).join(F.broadcast(ranking.rank_ic_summary(d)), "factor")
-    return rnds(both, ["factor"], "sign_stability", "positive_ratio")
+    return rnds(ranking.rank_ic_summary(rank_ic(t)), ["factor"], "sign_stability", "positive_ratio")
 
 
 @query("a49_ic_summary", fl(
