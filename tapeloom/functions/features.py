@@ -272,6 +272,22 @@ def lag_block(s: Stage, lags: int = 60) -> Family:
     return out
 
 
+def lag_arrays(panel: DataFrame, lags: int = 60) -> DataFrame:
+    """The lag block as one array per field: place i holds lag i, as many as there are rows.
+
+    Six gathered windows instead of ``6 * lags`` columns; the form to keep for long blocks.
+    """
+    w = W.last_rows(lags)
+    fields = ("close", "open", "high", "low", "vwap", "volume")
+    rows = panel.withColumns({f"_{f}": F.collect_list(F.struct(F.col(f).alias("x"))).over(w) for f in fields})
+    out = {f"{f.upper()}_LAGS": F.transform(F.reverse(F.col(f"_{f}")), _over(_c("volume") + EPS if f == "volume" else _c("close"))) for f in fields}
+    return rows.select("inst", "dt", *[c.alias(n) for n, c in out.items()])
+
+
+def _over(base: Column):
+    return lambda r: r["x"] / base
+
+
 def turnover(s: Stage, windows: Iterable[int] = WINDOWS, bases: Iterable[int] = (20, 60)) -> Family:
     x = _c("turn")
     out: Family = {}

@@ -190,8 +190,20 @@ family("f10_volume_weighted_move", X.volume_weighted_move, {f"WVMA_{d}": f"stdde
 family("f11_volume_moves", X.volume_moves, {k: v for d in X.WINDOWS for k, v in {
     f"VSUMP_{d}": f"sum(vgain) {over(d)} / (sum(vmove) {over(d)} + 1e-12)", f"VSUMN_{d}": f"sum(vloss) {over(d)} / (sum(vmove) {over(d)} + 1e-12)",
     f"VSUMD_{d}": f"(sum(vgain) {over(d)} - sum(vloss) {over(d)}) / (sum(vmove) {over(d)} + 1e-12)"}.items()}, summary=True)
-family("f12_lag_block", X.lag_block, {f"{f.upper()}{i}": (f"lag({f}, {i}) OVER w / " if i else f"{f} / ") + ("(volume + 1e-12)" if f == "volume" else "close")
-                                      for f in ("close", "open", "high", "low", "vwap", "volume") for i in range(59, -1, -1)}, summary=True)
+_LAGGED = ("CLOSE", "OPEN", "HIGH", "LOW", "VWAP", "VOLUME")
+
+
+@query("f12_lag_block", with_frames(
+    """SELECT a.inst, lag, count(*) AS n, """ + ", ".join(
+        f"round(avg(b.{f.lower()} / " + ("(a.volume + 1e-12)" if f == "VOLUME" else "a.close") + f'), 6) AS "{f}"' for f in _LAGGED)
+    + """ FROM (SELECT *, unnest(range(60)) AS lag FROM r) a JOIN r b ON a.inst = b.inst AND b.rn = a.rn - a.lag GROUP BY a.inst, lag""",
+    "daily_plus", r="SELECT inst, close, open, high, low, vwap, volume, row_number() OVER (PARTITION BY inst ORDER BY dt) AS rn FROM daily_plus"))
+def _(t):
+    arrays = X.lag_arrays(X.by_instrument(t.daily_plus()))
+    long = arrays.select("inst", F.posexplode(F.arrays_zip(*[f"{f}_LAGS" for f in _LAGGED])).alias("lag", "v"))
+    return long.groupBy("inst", "lag").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col("v")[f"{f}_LAGS"]), 6).alias(f) for f in _LAGGED])
+
+
 family("f13_turnover", X.turnover, {k: v for d in X.WINDOWS for k, v in {f"TO_MEAN_{d}d": f"avg(turn) {over(d)}", f"TO_STD_{d}d": f"stddev_samp(turn) {over(d)}"}.items()} | {
     k: v for b in (20, 60) for d in X.WINDOWS for k, v in {
         f"TO_REL_{d}d_over_{b}d": f"avg(turn) {over(d)} / (avg(turn) {over(b)} + 1e-12)",

@@ -255,3 +255,17 @@ def test_seed_labels_are_complete(spark):
     c = runs.seed_class_labels(F.lit("workhorse"))
     row = spark.range(1).select(*[v.alias(k) for k, v in c.items()]).first()
     assert row["SeedType"] == "老黄牛型" and len(runs.SEED_CLASSES) == 7
+
+
+def test_lag_arrays_equal_lag_columns(spark):
+    names = ("open", "high", "low", "close", "volume", "vwap")
+    p = spark.createDataFrame([("a", d(i), *[10.0 + i * (k + 1) for k in range(6)]) for i in range(5)],
+                              "inst string, dt date, " + ", ".join(f"{n} double" for n in names))
+    s = X.Stage()
+    wide = X.build(p, X.lag_block(s, 4), s).orderBy("dt").collect()
+    arrays = X.lag_arrays(p, 4).orderBy("dt").collect()
+    for w, a in zip(wide, arrays):
+        for n in names:
+            have = a[f"{n.upper()}_LAGS"]
+            assert [w[f"{n.upper()}{i}"] for i in range(len(have))] == have
+            assert all(w[f"{n.upper()}{i}"] is None for i in range(len(have), 4))
