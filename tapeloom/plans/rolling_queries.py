@@ -94,7 +94,7 @@ one("w09_idx_max", lambda: W.idx_max("high", 20, "_t"), idx_sql("high", 20))
 one("w09_idx_min", lambda: W.idx_min("volume", 20, "_t"), idx_sql("-volume", 20))
 one("w10_slope", lambda: W.slope("close", 10, "_t"), fit_sql("regr_slope", "close", 10))
 one("w11_rsquare", lambda: W.rsquare("close", 10, "_t"), fit_sql("regr_r2", "close", 10))
-one("w12_resi", lambda: W.resi("close", 10, "_t"), resi_sql("close", 10), 5)
+one("w12_resi", lambda: W.resi("close", 10, "_t") / F.col("close"), resi_sql("close", 10) + " / close")
 one("w13_corr", lambda: W.corr("_rel", "_lrv", 10), corr_sql("rel", "lrv", 10))
 one("w14_greater", lambda: W.greater("open", "_c1"), "CASE WHEN c1 IS NOT NULL THEN greatest(open, c1) END", 9)
 one("w14_less", lambda: W.less("open", "_c1"), "CASE WHEN c1 IS NOT NULL THEN least(open, c1) END", 9)
