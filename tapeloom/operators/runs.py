@@ -95,7 +95,7 @@ def seed_class_labels(c: Column) -> dict[str, Column]:
 
 def parameter_means(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Means per value of each parameter in turn, all in one grouping-sets pass."""
-    won = F.col("qlib_annual_excess_return") > 0
+    won = F.col("gate_excess_return") > 0
     names = {
         "annual_return_mean": F.avg("annual_return"), "max_drawdown_mean": F.avg("max_drawdown"), "sharpe_mean": F.avg("sharpe"),
         "information_ratio_mean": F.avg("information_ratio"), "q_annual_return_mean": F.avg(F.when(won, F.col("annual_return"))),
@@ -140,7 +140,7 @@ def return_bands(runs: DataFrame, keys: Sequence[str], low: float, high: float)
     return runs.where((e >= low) & (e < high)).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
-def above_average(runs: DataFrame, keys: Sequence[str], metrics: Sequence[str], gate: str = "qlib_annual_excess_return") -> DataFrame:
+def above_average(runs: DataFrame, keys: Sequence[str], metrics: Sequence[str], gate: str = "gate_excess_return") -> DataFrame:
     """Runs above the averages of the gated runs, per key, next to all runs of that key."""
     df = runs.withColumn("excess_return", F.col("annual_return") - F.col("annual_benchmark_return"))
     gated = df.where(F.col(gate) > 0)

@@ -161,7 +161,7 @@ class Tables:
             (k % 2 * 4 + 1).alias("n_drop"),
             F.element_at(F.array(*[F.lit(v).cast("long") for v in (1, 5, 10)]), (F.floor(k / 5) % 3 + 1).cast("int")).alias("hold_p"),
             part(17, 997, 500.0, -0.5).alias("annual_return"),
-            ((F.col("p_retailprice") - 1000) / 1000).alias("qlib_annual_excess_return"),
+            ((F.col("p_retailprice") - 1000) / 1000).alias("gate_excess_return"),
             part(29, 991, 1000.0, -0.3).alias("annual_excess_return"),
             part(13, 401, 4000.0, 0.0).alias("annual_benchmark_return"),
             (-part(23, 983, 2000.0, 0.0)).alias("max_drawdown"),
@@ -245,7 +245,7 @@ _CTE: dict[str, tuple[list[str], str]] = {
         lead(close) OVER (PARTITION BY inst ORDER BY dt) / close - 1 AS fwd FROM daily"""),
     "runs": ([], """SELECT CAST(p_size AS BIGINT) AS "Seed", p_partkey AS "Step", [128, 256, 512][k % 3 + 1]::BIGINT AS "D_model", k % 2 AS "LR",
         k % 4 AS "Dropout", [10, 20, 30, 50, 80][k % 5 + 1]::BIGINT AS top_k, k % 2 * 4 + 1 AS n_drop, [1, 5, 10][(k // 5) % 3 + 1]::BIGINT AS hold_p,
-        (k * 17 % 997) / 500.0::DOUBLE + (-0.5)::DOUBLE AS annual_return, (p_retailprice - 1000) / 1000 AS qlib_annual_excess_return,
+        (k * 17 % 997) / 500.0::DOUBLE + (-0.5)::DOUBLE AS annual_return, (p_retailprice - 1000) / 1000 AS gate_excess_return,
         (k * 29 % 991) / 1000.0::DOUBLE + (-0.3)::DOUBLE AS annual_excess_return, (k * 13 % 401) / 4000.0::DOUBLE AS annual_benchmark_return,
         -((k * 23 % 983) / 2000.0::DOUBLE) AS max_drawdown, (k * 31 % 977) / 400.0::DOUBLE + (-0.5)::DOUBLE AS sharpe,
         (k * 37 % 971) / 500.0::DOUBLE + (-0.4)::DOUBLE AS information_ratio, (k * 41 % 967) / 4000.0::DOUBLE + 0.1::DOUBLE AS volatility,

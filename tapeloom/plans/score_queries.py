@@ -206,8 +206,8 @@ def _(t):
 
 
 _PM = """round(avg(annual_return), 6) AS annual_return_mean, round(avg(max_drawdown), 6) AS max_drawdown_mean, round(avg(sharpe), 6) AS sharpe_mean,
- round(avg(information_ratio), 6) AS information_ratio_mean, round(avg(annual_return) FILTER (qlib_annual_excess_return > 0), 6) AS q_annual_return_mean,
- round(avg(information_ratio) FILTER (qlib_annual_excess_return > 0), 6) AS q_information_ratio_mean"""
+ round(avg(information_ratio), 6) AS information_ratio_mean, round(avg(annual_return) FILTER (gate_excess_return > 0), 6) AS q_annual_return_mean,
+ round(avg(information_ratio) FILTER (gate_excess_return > 0), 6) AS q_information_ratio_mean"""
 
 
 @query("a53_parameter_means", with_frames(" UNION ALL ".join(
@@ -254,12 +254,12 @@ _GATES = ["sharpe", "information_ratio", "Test_IC", "max_drawdown"]
     """SELECT top_k, n_drop, hold_p, round(avg(e), 6) AS annual_return_old, round(avg(max_drawdown), 6) AS max_drawdown_old, count(*) FILTER (k) AS "count",
  round(avg(e) FILTER (k), 6) AS annual_return_mean, round(avg(max_drawdown) FILTER (k), 6) AS max_drawdown_mean, round(avg(e) FILTER (k) - avg(e), 6) AS annual_return_c
  FROM g GROUP BY ALL HAVING count(*) FILTER (k) > 0""", "runs",
-    g="SELECT *, annual_return - annual_benchmark_return AS e, qlib_annual_excess_return > 0" + "".join(
-        f' AND "{m}" > (SELECT avg("{m}") FROM runs WHERE qlib_annual_excess_return > 0)' for m in _GATES) + " AS k FROM runs")
-    .replace("qlib_annual_excess_return > 0", "qlib_annual_excess_return > -0.05"))
+    g="SELECT *, annual_return - annual_benchmark_return AS e, gate_excess_return > 0" + "".join(
+        f' AND "{m}" > (SELECT avg("{m}") FROM runs WHERE gate_excess_return > 0)' for m in _GATES) + " AS k FROM runs")
+    .replace("gate_excess_return > 0", "gate_excess_return > -0.05"))
 def _(t):
     # every given run is below zero excess, so the gate is moved to a value that divides them
-    shifted = t.runs().withColumn("gate", F.col("qlib_annual_excess_return") + 0.05)
+    shifted = t.runs().withColumn("gate", F.col("gate_excess_return") + 0.05)
     out = runs.above_average(shifted, ["top_k", "n_drop", "hold_p"], _GATES, gate="gate")
     return rnds(out, ["top_k", "n_drop", "hold_p", "count"], "annual_return_old", "max_drawdown_old", "annual_return_mean", "max_drawdown_mean", "annual_return_c")
 

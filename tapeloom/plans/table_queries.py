@@ -63,7 +63,7 @@ def _(t):
     # write one directory, then give the files the names a scoring job would: seed and step at the end
     rows.write.partitionBy("seed").csv(path, header=True)
     raw = t.spark.read.schema("datetime string, instrument string, score string, seed long").csv(path, header=True)
-    name = F.concat(F.lit("master_predictions_backday_8_uni_"), F.col("seed"), F.when(F.col("seed") != 2, "_0").otherwise(""), F.lit(".csv"))
+    name = F.concat(F.lit("model_predictions_backday_8_uni_"), F.col("seed"), F.when(F.col("seed") != 2, "_0").otherwise(""), F.lit(".csv"))
     return raw.select("datetime", "instrument", F.round(F.col("score").cast("double"), 8).alias("score"), name.alias("n")).select(
         "datetime", "instrument", "score", *[c.alias(k) for k, c in readers.seed_and_step(F.col("n")).items()])
 
@@ -71,7 +71,7 @@ def _(t):
 @query("s06_file_name_fields", """SELECT c_name, 'b' || c_nationkey AS backday, lower(c_mktsegment) AS universe, CAST(c_custkey AS VARCHAR) AS seed,
  CASE WHEN c_custkey % 2 = 0 THEN '7' END AS step FROM customer""")
 def _(t):
-    name = F.concat_ws("_", F.lit("master_predictions_backday"), F.concat(F.lit("b"), F.col("c_nationkey")), F.lower("c_mktsegment"),
+    name = F.concat_ws("_", F.lit("model_predictions_backday"), F.concat(F.lit("b"), F.col("c_nationkey")), F.lower("c_mktsegment"),
                        F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, "7"))
     return t.read("customer").select("c_name", F.concat(name, F.lit(".csv")).alias("n")).select(
         "c_name", *[c.alias(k) for k, c in readers.name_fields(F.col("n")).items()])

@@ -218,7 +218,7 @@ def test_robust_zscore_fits_on_train_only(spark):
 
 
 def test_file_names_and_log(spark):
-    names = spark.createDataFrame([("master_predictions_backday_8_f88_46_0.csv",), ("master_predictions_backday_8_f88_46.csv",)], "n string")
+    names = spark.createDataFrame([("model_predictions_backday_8_f88_46_0.csv",), ("model_predictions_backday_8_f88_46.csv",)], "n string")
     got = names.select(*[c.alias(k) for k, c in readers.seed_and_step(F.col("n")).items()]).collect()
     assert [tuple(r) for r in got] == [(46, 0), (46, -1)]
     log = spark.createDataFrame([("Seed 1, Epoch 3, train_loss 0.9, valid ic -0.01, icir 0.2, rankic 0.03, rankicir 0.4.",), ("noise",)], "value string")
