@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, exact_dedup, langid, mixing, packing, pii
+from tapeloom.llm import chat, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, packing, pii
 from tapeloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,27 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     return add
 
+SETS_SQL = r"""
+w AS (SELECT *, list_filter(regexp_split_to_array(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM u),
+s AS (SELECT * EXCLUDE (w, body), CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS (SELECT id, unnest(s) AS t FROM s), n AS (SELECT id, len(s) AS n FROM s),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM t x JOIN t y ON x.t = y.t AND x.id < y.id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 4 * i >= 3 * (x.n + y.n - i))
+"""
+
+LINES_SQL = r"""
+WITH u AS (SELECT doc_id, CAST(line AS INTEGER) - 1 AS line, doc_id * 1000000 + line AS id, body FROM (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents)),
+""" + SETS_SQL + """
+SELECT doc_id, line, CAST(len(s) AS BIGINT) AS n_shingles, id IN (SELECT b FROM l) AS removed FROM s WHERE len(s) > 0
+"""
+
+
+@query("op1_line_dedup", LINES_SQL)
+def line_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.flags(documents(spark, sf_dir))
+
 
 @query("op2_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +56,25 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+JOIN_SQL = """
+WITH RECURSIVE u AS (SELECT doc_id AS id, coalesce(text, '') AS body FROM documents),
+""" + SETS_SQL + """,
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, root) AS (SELECT id, id FROM n UNION SELECT r.id, e.b FROM r JOIN e ON r.root = e.a)
+SELECT n.id AS doc_id, CAST(any_value(n.n) AS BIGINT) AS n_shingles, min(r.root) AS component_id FROM n JOIN r ON r.id = n.id GROUP BY n.id
+"""
+
+
+@query("op4_ngram_jaccard_join", JOIN_SQL)
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(documents(spark, sf_dir))
+
+
+@query("op5_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(documents(spark, sf_dir))
+
+
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS s FROM d GROUP BY source),
@@ -75,6 +115,35 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(documents(spark, sf_dir))
 
 
+def _values() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quote(k)}, {quote(t)})" for k, t in licenses.TEMPLATES)
+
+
+LICENSE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+pp AS (SELECT doc_id, text, regexp_split_to_array(text, '\n[\x20\x09\x0B-\x0D]*\n') AS p FROM t),
+u AS (SELECT doc_id, 'line' AS unit, unnest(range(len(string_split(text, chr(10))))) AS place, unnest(string_split(text, chr(10))) AS body FROM t
+  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(p))), unnest(p) AS body FROM pp) WHERE contains(body, chr(10))
+  UNION ALL SELECT doc_id, 'text', 0, text FROM pp WHERE len(p) > 1),
+uw AS (SELECT doc_id, unit, place, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM u),
+ug AS (SELECT doc_id, unit, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM uw WHERE len(w) > 1),
+lw AS (SELECT k AS license, list_filter(regexp_split_to_array(lower(v), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM (VALUES """ + _values() + r""") AS v(k, v)),
+lg AS (SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM lw),
+li AS (SELECT license, len(g) AS m, unnest(g) AS gram FROM lg),
+ui AS (SELECT doc_id, unit, place, len(g) AS n, unnest(g) AS gram FROM ug WHERE len(g) <= 400),
+c AS (SELECT doc_id, unit, place, n, license, m, count(*) AS common FROM ui JOIN li USING (gram) GROUP BY ALL),
+d AS (SELECT *, 2 * common / (n + m) AS dice FROM c WHERE 2 * common / (n + m) >= 0.75)
+SELECT doc_id, unit, CAST(place AS INTEGER) AS place, license, CAST(n AS BIGINT) AS n_bigrams, common, CAST(dice AS DOUBLE) AS dice
+FROM d QUALIFY row_number() OVER (PARTITION BY doc_id, unit, place ORDER BY dice DESC, license) = 1
+"""
+
+
+@query("op9_license_scan", LICENSE_SQL)
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 CHAT_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
