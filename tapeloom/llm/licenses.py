@@ -80,7 +80,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     marks = with_bigrams(table, F.col("template")).withColumn("m", F.size("grams")).where("m > 0")
     span = marks.agg(F.struct(F.min("m").alias("lo"), F.max("m").alias("hi")).alias("s")).scalar()
     index = marks.select("license", "m", F.explode_outer("grams").alias("gram"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.explode(units(whole(text))).alias("_u"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.explode_outer(units(whole(text))).alias("_u"))
     rows = with_bigrams(rows.select("doc_id", "_row", "_u.unit", "_u.place", "_u.body"), F.col("body")).drop("body")
     rows = rows.withColumn("n_bigrams", F.size("grams"))
     near = (F.col("n_bigrams") >= span["lo"] * F.lit(ratio)) & (F.col("n_bigrams") * F.lit(ratio) <= span["hi"])
