@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +9,8 @@ from tapeloom.llm.common import SPACE, whole
 from tapeloom.session import materialize
 
 SAMPLES = 64
-#: Gamma(2, 1) is drawn through a table of quantiles at the middle of equal steps.
-STEPS = 4096
-_LOW = 20
-
-
-def _gamma_quantiles() -> np.ndarray:
-    """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), by bisection."""
-    p = (np.arange(STEPS) + 0.5) / STEPS
-    lo, hi = np.zeros(STEPS), np.full(STEPS, 40.0)
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
+#: Bits of each uniform number, and of a sample.
+_BITS, _LOW = 12, 20
 
 
 def weighted_terms(df: DataFrame, text: Column) -> DataFrame:
@@ -40,26 +27,22 @@ def weighted_terms(df: DataFrame, text: Column) -> DataFrame:
 def signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``sig`` (array of SAMPLES numbers) from rows with ``keys`` and ``terms``.
 
-    For sample j a term of weight w draws r, c from Gamma(2, 1) and b from [0, 1), all from a hash of term
-    and j; t = floor(ln w / r + b), and the term with the least ln c - r (t - b) - r wins. The sample is
+    For sample j a term of weight w draws r and c from Gamma(2, 1) (minus the log of a product of two
+    uniform numbers) and b from [0, 1), all from a hash of term and j; t = floor(ln w / r + b), and the term with the least ln c - r (t - b) - r wins. The sample is
     its hash with t; two documents agree on it with the probability sum of min / sum of max of their
     weights. The least is taken over whole numbers that hold the rounded value above, the sample below.
     """
-    q = _gamma_quantiles()
-    table = F.array(*[F.lit(float(x)) for x in q])
-    logs = F.array(*[F.lit(float(x)) for x in np.log(q)])
     flat = rows.select(*keys, F.explode_outer("terms").alias("_t"))
     flat = flat.select(*keys, F.col("_t.h").alias("_h"), F.ln(F.col("_t.w").cast("double")).alias("_lw"))
 
     def sample(j: int) -> Column:
         u = F.xxhash64("_h", F.lit(j))
-        pick = lambda shift: F.shiftrightunsigned(u, shift).bitwiseAND(F.lit(STEPS - 1)).cast("int")
-        r, log_c = F.get(table, pick(0)), F.get(logs, pick(12))
-        b = (pick(24) + 0.5) / STEPS
+        part = lambda k: (F.shiftrightunsigned(u, _BITS * k).bitwiseAND(F.lit((1 << _BITS) - 1)) + 0.5) / float(1 << _BITS)
+        r, log_c, b = -F.ln(part(0) * part(1)), F.ln(-F.ln(part(2) * part(3))), part(4)
         t = F.floor(F.col("_lw") / r + b)
         value = log_c - r * (t - b) - r
         high = F.shiftleft(((value + 64.0) * float(1 << 33)).cast("long"), _LOW)
-        low = F.shiftrightunsigned(u, 36).bitwiseXOR(t * F.lit(0x9E377)).bitwiseAND(F.lit((1 << _LOW) - 1))
+        low = F.col("_h").bitwiseXOR(t * F.lit(0x9E377)).bitwiseAND(F.lit((1 << _LOW) - 1))
         return F.when(F.col("_h").isNotNull(), high.bitwiseOR(low))
 
     least = flat.groupBy(*keys).agg(*[F.min(sample(j)).alias(f"_s{j}") for j in range(SAMPLES)])
@@ -115,7 +98,7 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("_tail"))
     both = both.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("_edited"))
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("_edited").alias("body")))
-    rows = both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), F.explode(sides).alias("_x"))
+    rows = both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), F.explode_outer(sides).alias("_x"))
     rows = weighted_terms(rows.select("doc_id", "n_chars", "edited_sha256", "_x.side", "_x.body"), F.col("body")).drop("body")
     sig = signatures(rows, ["doc_id", "n_chars", "edited_sha256", "side"])
     pick = lambda k: F.max(F.when(F.col("side") == k, F.col("sig")))
