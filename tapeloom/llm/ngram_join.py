@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm import setjoin
+from tapeloom.llm import setjoin, shingles
 from tapeloom.llm.common import whole
 from tapeloom.session import materialize
 
@@ -30,14 +31,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     never becomes all its pairs.
     """
     src = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
-    hashed = setjoin.with_hashes(src, F.col("text")).drop("text")
-    table = setjoin.rarity(hashed)
-    full = setjoin.ordered(hashed, table)
-    q = setjoin.prefix_size(F.col("n"))
-    prefix = F.when(F.col("n") > 0, F.slice("tokens", F.lit(1), q)).otherwise(F.array().cast("array<bigint>"))
-    full = full.withColumn("prefix", prefix)
-    light = full.select("doc_id", "n", F.xxhash64("n", "tokens").alias("s1"), F.hash("tokens").alias("s2"), F.xxhash64("n", "prefix").alias("p1"), F.hash("prefix").alias("p2"), "prefix")
-    rows = materialize(light, "sets")
+    table = np.array(setjoin.rarity(shingles.low_tokens(src.select("text"))).first()["a"], np.int32)
+    rows = materialize(shingles.prefixes(src, table), "sets")
 
     # a set is named by the smallest doc_id that has it, a group by the smallest of its sets
     key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
@@ -50,8 +45,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         ids, count = setjoin.members(pairs)
         if not count:
             return None
-        tokens = setjoin.only(full.where("n > 0").select(key.alias("id"), "tokens"), ids, count)
-        return materialize(setjoin.verified(pairs, tokens).select("a", "b"), "links")
+        texts = setjoin.only(src.select(key.alias("id"), "text"), ids, count)
+        return materialize(setjoin.verified(pairs, shingles.token_sets(texts)).select("a", "b"), "links")
 
     # a set that is not linked to the first one of its group enters the lists by itself
     links = verify(sets.where("id != group").select(F.col("group").alias("a"), F.col("id").alias("b")))

@@ -24,25 +24,27 @@ _HASH_BITS = 57
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), SPACE), "")
+    """Words with A-Z lowered. Text of ASCII only takes the faster ``lower``, which is the same there."""
+    plain = F.length(text) == F.octet_length(text)
+    return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), SPACE), "")
 
 
 def with_hashes(df: DataFrame, text: Column) -> DataFrame:
     """Adds ``hashes``: distinct shingle hashes of ``text`` (57 bits each); fewer words than a shingle make one, none make none.
 
     Hashes are built by pairs of neighbours, each step one pass over the array. Every array that a lambda
-    reads is a column of its own, so that nothing is evaluated once per element.
+    reads is a column of its own, so that nothing is evaluated once per element. Do not filter on what comes
+    of it before it is written: the filter would be pushed below with all expressions in it.
     """
     most = F.lit(1 << 30)
     df = df.withColumn("_h1", F.transform(words(text), lambda w: F.xxhash64(w)))
     df = df.withColumn("_h2", F.zip_with("_h1", F.slice("_h1", F.lit(2), most), lambda a, b: F.xxhash64(a, b)))
     df = df.withColumn("_h4", F.zip_with("_h2", F.slice("_h2", F.lit(3), most), lambda a, b: F.xxhash64(a, b)))
-    df = df.withColumn("_h5", F.zip_with("_h4", F.slice("_h1", F.lit(SHINGLE), most), lambda a, b: F.xxhash64(a, b)))
-    short = F.when(F.size("_h1") > 0, F.array(F.xxhash64("_h1"))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn("_h5", F.zip_with("_h4", F.slice("_h1", F.lit(SHINGLE), most), lambda a, b: F.shiftrightunsigned(F.xxhash64(a, b), 64 - _HASH_BITS)))
+    short = F.when(F.size("_h1") > 0, F.array(F.shiftrightunsigned(F.xxhash64("_h1"), 64 - _HASH_BITS))).otherwise(F.array().cast("array<bigint>"))
     full = F.slice("_h5", F.lit(1), F.greatest(F.size("_h1") - (SHINGLE - 1), F.lit(0)))
-    df = df.withColumn("_set", F.when(F.size("_h1") >= SHINGLE, full).otherwise(short))
-    df = df.withColumn("hashes", F.array_distinct(F.transform("_set", lambda h: F.shiftrightunsigned(h, 64 - _HASH_BITS))))
-    return df.drop("_h1", "_h2", "_h4", "_h5", "_set")
+    df = df.withColumn("hashes", F.array_distinct(F.when(F.size("_h1") >= SHINGLE, full).otherwise(short)))
+    return df.drop("_h1", "_h2", "_h4", "_h5")
 
 
 def prefix_size(n: Column) -> Column:
@@ -50,25 +52,32 @@ def prefix_size(n: Column) -> Column:
     return n - F.floor((n * NUM + (DEN - 1)) / DEN).cast("int") + 1
 
 
-def rarity(sets: DataFrame) -> Column:
-    """Slot table of token frequency, as one constant array (magnitude of the count, 0 if rare).
+#: Prefixes of a quarter lie in the lowest 3/10 of the hash range; frequencies are counted there.
+LOW = int((1 << _HASH_BITS) * 0.3)
 
-    Exact counts of the tokens in the lowest 3/10 of the hash range, where prefixes of a quarter lie. Counts
-    combine map-side; what comes back is bounded by RARITY_SLOTS.
+
+def low_tokens(sets: DataFrame) -> DataFrame:
+    """(t, c): the low tokens of ``hashes``, once each."""
+    tokens = sets.select(F.explode_outer(F.filter("hashes", lambda h: h < LOW)).alias("t"), F.lit(1).cast("long").alias("c"))
+    return tokens.where(F.col("t").isNotNull())
+
+
+def rarity(tokens: DataFrame) -> DataFrame:
+    """Slot table of token frequency, as one written row with one array (magnitude of the count, 0 if rare).
+
+    Counts of all low tokens (t, c) are exact and combine map-side; what comes back is bounded by RARITY_SLOTS.
     """
-    low = int((1 << _HASH_BITS) * 0.3)
-    tokens = sets.select(F.explode_outer(F.filter("hashes", lambda h: h < low)).alias("t")).where(F.col("t").isNotNull())
-    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "t").limit(RANKED)
-    slots = often.groupBy((F.col("t") % RARITY_SLOTS).alias("id")).agg(F.max(F.least(F.floor(F.log2("c")), F.lit(31))).cast("int").alias("m"))
+    often = tokens.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "t").limit(RANKED)
+    slots = often.groupBy(F.col("t").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("id")).agg(F.max(F.least(F.floor(F.log2("c")), F.lit(31))).cast("int").alias("m"))
     slots = materialize(slots, "rarity")
-    every = sets.sparkSession.range(RARITY_SLOTS).join(F.broadcast(slots), "id", "left").select("id", F.coalesce("m", F.lit(0)).alias("m"))
-    return materialize(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("a")), "slots").scalar()
+    every = tokens.sparkSession.range(RARITY_SLOTS).join(F.broadcast(slots), "id", "left").select("id", F.coalesce("m", F.lit(0)).alias("m"))
+    return materialize(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("a")), "slots")
 
 
 def ordered(sets: DataFrame, table: Column) -> DataFrame:
     """Replaces ``hashes`` by ``tokens`` in rarity order (sorted numbers) and ``n``, their count."""
     df = sets.withColumn("_table", table).withColumn("n", F.size("hashes"))
-    key = F.transform("hashes", lambda h: F.shiftleft(F.get(F.col("_table"), (h % RARITY_SLOTS).cast("int")).cast("bigint"), _HASH_BITS).bitwiseOR(h))
+    key = F.transform("hashes", lambda h: F.shiftleft(F.get(F.col("_table"), h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")).cast("bigint"), _HASH_BITS).bitwiseOR(h))
     return df.withColumn("tokens", F.array_sort(key)).drop("_table", "hashes")
 
 
