@@ -9,13 +9,15 @@ from tapeloom.llm.common import SPACE, whole
 from tapeloom.session import materialize
 
 SAMPLES = 64
+#: Samples that one row of the aggregate makes; more make a method too long to be compiled.
+_TOGETHER = 16
 #: Bits of each uniform number, and of a sample.
 _BITS, _LOW = 12, 20
 
 
 def weighted_terms(df: DataFrame, text: Column) -> DataFrame:
     """Adds ``terms``: array of struct(h, w), hash of each different word of ``text`` and how often it occurs."""
-    df = df.withColumn("_w", F.array_sort(F.transform(F.array_remove(F.split(text, SPACE), ""), lambda w: F.xxhash64(w))))
+    df = df.withColumn("_w", F.sort_array(F.transform(F.array_remove(F.split(text, SPACE), ""), lambda w: F.xxhash64(w))))
     index = F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("_at", F.filter(index, lambda i: (i == 0) | (F.get(F.col("_w"), i) != F.get(F.col("_w"), F.greatest(i - 1, F.lit(0))))))
     last = F.size("_w")
@@ -34,9 +36,11 @@ def signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     flat = rows.select(*keys, F.explode_outer("terms").alias("_t"))
     flat = flat.select(*keys, F.col("_t.h").alias("_h"), F.ln(F.col("_t.w").cast("double")).alias("_lw"))
+    starts = range(0, SAMPLES, _TOGETHER)
+    flat = flat.select("*", F.explode(F.array(*[F.lit(j) for j in starts])).alias("_j"))
 
-    def sample(j: int) -> Column:
-        u = F.xxhash64("_h", F.lit(j))
+    def sample(j: Column) -> Column:
+        u = F.xxhash64("_h", j)
         part = lambda k: (F.shiftrightunsigned(u, _BITS * k).bitwiseAND(F.lit((1 << _BITS) - 1)) + 0.5) / float(1 << _BITS)
         r, log_c, b = -F.ln(part(0) * part(1)), F.ln(-F.ln(part(2) * part(3))), part(4)
         t = F.floor(F.col("_lw") / r + b)
@@ -45,9 +49,11 @@ def signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
         low = F.col("_h").bitwiseXOR(t * F.lit(0x9E377)).bitwiseAND(F.lit((1 << _LOW) - 1))
         return F.when(F.col("_h").isNotNull(), high.bitwiseOR(low))
 
-    least = flat.groupBy(*keys).agg(*[F.min(sample(j)).alias(f"_s{j}") for j in range(SAMPLES)])
+    least = flat.groupBy(*keys, "_j").agg(*[F.min(sample(F.col("_j") + k)).alias(f"_s{k}") for k in range(_TOGETHER)])
     one = lambda c: F.coalesce(F.col(c), F.lit(-1).cast("long")).bitwiseAND(F.lit((1 << _LOW) - 1)).cast("int")
-    return least.select(*keys, F.array(*[one(f"_s{j}") for j in range(SAMPLES)]).alias("sig"))
+    least = least.select(*keys, "_j", *[one(f"_s{k}").alias(f"_s{k}") for k in range(_TOGETHER)]).repartition(keys[0])
+    whole_sig = least.groupBy(*keys).agg(*[F.max(F.when(F.col("_j") == j, F.col(f"_s{k}"))).alias(f"_s{j + k}") for j in starts for k in range(_TOGETHER)])
+    return whole_sig.select(*keys, F.array(*[F.col(f"_s{j}") for j in range(SAMPLES)]).alias("sig"))
 
 
 def as_text(sig: Column) -> Column:
@@ -60,19 +66,20 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """doc_id, n_chars, next_id: the next smaller doc_id, null last; after the last comes the first.
+    """key, next: structs of each doc_id and of the next smaller one, null last; after the last comes the first. ``ids``: different keys.
 
     Ids are dealt by range; the order inside a range is a window there, and one row per range carries its
     first id to the range before.
     """
-    cut = ids.repartitionByRange(F.col("doc_id").desc_nulls_last()).withColumn("_range", F.spark_partition_id())
+    down = F.col("key.id").desc_nulls_last()
+    cut = ids.repartitionByRange(down).withColumn("_range", F.spark_partition_id())
     cut = materialize(cut, "ranges")
-    inside = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last())
+    inside = Window.partitionBy("_range").orderBy(down)
     along = Window.orderBy("_range")
-    heads = cut.groupBy("_range").agg(F.max("doc_id").alias("_id")).select("_range", F.struct("_id").alias("_head"))
+    heads = cut.groupBy("_range").agg(F.max("key").alias("_head"))
     heads = heads.withColumn("_following", F.coalesce(F.lead("_head").over(along), F.first("_head").over(along)))
-    rows = cut.withColumn("_next", F.lead(F.struct(F.col("doc_id").alias("_id"))).over(inside))
-    return rows.join(heads, "_range").select("doc_id", "n_chars", F.coalesce("_next", "_following")["_id"].alias("next_id"))
+    rows = cut.withColumn("_next", F.lead("key").over(inside))
+    return rows.join(heads, "_range").select("key", F.coalesce("_next", "_following").alias("next"))
 
 
 def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,29 +91,29 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     each other only. Rows that repeat a doc_id are one document, with the greatest of their texts; a
     null doc_id is a document, last in order. An empty table gives no rows.
 
-    The next document sends only the characters that its neighbour takes. Words are counted inside each row, and samples of
-    a row's words are combined in the task that reads them; only signatures travel after that.
+    Texts are shuffled once by doc_id; the next document then sends only the characters that its neighbour takes.
+    Words are counted inside each row, and samples of a row's words are combined in the task that reads
+    them; only signatures travel after that. The key is a struct, which equals itself with a null inside.
     """
-    texts = docs.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(whole(text)).alias("text"))
-    ids = docs.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.struct(whole(text).alias("t"), F.length(whole(text)).alias("n")))["n"].alias("n_chars"))
-    order = materialize(successors(ids), "successors")
-    taken = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("_owner"), F.floor(F.col("n_chars") / 2).cast("int").alias("_n"))
-    tail = texts.alias("t").join(taken.alias("k"), F.col("t.doc_id").eqNullSafe(F.col("k.doc_id")))
-    tail = tail.select("_owner", F.substr("text", F.lit(1), F.col("_n")).alias("_tail"))
-    both = texts.join(tail, F.col("doc_id").eqNullSafe(F.col("_owner"))).drop("_owner")
+    key = F.struct(F.col(doc_id).alias("id")).alias("key")
+    texts = docs.groupBy(key).agg(F.max(whole(text)).alias("text"))
+    order = materialize(successors(docs.select(key).distinct()), "successors")
+    half = F.floor(F.length("text") / 2).cast("int")
+    taken = texts.select("key", half.alias("_n")).join(order, "key").select(F.col("next").alias("key"), F.col("key").alias("_owner"), "_n")
+    tail = texts.join(taken, "key").select(F.col("_owner").alias("key"), F.substr("text", F.lit(1), F.col("_n")).alias("_tail"))
     n = F.length("text")
-    edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("_tail"))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("_edited"))
+    edited = F.concat(F.substr("text", F.lit(1), n - half), F.col("_tail"))
+    both = texts.join(tail, "key").select("key", n.cast("long").alias("n_chars"), "text", edited.alias("_edited"))
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("_edited").alias("body")))
-    rows = both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), F.explode_outer(sides).alias("_x"))
-    rows = weighted_terms(rows.select("doc_id", "n_chars", "edited_sha256", "_x.side", "_x.body"), F.col("body")).drop("body")
-    sig = signatures(rows, ["doc_id", "n_chars", "edited_sha256", "side"])
+    own = ["key", "n_chars", "sha"]
+    rows = both.select("key", "n_chars", F.unhex(F.sha2("_edited", 256)).alias("sha"), F.explode_outer(sides).alias("_x"))
+    rows = weighted_terms(rows.select(*own, "_x.side", "_x.body"), F.col("body")).drop("body")
+    sig = signatures(rows, [*own, "side"])
     pick = lambda k: F.max(F.when(F.col("side") == k, F.col("sig")))
-    sig = sig.groupBy("doc_id", "n_chars", "edited_sha256").agg(pick(0).alias("sig"), pick(1).alias("edited_sig"))
-    sig = materialize(sig, "signatures")
-    following = order.select("doc_id", "next_id").alias("o").join(sig.select(F.col("doc_id").alias("_id"), F.col("sig").alias("next_sig")), F.col("next_id").eqNullSafe(F.col("_id")))
-    following = following.select(F.col("doc_id").alias("_own"), "next_sig")
-    out = sig.join(following, F.col("doc_id").eqNullSafe(F.col("_own")))
+    sig = materialize(sig.groupBy(*own).agg(pick(0).alias("sig"), pick(1).alias("edited_sig")), "signatures")
+    following = order.join(sig.select(F.col("key").alias("next"), F.col("sig").alias("next_sig")), "next").select("key", "next_sig")
+    out = sig.join(following, "key")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("sig")).alias("fingerprint"), as_text(F.col("edited_sig")).alias("edited_fingerprint"),
+        F.col("key.id").alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
+        as_text(F.col("sig")).alias("fingerprint"), as_text(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
