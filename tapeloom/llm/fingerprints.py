@@ -10,7 +10,7 @@ from tapeloom.session import materialize
 
 SAMPLES = 64
 #: Samples that one row of the aggregate makes; more make a method too long to be compiled.
-_TOGETHER = 16
+_TOGETHER = 8
 #: Bits of each uniform number, and of a sample.
 _BITS, _LOW = 12, 20
 
@@ -47,7 +47,7 @@ def signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
         value = log_c - r * (t - b) - r
         high = F.shiftleft(((value + 64.0) * float(1 << 33)).cast("long"), _LOW)
         low = F.col("_h").bitwiseXOR(t * F.lit(0x9E377)).bitwiseAND(F.lit((1 << _LOW) - 1))
-        return F.when(F.col("_h").isNotNull(), high.bitwiseOR(low))
+        return high.bitwiseOR(low)  # null without a term, as _lw is
 
     least = flat.groupBy(*keys, "_j").agg(*[F.min(sample(F.col("_j") + k)).alias(f"_s{k}") for k in range(_TOGETHER)])
     one = lambda c: F.coalesce(F.col(c), F.lit(-1).cast("long")).bitwiseAND(F.lit((1 << _LOW) - 1)).cast("int")
