@@ -78,7 +78,7 @@ def ordered(sets: DataFrame, table: Column) -> DataFrame:
     """Replaces ``hashes`` by ``tokens`` in rarity order (sorted numbers) and ``n``, their count."""
     df = sets.withColumn("_table", table).withColumn("n", F.size("hashes"))
     key = F.transform("hashes", lambda h: F.shiftleft(F.get(F.col("_table"), h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")).cast("bigint"), _HASH_BITS).bitwiseOR(h))
-    return df.withColumn("tokens", F.array_sort(key)).drop("_table", "hashes")
+    return df.withColumn("tokens", F.sort_array(key)).drop("_table", "hashes")
 
 
 def overlap_needed(a: Column, b: Column) -> Column:
