@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import SPACE, whole
@@ -15,6 +15,13 @@ _TOGETHER = 8
 _BITS, _LOW = 12, 20
 
 
+def log_table(spark: SparkSession) -> Column:
+    """Minus the logs of the uniform numbers, as one array that every sample looks its logs up in."""
+    one = -F.ln((F.col("id") + 0.5) / float(1 << _BITS))
+    rows = spark.range(1 << _BITS).agg(F.transform(F.sort_array(F.collect_list(F.struct("id", one.alias("x")))), lambda v: v["x"]).alias("a"))
+    return materialize(rows, "logs").scalar()
+
+
 def weighted_terms(df: DataFrame, text: Column) -> DataFrame:
     """Adds ``terms``: array of struct(h, w), hash of each different word of ``text`` and how often it occurs."""
     df = df.withColumn("_w", F.sort_array(F.transform(F.array_remove(F.split(text, SPACE), ""), lambda w: F.xxhash64(w))))
@@ -37,12 +44,14 @@ def signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
     flat = rows.select(*keys, F.explode_outer("terms").alias("_t"))
     flat = flat.select(*keys, F.col("_t.h").alias("_h"), F.ln(F.col("_t.w").cast("double")).alias("_lw"))
     starts = range(0, SAMPLES, _TOGETHER)
+    logs = log_table(rows.sparkSession)
     flat = flat.select("*", F.explode(F.array(*[F.lit(j) for j in starts])).alias("_j"))
 
     def sample(j: Column) -> Column:
         u = F.xxhash64("_h", j)
-        part = lambda k: (F.shiftrightunsigned(u, _BITS * k).bitwiseAND(F.lit((1 << _BITS) - 1)) + 0.5) / float(1 << _BITS)
-        r, log_c, b = -F.ln(part(0) * part(1)), F.ln(-F.ln(part(2) * part(3))), part(4)
+        bits = lambda k: F.shiftrightunsigned(u, _BITS * k).bitwiseAND(F.lit((1 << _BITS) - 1))
+        part = lambda k: F.get(logs, bits(k).cast("int"))
+        r, log_c, b = part(0) + part(1), F.ln(part(2) + part(3)), (bits(4) + 0.5) / float(1 << _BITS)
         t = F.floor(F.col("_lw") / r + b)
         value = log_c - r * (t - b) - r
         high = F.shiftleft(((value + 64.0) * float(1 << 33)).cast("long"), _LOW)
