@@ -73,11 +73,22 @@ def _counted(kind: str):
     return run
 
 
+def most_frequent(terms: DataFrame, most: int) -> DataFrame:
+    """Terms of every (lang, order) down to the least count at which at most ``most`` are kept; equal counts stay or go together.
+
+    Terms are first counted per count (map-side), so the window sees different counts only, never terms.
+    """
+    down = Window.partitionBy("lang", "order").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = terms.groupBy("lang", "order", "n").agg(F.count(F.lit(1)).alias("_k")).withColumn("_k", F.sum("_k").over(down))
+    least = steps.where(F.col("_k") <= most).groupBy("lang", "order").agg(F.min("n").alias("_least"))
+    return terms.join(least, ["lang", "order"]).where(F.col("n") >= F.col("_least")).drop("_least")
+
+
 def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], dict[str, int], np.ndarray]:
     """Languages, table row of every word and n-gram, and log frequency per row and language.
 
     Every document with a non-null ``lang`` and text counts. Counts are made in Spark; the most frequent
-    terms per language (a fixed number over all languages) come to the driver.
+    terms per language (at most a fixed number over all languages) come to the driver.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     schema = "lang string, order int, term string, n long"
@@ -90,9 +101,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list
     grams = words.select("lang", "term", "n").mapInArrow(_counted("gram"), schema).groupBy("lang", "order", "term").agg(F.sum("n").alias("n"))
     grams = materialize(grams, "grams")
     totals |= {(r["lang"], r["order"]): r["n"] for r in grams.groupBy("lang", "order").agg(F.sum("n").alias("n")).collect()}
-    top = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "term")
-    kept = [x.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= most // len(langs)).drop("_r").toArrow()
-            for x, most in ((words, WORD_ROWS), (grams, GRAM_ROWS))]
+    kept = [most_frequent(x, most // len(langs)).toArrow() for x, most in ((words, WORD_ROWS), (grams, GRAM_ROWS))]
     table = pa.concat_tables(kept)
     at: dict[str, int] = {}
     place = {x: i for i, x in enumerate(langs)}
