@@ -145,18 +145,23 @@ def daily_bars(
 ) -> DataFrame:
     """First / max / min / last / sum per key. Give ``price`` for ticks or the four bar columns.
 
+    First and last are the first and last known values: bars without one are passed over.
     All parts are mergeable, so partial aggregation runs before the only exchange.
     """
     o, h, lo, c = (x or price for x in (open, high, low, close))
     key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+    def known(x: str) -> Column:
+        return F.when(F.col(x).isNotNull(), key)
+
     aggs = [
-        F.min_by(o, key).alias("open"), F.max(h).alias("high"), F.min(lo).alias("low"), F.max_by(c, key).alias("close"),
+        F.min_by(o, known(o)).alias("open"), F.max(h).alias("high"), F.min(lo).alias("low"), F.max_by(c, known(c)).alias("close"),
         F.sum(volume).alias("volume"), F.round(F.sum(amount), 2).alias("amount"),
     ]
     if open_interest:
-        aggs.append(F.max_by(open_interest, key).alias("open_interest"))
+        aggs.append(F.max_by(open_interest, known(open_interest)).alias("open_interest"))
     if dominant:
-        aggs.append(F.max_by(dominant, key).alias("dominant_id"))
+        aggs.append(F.max_by(dominant, known(dominant)).alias("dominant_id"))
     return ticks.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("num_trades"))
 
 

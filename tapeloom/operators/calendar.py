@@ -21,16 +21,18 @@ def align(panel: DataFrame, calendar: DataFrame, inst: str = "inst", dt: str = "
 
     Each row is stretched over the trade days up to the instrument's next row, by day
     index; only the first copy keeps its values. One exchange by instrument, no join of the
-    panel with itself and no range join. The calendar is small and broadcast.
+    panel with itself and no range join. The calendar is small and broadcast. Rows whose day
+    is not in the calendar stay as they are.
     """
     cal = calendar.select(dt, "idx")
-    rows = panel.join(F.broadcast(cal.withColumnRenamed("idx", "_i")), dt)
+    rows = panel.join(F.broadcast(cal.withColumnRenamed("idx", "_i")), dt, "left")
     following = F.lead("_i").over(Window.partitionBy(inst).orderBy("_i"))
     rows = rows.withColumn("_j", F.coalesce(following - 1, F.col("_i")))
-    rows = rows.withColumn("idx", F.explode(F.sequence("_i", "_j"))).drop(dt)
-    own = F.col("idx") == F.col("_i")
+    rows = rows.withColumn("idx", F.explode_outer(F.sequence("_i", "_j"))).withColumnRenamed(dt, "_dt")
+    own = F.col("_i").isNull() | (F.col("idx") == F.col("_i"))
     values = [F.when(own, F.col(c)).alias(c) for c in panel.columns if c not in (inst, dt)]
-    return rows.select(inst, "idx", *values).join(F.broadcast(cal), "idx").select(*panel.columns)
+    rows = rows.select(inst, "idx", "_dt", *values).join(F.broadcast(cal), "idx", "left")
+    return rows.withColumn(dt, F.coalesce(dt, "_dt")).select(*panel.columns)
 
 
 def next_trade_day(calendar: DataFrame, dt: str = "dt") -> DataFrame:
@@ -100,7 +102,7 @@ def roll_segments(calendar: DataFrame, segments: dict[str, tuple[str, str]], dt:
         (F.col("r.old_e") - F.col("r.old_s") + 1).alias("length"),
     )
     return moved.join(
-        F.broadcast(calendar.select(F.col("idx").alias("s"), F.col(dt).alias("start_dt"))), "s"
-    ).join(F.broadcast(calendar.select(F.col("idx").alias("e"), F.col(dt).alias("end_dt"))), "e").select(
+        F.broadcast(calendar.select(F.col("idx").alias("s"), F.col(dt).alias("start_dt"))), "s", "left"
+    ).join(F.broadcast(calendar.select(F.col("idx").alias("e"), F.col(dt).alias("end_dt"))), "e", "left").select(
         "segment", "length", "start_dt", "end_dt"
     )

@@ -66,26 +66,27 @@ def select_factors(
     return ok.join(high_correlation_drop(left, threshold), "factor", "left_anti")
 
 
-def link_groups(factors: DataFrame, pairs: DataFrame, threshold: float = 0.7, max_rounds: int = 50) -> DataFrame:
+def link_groups(factors: DataFrame, pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(factor, cluster): connected components of the links with |corr| >= threshold.
 
     The studied report merges by average linkage, which is serial; components can be
     larger than its groups. The cluster is named by its first factor. Each round takes the
-    smallest label among neighbours and is written out, so lineage stays short.
+    smallest label among neighbours and the label of the own label, so rounds grow with the logarithm of
+    the longest chain; each is written out, so lineage stays short. Loops until nothing changes.
     """
     edges = pairs.where(F.abs("corr") >= threshold).select("f1", "f2")
     edges = materialize(edges.unionByName(edges.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"))).distinct(), "edges")
     labels = materialize(factors.select("factor", F.col("factor").alias("cluster")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("factor", "f2"), "f2").groupBy("f1").agg(F.min("cluster").alias("_near"))
-        new = labels.join(near.withColumnRenamed("f1", "factor"), "factor", "left").select(
-            "factor", "cluster", F.least("cluster", F.coalesce("_near", "cluster")).alias("_new"))
+        jump = labels.select(F.col("factor").alias("cluster"), F.col("cluster").alias("_far"))
+        new = labels.join(near.withColumnRenamed("f1", "factor"), "factor", "left").join(jump, "cluster", "left").select(
+            "factor", "cluster", F.least("cluster", "_near", "_far").alias("_new"))
         new = materialize(new, "labels")
         changed = new.where(F.col("_new") != F.col("cluster")).limit(1).count()
         labels = new.select("factor", F.col("_new").alias("cluster"))
         if not changed:
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def wide_series(daily: DataFrame, factors: Sequence[str], value: str = "rank_ic", dt: str = "dt") -> DataFrame:
@@ -213,7 +214,8 @@ def factor_report(panel: DataFrame, factors: Sequence[str], min_names: int = 10,
     """The whole report of one factor panel (inst, dt, label, factors): health, rank IC, stability.
 
     The panel is written out first: seven aggregates read it, and none should build the
-    rolling features again.
+    rolling features again. A factor without a known value or without a day of rank
+    correlation stays: entropy and coverage 0, null statistics.
     """
     from tapeloom.operators import health, ranking
 
@@ -230,5 +232,5 @@ def factor_report(panel: DataFrame, factors: Sequence[str], min_names: int = 10,
         health.longest_null_run(panel, factors, split=big), ranking.rank_ic_summary(daily),
     ]
     for p in parts:
-        base = base.join(F.broadcast(p), "factor")
-    return base
+        base = base.join(F.broadcast(p), "factor", "left")
+    return base.fillna(0.0, ["entropy", "coverage"])

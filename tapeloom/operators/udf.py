@@ -44,19 +44,14 @@ def score_rows(df: DataFrame, predict: Callable[[pd.DataFrame], pd.Series], feat
 
 
 def score_days(
-    df: DataFrame, predict: Callable[[pd.DataFrame], pd.Series], features: Sequence[str], max_names: int,
+    df: DataFrame, predict: Callable[[pd.DataFrame], pd.Series], features: Sequence[str],
     dt: str = "dt", inst: str = "inst",
 ) -> DataFrame:
     """Score with a function that needs all names of a day at once.
 
-    Such a function takes its whole day by definition, so ``max_names``, the measured
-    largest day, must fit a task; otherwise standardise by day in Spark and use
-    ``score_rows``.
+    Such a function takes its whole day by definition, so a day must fit a task; otherwise
+    standardise by day in Spark and use ``score_rows``.
     """
-    from tapeloom.scale import group_limit
-
-    if max_names > group_limit(df.sparkSession):
-        raise ValueError("a day has more names than one task takes; use score_rows on day-normalised features")
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -42,16 +42,19 @@ def largest_group(df: DataFrame, keys: Sequence[str] = ()) -> int:
     return int(top or 0)
 
 
-def must_split(df: DataFrame, keys: Sequence[str] = ()) -> bool:
-    return largest_group(df, keys) > group_limit(df.sparkSession)
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", equal: Sequence[str] = ()) -> DataFrame:
+    """Join on null-safe equality of ``keys`` and plain equality of ``equal``; the left side's key columns stay.
 
-
-def _match(left: str, right: str, keys: Sequence[str]) -> Column:
-    """Null-safe key equality, so that groups with a null key keep their rows."""
+    A group with a null key keeps its rows, as it does in a window.
+    """
+    names = {k: f"_key{i}" for i, k in enumerate([*keys, *equal])}
+    right = right.withColumnsRenamed(names)
     cond = F.lit(True)
     for k in keys:
-        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return cond
+        cond = cond & F.col(k).eqNullSafe(F.col(names[k]))
+    for k in equal:
+        cond = cond & (F.col(k) == F.col(names[k]))
+    return left.join(right, cond, how).drop(*names.values())
 
 
 def per_group(df: DataFrame, keys: Sequence[str], *aggs: Column, bounded: bool = False) -> DataFrame:
@@ -85,7 +88,7 @@ def ranked_values(df: DataFrame, keys: Sequence[str], x: str, buckets: int = BUC
     place = F.size(F.filter(F.col("_edges"), lambda e: e < F.col(x))).alias("_b")
     # no hint unless the group count is one: the planner sees the size of the written table
     placed = (
-        counts.join(edges, keys, "left") if keys else counts.withColumn("_edges", edges.scalar())
+        join_keys(counts, edges, keys, "left") if keys else counts.withColumn("_edges", edges.scalar())
     ).select(*keys, x, "n", place)
     sums = placed.groupBy(*keys, "_b").agg(F.sum("n").alias("_bn"), F.count(F.lit(1)).alias("_bd"))
     # at most `buckets` rows per group
@@ -102,7 +105,7 @@ def ranked_values(df: DataFrame, keys: Sequence[str], x: str, buckets: int = BUC
         "_lb": F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "_ld": F.row_number().over(inside),
     })
-    return local.join(sums, [*keys, "_b"]).select(
+    return join_keys(local, sums, keys, equal=["_b"]).select(
         *keys, x, "n",
         (F.col("_off") + F.col("_lb")).alias("below"),
         (F.col("_doff") + F.col("_ld")).alias("dense"),
@@ -141,7 +144,7 @@ def with_ranks(
     else:
         mean_rank = F.col("total") - F.col("below") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)
         top = ranks.groupBy(*keys).agg(F.max("dense").alias("_top"))
-        ranks = ranks.join(top, keys) if keys else ranks.withColumn("_top", top.scalar())
+        ranks = join_keys(ranks, top, keys) if keys else ranks.withColumn("_top", top.scalar())
         dense_rank = F.col("_top") - F.col("dense") + 1
     out = [F.col(k) for k in [*keys, x]]
     if avg:
@@ -151,7 +154,7 @@ def with_ranks(
     if pct:
         out.append((mean_rank / F.col("total")).alias(pct))
     # a hot value is one small row on the right: the adaptive skew join splits the left side
-    return df.join(ranks.select(*out), [*keys, x], "left")
+    return join_keys(df, ranks.select(*out), keys, "left", equal=[x])
 
 
 def quantiles(
@@ -180,14 +183,14 @@ def quantiles(
     if not keys:
         return found
     # groups with nothing but nulls keep their row
-    return df.select(*keys).distinct().join(found, keys, "left")
+    return join_keys(df.select(*keys).distinct(), found, keys, "left")
 
 
 def row_numbers(
     df: DataFrame, keys: Sequence[str], x: str, tie: str, out: str, split: bool = False, ascending: bool = True,
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """1-based position by ``x`` then ``tie`` ascending. ``tie`` is unique inside a group.
+    """1-based position by ``x`` then ``tie`` ascending; null values come last. ``tie`` is unique inside a group and not null.
 
     The split way ranks the values first and then orders ``tie`` only among equal values.
     ``source`` is as in ``with_ranks``.
@@ -200,9 +203,12 @@ def row_numbers(
     ranks = ranked_values(base, keys, x)
     first = F.col("below") if ascending else F.col("total") - F.col("below") - F.col("n")
     ranks = ranks.select(*keys, x, first.alias("_first"), F.col("n").alias("_ties"))
-    tied = base.join(ranks.where(F.col("_ties") > 1), [*keys, x], "left_semi")
+    # rows without a value come after all others, in the order of ``tie``
+    known = base.groupBy(*keys).agg(F.count(x).alias("_first"), F.count(F.when(F.col(x).isNull(), 1)).alias("_ties"))
+    ranks = ranks.unionByName(known.where("_ties > 0").withColumn(x, F.lit(None).cast(base.schema[x].dataType)))
+    tied = join_keys(base, ranks.where(F.col("_ties") > 1).select(*keys, x), [*keys, x], "left_semi")
     inner = ranked_values(tied, [*keys, x], tie).select(*keys, x, tie, F.col("below").alias("_in"))
-    placed = df.join(ranks, [*keys, x], "left").join(inner, [*keys, x, tie], "left")
+    placed = join_keys(join_keys(df, ranks, [*keys, x], "left"), inner, [*keys, x], "left", equal=[tie])
     pos = F.col("_first") + F.coalesce(F.col("_in"), F.lit(0)) + 1
     return placed.withColumn(out, pos.cast("long")).drop("_first", "_ties", "_in")
 
@@ -238,7 +244,7 @@ def stitched(
         F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         *[F.lag(f"_last_{o}").over(along).alias(f"_prev_{o}") for o in previous],
     )
-    rows = rows.join(heads, parts)
+    rows = join_keys(rows, heads, parts)
     if number:
         rows = rows.withColumn(number, F.col("_rn") + F.col("_off"))
     for out in previous:
