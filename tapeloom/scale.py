@@ -47,6 +47,8 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
     A group with a null key keeps its rows, as it does in a window.
     """
+    if not keys:
+        return left.join(right, list(equal), how)
     names = {k: f"_key{i}" for i, k in enumerate([*keys, *equal])}
     right = right.withColumnsRenamed(names)
     cond = F.lit(True)
