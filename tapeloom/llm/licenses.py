@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import whole
+from tapeloom.session import materialize
 
 LEAST = 0.75
 
@@ -31,6 +32,7 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 NOT_WORD = r"[^\p{L}\p{N}]+"
+PARAGRAPH = r"\n[\x20\x09\x0B-\x0D]*\n"
 
 
 def words(text: Column) -> Column:
@@ -46,6 +48,14 @@ def with_bigrams(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumn("grams", F.array_distinct(F.zip_with("_a", "_b", lambda a, b: F.concat(a, F.lit(" "), b)))).drop("_w", "_a", "_b")
 
 
+def with_all_bigrams(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``every``, the word bigrams of ``text`` in order, repeats included."""
+    df = df.withColumn("_w", words(text))
+    heads = F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0)))
+    df = df.withColumn("_a", heads).withColumn("_b", F.slice("_w", F.lit(2), F.lit(1 << 30)))
+    return df.withColumn("every", F.zip_with("_a", "_b", lambda a, b: F.concat(a, F.lit(" "), b))).drop("_w", "_a", "_b")
+
+
 def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES), "license string, template string")
 
@@ -53,16 +63,74 @@ def default_templates(spark: SparkSession) -> DataFrame:
 def units(text: Column) -> Column:
     """What is compared: every line, every paragraph of several lines, and the text if it has several paragraphs."""
     piece = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("place"), x.alias("body"))
-    lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n[\x20\x09\x0B-\x0D]*\n")
+    lines, paragraphs = F.split(text, "\n"), F.split(text, PARAGRAPH)
     several = F.filter(F.transform(paragraphs, piece("paragraph")), lambda p: p["body"].contains("\n"))
     all_ = F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("place"), text.alias("body"))))
     none = F.array().cast("array<struct<unit:string,place:int,body:string>>")
     return F.concat(F.transform(lines, piece("line")), several, F.coalesce(all_, none))
 
 
+def passages(rows: DataFrame, marks: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Runs of words inside a text that reach ``least`` with a template: _row, place (first word, from 0), license, n_bigrams, common, dice.
+
+    The best window may be taken to begin and end at runs of template bigrams: one more common bigram beside
+    it never lowers Dice. A document must hold a share of least / (2 - least) of a template's distinct bigrams somewhere;
+    for those pairs alone all windows from run to run are scored, up to a template's length (repeats
+    counted) divided by that share. Of windows of a license that overlap the highest Dice stays, then the shorter,
+    the earlier; so it is for two licenses if half of the longer window is shared (a short notice inside a long one is
+    a row of its own). Windows that meet a unit in ``found`` in this way are left out.
+    Hits are looked up by 64-bit hashes, counts come from the words.
+    """
+    ratio = least / (2 - least)
+    index = F.broadcast(marks.select("license", "m", "long", F.explode("grams").alias("_g")).select("license", "m", "long", F.xxhash64("_g").alias("h")))
+    pairs = rows.select("_row", words(F.col("text")).alias("_w"))
+    pairs = pairs.select("_row", F.posexplode(F.zip_with(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", F.lit(2), F.lit(1 << 30)), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))).alias("pos", "h"))
+    hits = pairs.join(index, "h")
+    own = ["_row", "license", "m", "long"]
+    seen = hits.groupBy(*own, "h").agg(F.collect_list("pos").alias("at"))
+    seen = seen.groupBy(*own).agg(F.count(F.lit(1)).alias("_c"), F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
+    seen = materialize(seen.where(F.col("_c") >= F.col("m") * F.lit(ratio)).drop("_c"), "license-places")
+    # runs of neighbours: first and last place, and hits up to and before them
+    seen = seen.withColumn("_n", F.size("at"))
+    heads = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (F.get("at", i - 1) < F.get("at", i) - 1))
+    tails = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == F.col("_n") - 1) | (F.get("at", i + 1) > F.get("at", i) + 1))
+    seen = materialize(seen.withColumn("_heads", heads).withColumn("_tails", tails), "license-runs")
+    one = seen.select(*own, "at", "_tails", F.explode("_heads").alias("_i")).withColumn("a", F.get("at", F.col("_i")))
+    one = one.select(*own, "at", "_i", "a", F.explode("_tails").alias("_j")).withColumn("b", F.get("at", F.col("_j")))
+    one = one.where((F.col("_j") >= F.col("_i")) & (F.col("_j") - F.col("_i") + 1 >= F.col("m") * F.lit(ratio)) & ((F.col("b") - F.col("a") + 1) * F.lit(ratio) <= F.col("long")))
+    texts = rows.join(seen.select("_row").distinct(), "_row", "left_semi")
+    texts = materialize(with_all_bigrams(texts, F.col("text")), "license-texts")
+    one = one.select(*own, "a", "b").join(texts.select("_row", "every"), "_row").join(F.broadcast(marks.select("license", "grams")), "license")
+    one = one.withColumn("_x", F.array_distinct(F.slice("every", F.col("a") + 1, F.col("b") - F.col("a") + 1)))
+    one = one.select("_row", "license", "m", "a", "b", F.size("_x").alias("n_bigrams"), F.size(F.array_intersect("_x", "grams")).cast("long").alias("common"))
+    one = one.withColumn("dice", 2 * F.col("common") / (F.col("n_bigrams") + F.col("m"))).where(F.col("dice") >= least)
+    # units are found by line and paragraph; their first word is counted here, in texts with a match only
+    units_at = found.groupBy("_row").agg(F.collect_list(F.struct("unit", "place", "license", "dice")).alias("_units"))
+    first = lambda u, body, n: F.size(words(F.array_join(F.slice(F.split(body, n), F.lit(1), u["place"]), "\n")))
+    length = lambda u, body, n: F.size(words(F.get(F.split(body, n), u["place"])))
+    body = F.col("text")
+    kind = lambda u, f, rest: F.when(u["unit"] == "line", f(u, body, "\n")).when(u["unit"] == "paragraph", f(u, body, PARAGRAPH)).otherwise(rest)
+    ranged = F.transform("_units", lambda u: F.struct(kind(u, first, F.lit(0)).alias("a"), kind(u, length, F.size(words(body))).alias("n"), u["license"].alias("license"), u["dice"].alias("dice")))
+    ranged = F.transform(ranged, lambda u: F.struct(u["a"].alias("a"), (u["a"] + u["n"] - 2).alias("b"), u["license"].alias("license"), u["dice"].alias("dice")))  # b: last bigram
+    known = texts.select("_row", "text").join(units_at, "_row").select("_row", ranged.alias("_known"))
+    item = F.struct((-F.col("dice")).alias("d"), (F.col("b") - F.col("a")).alias("len"), "a", "license", "b", "n_bigrams", "common", "dice")
+    taken = one.groupBy("_row").agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    common = lambda x, c: F.least(x["b"], c["b"]) - F.greatest(x["a"], c["a"]) + 1
+    longer = lambda x, c: F.greatest(x["b"] - x["a"], c["b"] - c["a"]) + 1
+    meets = lambda x, c: (common(x, c) > 0) & ((x["license"] == c["license"]) | ((common(x, c) * 2 >= longer(x, c)) & (c["dice"] >= x["dice"])))
+    pick = F.aggregate("_all", F.filter("_all", lambda x: F.lit(False)), lambda got, x: F.when(F.exists(got, lambda c: meets(x, c)), got).otherwise(F.concat(got, F.array(x))))
+    taken = taken.select("_row", pick.alias("_all")).join(known, "_row", "left")
+    new = F.filter("_all", lambda x: ~F.coalesce(F.exists("_known", lambda u: meets(x, u)), F.lit(False)))
+    taken = taken.select("_row", F.explode(new).alias("_x"))
+    return taken.select("_row", F.col("_x.a").alias("place"), "_x.license", "_x.n_bigrams", "_x.common", "_x.dice")
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """Matches: doc_id, unit, place (from 0), license, n_bigrams, common, dice - the best template of every unit that reaches ``least``.
 
+    Units are lines, paragraphs of several lines and the text; a notice that is none of these (inside a longer line, over
+    several paragraphs of a longer text) is a unit ``passage`` whose place is its first word, see ``passages``.
+
     Dice is 2 common / (n + m) over distinct bigrams of normalised words; ties go to the first license by
     name. Null and empty texts, units of one word and documents without a match give no rows; rows that
     repeat give their matches again. Templates are a small table, checked to be under a thousand rows.
@@ -80,9 +148,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     marks = with_bigrams(table, F.col("template")).withColumn("m", F.size("grams")).where("m > 0")
     span = marks.agg(F.struct(F.min("m").alias("lo"), F.max("m").alias("hi")).alias("s")).scalar()
     index = marks.select("license", "m", F.explode_outer("grams").alias("gram"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.explode_outer(units(whole(text))).alias("_u"))
-    rows = with_bigrams(rows.select("doc_id", "_row", "_u.unit", "_u.place", "_u.body"), F.col("body")).drop("body")
-    rows = rows.withColumn("n_bigrams", F.size("grams"))
+    marks = materialize(marks.withColumn("long", F.size(words(F.col("template"))) - 1).drop("template"), "license-templates")
+    own = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), whole(text).alias("text")), "license-rows")
+    rows = own.select("doc_id", "_row", F.explode_outer(units(F.col("text"))).alias("_u"))
+    rows = rows.select("doc_id", "_row", "_u.unit", "_u.place", "_u.body")
+    rows = with_bigrams(rows, F.col("body")).withColumn("n_bigrams", F.size("grams"))
     near = (F.col("n_bigrams") >= span["lo"] * F.lit(ratio)) & (F.col("n_bigrams") * F.lit(ratio) <= span["hi"])
     grams = rows.select("doc_id", "_row", "unit", "place", "n_bigrams", F.explode_outer(F.when(near, F.col("grams"))).alias("gram"))
     fits = (F.col("n_bigrams") >= F.col("m") * F.lit(ratio)) & (F.col("n_bigrams") * F.lit(ratio) <= F.col("m"))
@@ -91,5 +161,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     scored = hits.groupBy(*key, "license", "m").agg(F.count(F.lit(1)).alias("common"))
     scored = scored.withColumn("dice", 2 * F.col("common") / (F.col("n_bigrams") + F.col("m"))).where(F.col("dice") >= least)
     best = Window.partitionBy(*key).orderBy(F.desc("dice"), "license")
-    scored = scored.withColumn("_k", F.row_number().over(best)).where("_k = 1")
-    return scored.select("doc_id", "unit", "place", "license", F.col("n_bigrams").cast("long").alias("n_bigrams"), "common", "dice")
+    scored = materialize(scored.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k"), "license-units")
+    more = passages(own.select("_row", "text"), marks, scored, least)
+    more = more.join(own.select("_row", "doc_id"), "_row").withColumn("unit", F.lit("passage"))
+    out = ["doc_id", "unit", "place", "license", F.col("n_bigrams").cast("long").alias("n_bigrams"), "common", "dice"]
+    return scored.select(*out).unionByName(more.select(*out))

@@ -134,6 +134,19 @@ def test_license_scan(spark, edge_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0 and licenses.scan(edge_docs).count() == 0
 
 
+def test_license_inside_text(spark):
+    mit, apache = dict(licenses.TEMPLATES)["MIT"], dict(licenses.TEMPLATES)["Apache-2.0-line"]
+    parts = mit.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    other = " ".join(f"other{i} word" for i in range(150))
+    rows = [(1, f"{other}\n\n{parts}\n\n{other}"), (2, f"We wrote this in May. {apache} Please send your notes to us."),
+            (None, f"{apache}\n{other} {apache} {other}"), (None, other), (3, f"{other}\n{apache}\n\n{other}\nx {parts} y"),
+            (4, f"{other} {dict(licenses.TEMPLATES)['Apache-2.0']} {other}")]
+    got = sorted(((r["doc_id"] or 0, r["unit"], r["place"], r["license"], round(r["dice"], 2)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    line = len(apache.replace(".", " ").split())
+    assert [g for g in got if g[1] == "passage"] == [(0, "passage", line + 300, "Apache-2.0-line", 1.0), (1, "passage", 300, "MIT", 1.0), (2, "passage", 5, "Apache-2.0-line", 1.0), (3, "passage", 601 + line, "MIT", 1.0), (4, "passage", 300, "Apache-2.0", 1.0), (4, "passage", 300, "Apache-2.0-line", 1.0)]
+    assert [g[:4] for g in got if g[1] == "line"] == [(0, "line", 0, "Apache-2.0-line"), (3, "line", 1, "Apache-2.0-line")]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
