@@ -147,6 +147,23 @@ def test_license_inside_text(spark):
     assert [g[:4] for g in got if g[1] == "line"] == [(0, "line", 0, "Apache-2.0-line"), (3, "line", 1, "Apache-2.0-line")]
 
 
+def test_license_whole_texts(spark):
+    """The wording as licence files have it, with numbers, title and copyright line."""
+    at = dict(licenses.TEMPLATES)
+    head = "BSD 2-Clause License\n\nCopyright (c) 2020, Some Body\nAll rights reserved.\n\n"
+    two = at["BSD-2-Clause"].replace("met: ", "met:\n\n1. ").replace("disclaimer. Redistributions", "disclaimer.\n\n2. Redistributions").replace("distribution. THIS", "distribution.\n\nTHIS")
+    with open("/usr/share/common-licenses/BSD") as f:
+        three = f.read()
+    isc = "Copyright 2021 A B\n\n" + at["ISC"].replace("copies. ", "copies.\n\n")
+    rows = [(1, head + two), (2, three), (3, isc)] + [(4 + i, at[k]) for i, k in enumerate(WHOLE)]
+    got = {r["doc_id"]: (r["license"], r["dice"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("unit = 'text'").collect()}
+    assert [got[i][0] for i in (1, 2, 3)] == ["BSD-2-Clause", "BSD-3-Clause", "ISC"] and all(got[i][1] > 0.9 for i in (1, 2, 3))
+    assert [got[4 + i] for i in range(len(WHOLE))] == [(k, 1.0) for k in WHOLE]
+
+
+WHOLE = ("Apache-2.0-text", "GPL-2.0-text", "GPL-3.0-text", "LGPL-2.1-text", "LGPL-3.0-text", "MPL-2.0-text", "Unlicense")
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
