@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.session import materialize
+
 #: White space is ASCII only: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,6 +26,17 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number of its own for every row, and that column's name.
+
+    Ids may be null or repeat; decisions on rows meet their rows by this key.
+    """
+    name = "_row_key"
+    while name in docs.columns:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 

@@ -101,6 +101,30 @@ def test_lines_edges(edge_docs, no_docs):
     assert line_dedup.flags(no_docs).count() == 0 and line_dedup.clean(no_docs).count() == 0
 
 
+def brute_clean(docs):
+    """(doc_id, text) after line dedup; rows of one doc_id, or of none, are different documents in the given order."""
+    out, earlier = [], []
+    for i, text in sorted(docs, key=lambda r: (r[0] is None, r[0] or 0)):
+        stays, had = [], False
+        for x in (text or "").split("\n"):
+            s = shingle_set(x)
+            had = had or bool(s)
+            stays.append((x, bool(s), not any(match(s, e) for e in earlier)))
+            earlier.append(s)
+        if not had or any(word and new for _, word, new in stays):
+            out.append((i, text if text is None else "\n".join(x for x, _, new in stays if new)))
+    return sorted(out, key=str)
+
+
+def test_lines_of_rows_that_share_an_id(spark, edge_docs):
+    rows = [(None, "one two three four five six\nonly in the first of these"), (None, "a line of its own here\nsecond line is its own"), (7, "one two three four five six"),
+            (3, "alpha beta gamma delta eps"), (3, "unique in the second three\nalpha beta gamma delta eps"), (None, "nothing else\nsecond line is its own"), (9, "")]
+    got = [(r["doc_id"], r["text"]) for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    assert sorted(got, key=str) == brute_clean(rows)
+    got = [(r["doc_id"], r["text"]) for r in line_dedup.clean(edge_docs.coalesce(1)).collect()]
+    assert sorted(got, key=str) == brute_clean([(r["doc_id"], r["text"]) for r in edge_docs.collect()])
+
+
 def test_fingerprints(near_docs):
     got = {r["doc_id"]: r for r in fingerprints.compare(near_docs).collect()}
     rows = sorted(((r["doc_id"], r["text"] or "") for r in near_docs.collect()), reverse=True)
