@@ -1,4 +1,7 @@
-"""The corpus pipeline: language, lines, near copies, mix, packing. Each stage is written and read again."""
+"""The corpus pipeline: language, lines, near copies, mix, packing. Each stage is written and read again.
+
+Decisions meet their rows by a key that a stage writes for itself, so null and repeated doc_ids lose no row.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import langid, line_dedup, mixing, ngram_join, packing
-from tapeloom.llm.common import documents
+from tapeloom.llm.common import documents, keyed
 from tapeloom.session import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found stay; those without a letter, or of no known language, go."""
-    found = langid.identify(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.3))
-    return docs.join(found.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Documents whose language is found stay; those without a letter, or of no known language, go. Every row is judged by its own text."""
+    rows, key = keyed(docs)
+    model = langid.train(rows.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict(rows, model, key).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.3))
+    return rows.join(found.select(F.col("doc_id").alias(key)), key, "left_semi").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +27,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shared shingles the one with the smallest doc_id stays."""
-    found = ngram_join.classes(docs).where(F.col("doc_id") == F.col("component_id"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Of documents linked by shared shingles the one with the smallest doc_id stays, a null doc_id last; of rows that tie, one."""
+    rows, key = keyed(docs)
+    found = ngram_join.classes(rows.select(F.col(key).alias("doc_id"), "text")).withColumnRenamed("doc_id", key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key))
+    kept = found.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(first.alias("_first")).select(F.col(f"_first.{key}").alias(key))
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

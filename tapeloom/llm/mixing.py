@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import let, n_words, whole
+from tapeloom.llm.common import keyed, let, n_words, whole
 from tapeloom.session import materialize
 
 #: Words in a block of a source, about; and blocks drawn into one output shard, about.
@@ -124,7 +124,7 @@ def _key(seed: int, *parts: Column) -> Column:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11,
         weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-        block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+        block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, passes, part, taken, draws.
 
     ``size`` counts words (null text: 0). A source's quota is its target in whole words. It is met by
@@ -136,13 +136,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     words null for a whole copy. The shards come from ``split_tree``; every draw of a permuted
     list of a source's blocks belongs to one shard. Equal input gives equal results, as every
     random choice is a hash of its place and ``seed``. Rows that repeat a doc_id are taken one by
-    one; an empty table gives no rows; a document without words is drawn but gives none.
+    one; ``row`` names a key of the rows that is carried along and settles ties of the order; an empty
+    table gives no rows; a document without words is drawn but gives none.
 
     Text is read once, for the sizes. Totals, blocks and quotas are aggregates combined map-side;
     documents only meet their block's row, and only border blocks (one per source, of bounded
     words) are ordered.
     """
-    sizes = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(whole(text)).alias("size")), "sizes")
+    also = [F.col(row)] if row else []
+    sizes = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(whole(text)).alias("size"), *also), "sizes")
     goal = targets(sizes, weights, share, most)
     quota, size = F.floor("target").cast("long"), F.col("source_size")
     goal = goal.withColumn("passes", F.when(size > 0, F.floor(quota / size)).otherwise(F.lit(0)).cast("long"))
@@ -177,8 +179,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     rows = rows.drop("passes", "rest", "blocks").join(placed, ["_s", "block"], "left")
     none = F.array().cast(placed.schema["draws"].dataType)
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "_s", "block", "upto", F.coalesce("whole", F.lit(0)).alias("passes"), F.coalesce("draws", none).alias("draws"))
-    border = Window.partitionBy("_s", "block").orderBy(_key(seed, F.lit("cut"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id", "size")
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "_s", "block", "upto", F.coalesce("whole", F.lit(0)).alias("passes"), F.coalesce("draws", none).alias("draws"), *also)
+    border = Window.partitionBy("_s", "block").orderBy(_key(seed, F.lit("cut"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id", "size", *also)
     ahead = F.coalesce(F.sum("size").over(border.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = rows.where(F.col("upto").isNotNull()).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("upto") - ahead)))
     plain = rows.where(F.col("upto").isNull()).withColumn("part", F.lit(0).cast("long"))
@@ -187,7 +189,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     own = F.transform("draws", lambda d: F.struct(d["shard"].alias("shard"), F.when(d["words"].isNotNull(), F.col("part")).alias("words")))
     own = F.filter(own, lambda d: d["words"].isNull() | (d["words"] > 0))
     return out.select("doc_id", "source", "size", "source_size", "target", "passes", "part",
-                      (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), own.alias("draws"))
+                      (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), own.alias("draws"), *also)
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -198,16 +200,17 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: the columns of ``docs`` and _shard, a row for each draw of a document, shuffled inside each shard.
 
-    A document that is drawn in part gives its first words. Doc ids are taken as unique. Shards are
-    hashed to tasks and ordered by a hash there; no order spans tasks.
+    A document that is drawn in part gives its first words. Rows meet their own draws by a written row key,
+    so doc_ids may be null or repeat. Shards are hashed to tasks and ordered by a hash there; no order spans tasks.
     """
     seed = options.get("seed", 11)
-    chosen = mix(docs, doc_id, text, source, **options).where(F.size("draws") > 0)
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.explode("draws").alias("_draw"))
-    rows = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["_id"]))
+    docs, row = keyed(docs)
+    columns = [c for c in docs.columns if c != row]
+    chosen = mix(docs, doc_id, text, source, row=row, **options).where(F.size("draws") > 0)
+    rows = docs.join(chosen.select(row, F.explode("draws").alias("_draw")), row)
     words = F.col("_draw.words")
     cut = F.when(words.isNull() | (words >= n_words(whole(text))), F.col(text)).otherwise(first_words(F.col(text), words))
-    rows = rows.withColumn("_text", cut).withColumn("_shard", F.col("_draw.shard")).withColumn("_lot", _key(seed, F.col("_shard"), F.col("_id")))
-    rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_lot")
-    keep = [F.col("_text").alias(c) if c == text else F.col(c) for c in docs.columns]
+    rows = rows.withColumn("_text", cut).withColumn("_shard", F.col("_draw.shard")).withColumn("_lot", _key(seed, F.col("_shard"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_lot", row)
+    keep = [F.col("_text").alias(c) if c == text else F.col(c) for c in columns]
     return rows.select(*keep, "_shard")

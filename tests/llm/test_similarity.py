@@ -198,3 +198,46 @@ def test_pipeline_stages(spark):
     near = corpus_pipeline.near_copies(spark, docs, "")
     want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert {r["doc_id"] for r in near.collect()} == {root for _, root in want.values()}
+
+
+def test_pipeline_rows_without_or_with_shared_ids(spark, edge_docs, tmp_path):
+    import corpus_pipeline
+    from tapeloom.llm import langid, mixing
+
+    def plain(df):
+        return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+    more = spark.createDataFrame([(None, "the quick brown fox jumps over a lazy cat"), (None, None), (5, "ein schneller brauner fuchs und wort7")], "doc_id long, text string")
+    docs = edge_docs.unionByName(more, allowMissingColumns=True).coalesce(1)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    numbered = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = langid.predict(numbered, langid.train(docs.where(~langid.held_out(F.col("doc_id"))))).collect()
+    first = corpus_pipeline.language(spark, docs, "")
+    assert plain(first) == Counter(rows[r["doc_id"]] for r in found if r["lang_pred"] != "und" and r["score"] >= 0.3)
+    assert any(k is None for k, _ in plain(first)) and first.columns == docs.columns
+
+    assert sorted(plain(corpus_pipeline.lines(spark, docs, "")).elements(), key=str) == brute_clean(rows)
+
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    sets = [shingle_set(rows[k][1]) for k in order]
+    root = list(range(len(order)))
+    for _ in order:
+        for b in range(len(order)):
+            root[b] = min([root[b]] + [root[a] for a in range(len(order)) if match(sets[a], sets[b])])
+    assert plain(corpus_pipeline.near_copies(spark, docs, "")) == Counter(rows[k] for i, k in enumerate(order) if root[i] == i)
+
+    size = lambda t: len((t or "").split())
+    want = {r["source"]: int(r["target"] + 1e-9) for r in mixing.mix(docs).collect()}
+    mixed = corpus_pipeline.mix(spark, docs, "").collect()
+    assert {s: sum(size(r["text"]) for r in mixed if r["source"] == s) for s in want} == want
+    have, drawn = Counter(), Counter(r["doc_id"] for r in mixed)
+    for i, _ in rows:
+        have[i] += 1
+    assert all(n <= 2 * have[i] for i, n in drawn.items())
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    step = docs
+    for _, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, "")
+    assert len(packed) == step.count() > 0
