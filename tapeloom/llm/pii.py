@@ -112,6 +112,21 @@ the ratio 3-2 and the score 10-12
 serial 12345 and code 99 of 7
 part no 555-2485 in stock
 section 1.2.3 and figure 4a
+login with [secret:password=letmeinplease] today
+the [secret:passwd=correcthorsebattery] is old
+set [secret:token=abcdefghijklmnop] in the file
+his ssn is [ssn:078 05 1120] on file
+ssn [ssn:219 09 9999] was given
+her ssn: [ssn:457 55 5462] and name
+the key was under the mat by the door
+a token of thanks from the whole town
+she kept the secret and the password well
+we saw that x = y and so a=b holds
+rows 100 20 3000 of the table
+die Geschwindigkeitsbegrenzung und wirtschaftlichkeitsberechnung sind mit verbesserungen da
+las constitucionalmente que internacionalización de telecomunicaciones y más
+the internationalization*** and counterrevolutionaries&&& or%%% misunderstandings
+mit einheitverfahren erberbeeinheitkeitern und lebensversicherungsgesellschaft
 """
 # tokens may stand in quotes or before a stop; those do not belong to the span
 _STRIP = "\"'.,;:!?()[]{}<>"
@@ -131,11 +146,8 @@ def _long(token: str) -> int:
     return min(len(token) // 4, 6)
 
 
-def features(tokens: list[str], i: int) -> list[str]:
-    """Word-shape features of token i: itself, and the words beside it."""
-    t = tokens[i].rstrip(".,;:!?")
-    before = tokens[i - 1] if i else "<"
-    after = tokens[i + 1] if i + 1 < len(tokens) else ">"
+def _own(token: str) -> list[str]:
+    t = token.rstrip(".,;:!?")
     letters, digits = sum(c.isalpha() for c in t), sum(c.isdigit() for c in t)
     mix = f"{min(digits, 12)}"
     kind = f"{'A' if t.upper() == t and letters else 'a' if letters else '-'}{'9' if digits else '-'}"
@@ -143,11 +155,23 @@ def features(tokens: list[str], i: int) -> list[str]:
     return [
         "s=" + _shape(t)[:12], "d=" + (_lengths(t) if len(t) <= 20 and not letters else kind), f"l={_long(t)}",
         f"k={kind}{_long(t)}", "p=" + t[:4] if letters >= 4 and t[:4].isalpha() else "p=-", f"h={hexa}{_long(t)}",
-        f"=:{'=' in t}", "b=" + (before.lower() if len(before) <= 8 and not _DIGIT.search(before) else _lengths(before)),
-        "a=" + (_lengths(after) if _DIGIT.search(after) else "w"), "c=" + mix + kind,
+        f"=:{'=' in t}", "c=" + mix + kind,
     ]
 
 
+def _left(before: str) -> str:
+    return "b=" + (before.lower() if len(before) <= 8 and not _DIGIT.search(before) else _lengths(before))
+
+
+def _right(after: str) -> str:
+    return "a=" + (_lengths(after) if _DIGIT.search(after) else "w")
+
+
+def features(tokens: list[str], i: int) -> list[str]:
+    """Word-shape features of token i: itself, and the words beside it."""
+    return [*_own(tokens[i]), _left(tokens[i - 1] if i else "<"), _right(tokens[i + 1] if i + 1 < len(tokens) else ">")]
+
+
 def _labelled() -> list[tuple[list[str], list[str]]]:
     rows = []
     for line in LABELLED.strip().splitlines():
@@ -168,7 +192,7 @@ def _labelled() -> list[tuple[list[str], list[str]]]:
 
 
 LABELS = ("O", *(f"{p}-{k}" for k in ADDED for p in "BI"))
-#: I-x only after B-x or I-x; a token without a digit is O.
+#: I-x only after B-x or I-x.
 _NEVER = -1e4
 
 
@@ -178,8 +202,6 @@ def _may_follow() -> np.ndarray:
         for i, a in enumerate(LABELS):
             if b[0] == "I" and a[2:] != b[2:]:
                 ok[i, j] = _NEVER
-        if b[0] == "I" and b[2:] in ("secret", "ssn"):  # one token each
-            ok[:, j] = _NEVER
     return ok
 
 
@@ -195,16 +217,14 @@ def train(rounds: int = 250, rate: float = 0.2, decay: float = 2e-3) -> tuple[di
     coded = []
     for tokens, labels in rows:
         f = [[at.setdefault(x, len(at)) for x in features(tokens, i)] for i in range(len(tokens))]
-        plain = np.array([not _DIGIT.search(t) for t in tokens])
-        coded.append((np.array(f), plain, np.array([LABELS.index(x) for x in labels])))
+        coded.append((np.array(f), np.array([LABELS.index(x) for x in labels])))
     n = len(LABELS)
     w, tr, fixed = np.zeros((len(at), n)), np.zeros((n, n)), _may_follow()
     seen = [np.zeros_like(w), np.zeros_like(tr)]
     for _ in range(rounds):
         gw, gt = -decay * w, -decay * tr
-        for f, plain, y in coded:
+        for f, y in coded:
             e = w[f].sum(1)
-            e[plain, 1:] += _NEVER
             t = tr + fixed
             m = len(e)
             alpha, beta = np.empty_like(e), np.zeros_like(e)
@@ -251,67 +271,75 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, tr: np.ndarray) -> np.nd
     return path
 
 
-def _runs(text: str) -> list[tuple[list[str], list[tuple[int, int]], list[int]]]:
-    """Runs of tokens with a digit inside a line, with the word before and after.
-
-    Tokens without a digit are always O, which cuts the chain exactly, so the runs are decoded alone.
-    """
-    out: list = []
-    m = _DIGIT.search(text)
-    while m:
-        a = m.start()
-        while a and not text[a - 1].isspace():
-            a -= 1
-        b = _TOKEN.match(text, a).end()
-        if out and out[-1][1][-1][1] < a and "\n" not in (gap := text[out[-1][1][-1][1] : a]) and not gap.strip():
-            out[-1][0].append(text[a:b])
-            out[-1][1].append((a, b))
-        else:
-            out.append(([text[a:b]], [(a, b)]))
-        m = _DIGIT.search(text, b)
-    whole_runs = []
-    for tokens, spans in out:
-        a, b = spans[0][0], spans[-1][1]
-        left = text[max(0, a - 80) : a].rpartition("\n")[2].split()
-        right = text[b : b + 80].partition("\n")[0].split()
-        near = [left[-1]] if left else []
-        whole_runs.append((near + tokens + right[:1], spans, [len(near) + i for i in range(len(tokens))]))
-    return whole_runs
+def _token_lines(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
+    """Words of every line with a word, and their places in the text."""
+    at = 0
+    for line in text.split("\n"):
+        found = [(m[0], (at + m.start(), at + m.end())) for m in _TOKEN.finditer(line)]
+        if found:
+            yield [t for t, _ in found], [p for _, p in found]
+        at += len(line) + 1
 
 
 class Tagger:
     def __init__(self, model: tuple[dict[str, int], np.ndarray, np.ndarray]):
         self.at, self.w, self.tr = model
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.parts = np.zeros((1024, 3, len(LABELS)))
+        for x in ("<", ">"):
+            self._id(x)
+
+    def _id(self, token: str) -> int:
+        """Row of ``parts``: what the token adds for itself, for the one after it and for the one before it."""
+        k = self.ids.get(token)
+        if k is None:
+            k = self.ids[token] = len(self.ids)
+            if k == len(self.parts):
+                self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+            for j, names in enumerate((_own(token), [_left(token)], [_right(token)])):
+                self.parts[k, j] = self.w[[self.at[f] for f in names if f in self.at]].sum(0)
+        return k
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-        """Added spans of every text; runs of all texts are decoded together, in batches of near length."""
+        """Added spans of every text; whole lines of all texts are decoded together, in batches of near length."""
         found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        runs = [(len(spans), k, tokens, spans, at) for k, x in enumerate(texts) for tokens, spans, at in _runs(x)]
-        runs.sort(key=lambda r: (r[0], r[1]))
+        if len(self.ids) > 200_000:
+            self._fresh()
+        lines = [(len(tokens), k, tokens, spans) for k, x in enumerate(texts) for tokens, spans in _token_lines(x)]
+        lines.sort(key=lambda r: (r[0], r[1]))
         i = 0
-        while i < len(runs):
-            size = max(1, min(2048, 200_000 // runs[min(len(runs) - 1, i + 2047)][0]))
-            batch = runs[i : i + size]
+        while i < len(lines):
+            size = max(1, min(2048, 200_000 // lines[min(len(lines) - 1, i + 2047)][0]))
+            batch = lines[i : i + size]
             i += size
             lengths = np.array([r[0] for r in batch])
-            e = np.zeros((len(batch), int(lengths.max()), len(LABELS)))
-            for row, (_, _, tokens, _, at) in enumerate(batch):
-                for step, p in enumerate(at):
-                    ids = [self.at[f] for f in features(tokens, p) if f in self.at]
-                    e[row, step] = self.w[ids].sum(0)
-            for (_, k, tokens, spans, at), path in zip(batch, viterbi(e, lengths, self.tr), strict=True):
-                for step, (a, b) in enumerate(spans):
-                    label = LABELS[path[step]]
+            ids = np.zeros((len(batch), int(lengths.max()) + 2), np.int64)
+            for row, (m, _, tokens, _) in enumerate(batch):
+                ids[row, 1 : m + 1] = [self._id(t) for t in tokens]
+                ids[row, m + 1] = self.ids[">"]
+            ids[:, 0] = self.ids["<"]
+            e = self.parts[ids[:, 1:-1], 0] + self.parts[ids[:, :-2], 1] + self.parts[ids[:, 2:], 2]
+            paths = viterbi(e, lengths, self.tr)
+            for row in np.flatnonzero(paths.any(1)):
+                _, k, tokens, spans = batch[row]
+                open_ = ""
+                for step in range(lengths[row]):
+                    label = LABELS[paths[row, step]]
                     if label == "O":
+                        open_ = ""
                         continue
-                    token = tokens[at[step]]
+                    token, (a, b) = tokens[step], spans[step]
                     if label[2:] != "tel":
                         a += len(token) - len(token.lstrip(_STRIP))
                     b -= len(token) - len(token.rstrip(_STRIP))
-                    if label[0] == "I" and found[k] and found[k][-1][0] == label[2:]:
+                    if label[0] == "I" and open_ == label[2:]:
                         found[k][-1] = (label[2:], found[k][-1][1], b)
-                    else:
+                    elif a < b:
                         found[k].append((label[2:], a, b))
+                        open_ = label[2:]
         return found
 
 
@@ -324,7 +352,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     Counts and ``base_sha256`` are of the fixed patterns; ``spans`` holds these and the CRF's,
     kind:start:end in code points, by kind as in KINDS, then start. A CRF span that meets a
-    pattern's is left out. Null text counts as empty, and an empty text has no spans. Whole texts
+    pattern's is left out. Every word of a line is decoded, with or without a digit. Names and addresses are not looked for. Null text counts as empty, and an empty text has no spans. Whole texts
     are read; time is linear in their length.
     """
     model = docs.sparkSession.sparkContext.broadcast(train())

@@ -257,6 +257,15 @@ def test_tagger_finds_more_and_keeps_base(spark, edge_docs):
     assert pii.find(docs.where("doc_id = 12345")).count() == 0
 
 
+def test_tagger_reads_all_words():
+    tagger = pii.Tagger(pii.train())
+    texts = ["use password=openthedoor now", "his ssn is 512 44 9821 they said\nssn 123 45 6789 was given", "the key was under the old mat"]
+    got = [[(k, x[a:b]) for k, a, b in sorted(spans, key=lambda s: s[1])] for x, spans in zip(texts, tagger.spans(texts))]
+    assert got == [[("secret", "password=openthedoor")], [("ssn", "512 44 9821"), ("ssn", "123 45 6789")], []]
+    long = " ".join(["word"] * 30_000) + " password=openthedoor"
+    assert [(k, long[a:b]) for k, a, b in tagger.spans([long])[0]] == [("secret", "password=openthedoor")]
+
+
 def test_viterbi_equals_brute_force():
     from itertools import product
 
