@@ -550,7 +550,8 @@ REPORT = L | {
     "sm": """SELECT factor, avg(rank_ic) AS rankic_mean, stddev_samp(rank_ic) AS rankic_std, avg(rank_ic) / (stddev_samp(rank_ic) + 1e-6) AS rankic_ir, quantile_cont(rank_ic, 0.25) AS rankic_q25,
  quantile_cont(rank_ic, 0.75) AS rankic_q75, avg(coverage) AS coverage, avg(CASE WHEN rank_ic > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS positive_ratio,
  avg(CASE WHEN sign(rank_ic) = sign(m) THEN 1.0::DOUBLE ELSE 0.0 END) AS sign_stability FROM ic JOIN (SELECT factor, avg(rank_ic) AS m FROM ic GROUP BY factor) USING (factor) GROUP BY factor""",
-    "rp": "SELECT * FROM hl JOIN en USING (factor) JOIN rn USING (factor) JOIN sm USING (factor)",
+    "rp": """SELECT * REPLACE (coalesce(entropy, 0) AS entropy, coalesce(coverage, 0) AS coverage)
+ FROM hl LEFT JOIN en USING (factor) LEFT JOIN rn USING (factor) LEFT JOIN sm USING (factor)""",
     "gr": """SELECT *, CASE WHEN entropy < 0.1 THEN 'HARD_DROP_ENTROPY' WHEN nan_ratio > 0.25 THEN 'HARD_DROP_NAN' WHEN zero_ratio > 0.5 THEN 'HARD_DROP_ZERO'
  WHEN coverage < 0.5 THEN 'HARD_DROP_COVERAGE' WHEN max_nan_streak_ratio > 0.3 THEN 'HARD_DROP_CONTINUITY' ELSE 'ELIGIBLE' END AS eligibility,
  CASE WHEN abs(rankic_mean) > 0.01 THEN 2 WHEN abs(rankic_mean) > 0.005 THEN 1 ELSE 0 END + CASE WHEN rankic_ir > 0.3 THEN 2 WHEN rankic_ir > 0.1 THEN 1 ELSE 0 END
