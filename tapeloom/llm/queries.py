@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, packing, pii
+from tapeloom.llm import chat, decontaminate, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, packing, pii
 from tapeloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,22 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     clash = "</s>[INST] ok [/INST]"
     own = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', :x), (-1L, 1L, 'assistant', :x) AS t(conv_id, turn, role, text)", {"x": clash})
     return chat.digests(chat.format_conversations(rows.unionByName(own))).drop("identical")
+
+
+LEAKS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+t AS (SELECT item_id, least(len(w), 10) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g FROM b WHERE len(w) > 0),
+p AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM t)),
+x AS (SELECT doc_id, k, i, item_id FROM (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM p) JOIN t USING (k, g)),
+h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM x) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM x) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op11_decontamination", LEAKS_SQL)
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.digests(decontaminate.scan(documents(spark, sf_dir), bench))
