@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.session import materialize
@@ -49,3 +49,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``df`` only if its counted rows are few; otherwise leave the join to shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``at`` (place in its group by ``order``, from 0, gapless) and ``n`` (rows of the group), written.
+
+    Rows are dealt by ranges of (group, order), so a hot group spreads over all tasks; only one row per group and
+    task is added up. ``group`` columns hold no null; put a row number last in ``order`` to split equal rows.
+    """
+    rows = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_m", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("_task", F.shiftright("_m", 33)), "dealt")
+    runs = rows.groupBy(*group, "_task").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    key = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = F.sum("_rows").over(key.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("n", F.sum("_rows").over(key)).drop("_rows")
+    placed = rows.join(runs, [*group, "_task"]).withColumn("at", F.col("_before") + F.col("_m") - F.col("_first"))
+    return placed.drop("_m", "_task", "_before", "_first")

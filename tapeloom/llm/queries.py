@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, decontaminate, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, packing, pii
+from tapeloom.llm import chat, decontaminate, exact_dedup, fingerprints, langid, licenses, line_dedup, merkle, mixing, ngram_join, packing, pii
 from tapeloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,3 +184,37 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.digests(decontaminate.scan(documents(spark, sf_dir), bench))
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, n_chars, list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_concat([256 + ascii(c)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[])))),
+    lambda c, x: CASE WHEN x > 0 THEN xor(c, x - 256) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc,
+  coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+  coalesce(strlen(text) || ':' || text, '-') AS b FROM documents),
+l AS (SELECT doc_id, lang, sha256(a || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || b) AS leaf,
+  sha256(a || coalesce(strlen(CAST(m AS VARCHAR)) || ':' || m, '-') || b) AS claim, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT *, n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS m FROM d)),
+t AS (SELECT lang, 0 AS lvl, i, n, leaf AS h FROM l UNION ALL
+  SELECT lang, any_value(lvl) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, i // 2),
+s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, i, n, h FROM s UNION ALL
+  SELECT any_value(lvl) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY i // 2),
+v AS (SELECT l.doc_id, z.lvl AS k, l.i >> z.lvl AS j, t.h FROM l JOIN (SELECT DISTINCT lang, lvl FROM t WHERE n > 1) z ON z.lang IS NOT DISTINCT FROM l.lang
+    LEFT JOIN t ON t.lang IS NOT DISTINCT FROM l.lang AND t.lvl = z.lvl AND t.i = xor(l.i >> z.lvl, 1)
+  UNION ALL SELECT l.doc_id, 1000 + z.lvl, s.i >> z.lvl, u.h FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN (SELECT DISTINCT lvl FROM u WHERE n > 1) z
+    LEFT JOIN u ON u.lvl = z.lvl AND u.i = xor(s.i >> z.lvl, 1)),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS step FROM v),
+f AS (SELECT doc_id, 0::BIGINT AS step, claim AS h FROM l UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(CASE WHEN w.h IS NULL THEN f.h WHEN w.j % 2 = 1 THEN w.h || f.h ELSE f.h || w.h END) FROM f JOIN w ON w.doc_id = f.doc_id AND w.step = f.step + 1)
+SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root,
+  sha256(coalesce((SELECT string_agg(w.h, '' ORDER BY w.k) FROM w WHERE w.doc_id = l.doc_id), '')) AS proof_sha256, g.h AS folded_root, g.h = (SELECT h FROM u WHERE n = 1) AS verified
+FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT doc_id, arg_max(h, step) AS h FROM f GROUP BY doc_id) g ON g.doc_id = l.doc_id
+"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    claimed = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return merkle.proofs(merkle.build(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], claimed=claimed))
