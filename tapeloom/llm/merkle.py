@@ -168,7 +168,7 @@ def _walk(keep: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 found = paths(np.frombuffer(row["tree"], np.uint8).reshape(-1, 32), row["leaves"])
                 m = len(found)
                 path = [f.tobytes() + row["path"] for f in found]
@@ -189,6 +189,7 @@ def _down(blocks: list[DataFrame], start: DataFrame, keep: list[str]) -> DataFra
             return every
         extra = "".join(f", {k} binary" for k in keep)
         at = b.join(every, ["g", "block"]).select("g", "block", "leaves", "tree", "path", *keep).mapInArrow(_walk(keep), f"g string, at long, path binary{extra}")
+        at = materialize(at, "paths")
 
 
 def proofs(manifest: Manifest) -> DataFrame:
@@ -202,7 +203,7 @@ def proofs(manifest: Manifest) -> DataFrame:
     spark = manifest.subroots.sparkSession
     start = spark.createDataFrame([("", bytearray())], "g string, path binary")
     top = manifest.tops[0].join(_down(manifest.tops, start, []), ["g", "block"]).select("g", "block", "leaves", "tree", "path")
-    top = top.mapInArrow(_walk([]), "g string, at long, path binary")
+    top = materialize(top.mapInArrow(_walk([]), "g string, at long, path binary"), "paths")
     groups = manifest.subroots.join(top.select("at", "path"), "at").select(F.col("name").alias("g"), "path", F.col("digest").alias("subroot"))
     lowest = manifest.leaves[0].join(_down(manifest.leaves, groups, ["subroot"]), ["g", "block"])
     lowest = lowest.select("leaves", "tree", "path", "subroot", "id", "claim")
@@ -210,7 +211,9 @@ def proofs(manifest: Manifest) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, row in enumerate(batch.select(["leaves", "tree", "path", "subroot", "claim"]).to_pylist()):
+            named = batch.select(["leaves", "tree", "path", "subroot", "claim"])
+            for i in range(batch.num_rows):
+                row = named.slice(i, 1).to_pylist()[0]
                 tree, m = np.frombuffer(row["tree"], np.uint8).reshape(-1, 32), row["leaves"]
                 levels = (len(tree) + 1).bit_length() - 1
                 own = tree[address(levels, levels - 1, np.arange(m))]
