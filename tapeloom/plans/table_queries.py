@@ -17,6 +17,7 @@ from tapeloom.plans.score_queries import advised, graded, rank_ic, REPORT, fl, L
 from tapeloom.scale import row_numbers
 from tapeloom.session import fresh_path
 from tapeloom.sources import readers, sinks, style_factors
+from tapeloom.sources.stored import StoredTable
 from tapeloom.streaming import bars_stream
 
 D = "CAST(dt AS VARCHAR) AS dt"
@@ -59,13 +60,10 @@ def _(t):
     "SELECT CAST(dt AS VARCHAR) AS datetime, CAST(inst AS VARCHAR) AS instrument, round(score, 8) AS score, seed, CASE WHEN seed = 2 THEN -1 ELSE 0 END AS step FROM scores", "scores"))
 def _(t):
     path = fresh_path(t.spark, "pred")
-    rows = t.scores().select(F.col("dt").alias("datetime"), F.col("inst").alias("instrument"), "score", "seed")
-    # write one directory, then give the files the names a scoring job would: seed and step at the end
-    rows.write.partitionBy("seed").csv(path, header=True)
-    raw = t.spark.read.schema("datetime string, instrument string, score string, seed long").csv(path, header=True)
-    name = F.concat(F.lit("model_predictions_backday_8_uni_"), F.col("seed"), F.when(F.col("seed") != 2, "_0").otherwise(""), F.lit(".csv"))
-    return raw.select("datetime", "instrument", F.round(F.col("score").cast("double"), 8).alias("score"), name.alias("n")).select(
-        "datetime", "instrument", "score", *[c.alias(k) for k, c in readers.seed_and_step(F.col("n")).items()])
+    step = F.when(F.col("seed") != 2, F.lit(0))
+    rows = t.scores().select(F.col("dt").alias("datetime"), F.col("inst").alias("instrument"), "score", "seed", step.alias("step"), (F.col("seed") % 2).alias("universe"))
+    sinks.write_prediction_files(rows, path, "model_predictions_backday_8_uni", ["universe"])
+    return readers.read_predictions(t.spark, path).select("datetime", "instrument", F.round("score", 8).alias("score"), "seed", "step")
 
 
 @query("s06_file_name_fields", """SELECT c_name, 'b' || c_nationkey AS backday, lower(c_mktsegment) AS universe, CAST(c_custkey AS VARCHAR) AS seed,
@@ -121,21 +119,28 @@ def _(t):
     return readers.date_maps_to_rows(body, "body", ["factor_mom", "pb"], ["c"]).select("c", day("date"), "factor_mom", "pb")
 
 
+def monthly(t):
+    """A fresh stored table in partitions of months."""
+    return StoredTable(t.spark, fresh_path(t.spark, "stored"), part=lambda d: F.date_format(d, "yyyy-MM"))
+
+
 @query("s12_append_new_days", with_frames(f"SELECT inst, {D}, round(close * 2, 6) AS twice FROM daily", "daily"))
 def _(t):
     source = t.daily().select("inst", "dt", "close")
     compute = lambda df: df.select("inst", "dt", (F.col("close") * 2).alias("twice"))
-    stored = compute(source.where(F.col("dt") <= F.lit("1999-06-30").cast("date")))
-    out = sinks.append_new_days(source, stored, compute, ["inst", "dt", "twice"])
-    return out.select("inst", day(), rnd("twice"))
+    table = monthly(t)
+    table.load(source.where(F.col("dt") <= F.lit("1997-06-15").cast("date")), compute, ["twice"])
+    table.load(source, compute, ["twice"])
+    return table.read().select("inst", day(), rnd("twice"))
 
 
 @query("s13_schema_drift_rebuild", with_frames(f"SELECT inst, {D}, round(close * 2, 6) AS twice, volume FROM daily", "daily"))
 def _(t):
     source = t.daily().select("inst", "dt", "close", "volume")
-    compute = lambda df: df.select("inst", "dt", (F.col("close") * 2).alias("twice"), "volume")
-    stored = source.select("inst", "dt", (F.col("close") * 2).alias("twice"))
-    return sinks.append_new_days(source, stored, compute, ["inst", "dt", "twice", "volume"]).select("inst", day(), rnd("twice"), "volume")
+    table = monthly(t)
+    table.load(source, lambda df: df.select("inst", "dt", (F.col("close") * 2).alias("twice")), ["twice"])
+    table.load(source, lambda df: df.select("inst", "dt", (F.col("close") * 2).alias("twice"), "volume"), ["twice", "volume"])
+    return table.read().select("inst", day(), rnd("twice"), "volume")
 
 
 @query("s14_write_modes", with_frames("SELECT count(*) AS kept, 0 AS replaced FROM calendar", "calendar"))
@@ -640,7 +645,7 @@ def _(t):
         F.greatest(F.col("value") - 1, F.lit(0.0)).alias("low"), F.col("value").alias("close"), (F.col("user_id") + 1).cast("double").alias("volume"),
         (F.col("value") * (F.col("user_id") + 1)).alias("amount"))
     out = fresh_path(t.spark, "stream")
-    bars_stream.run_to_table(bars_stream.daily_from_stream(bars), out, fresh_path(t.spark, "stream-state")).awaitTermination()
+    bars_stream.run_to_days(bars_stream.daily_from_stream(bars), out, fresh_path(t.spark, "stream-state")).awaitTermination()
     return t.spark.read.parquet(out).select("inst", day("day"), "close", "high", "volume", "bars", rnd("vwap"))
 
 

@@ -54,10 +54,16 @@ def name_fields(name: Column) -> dict[str, Column]:
     }
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """All prediction files below ``path`` as one table with seed and step from their names."""
-    raw = spark.read.schema(PREDICTION_SCHEMA).csv(path, header=True)
-    return raw.withColumns(seed_and_step(F.col("_metadata.file_name")))
+def read_predictions(spark: SparkSession, path: str, pattern: str = "*predictions*.csv") -> DataFrame:
+    """All prediction files below ``path``, in sub-folders too, as one table: datetime, instrument, score, seed, step.
+
+    Seed and step come from the files' real names, ``folder`` is the last folder above a file. Rows without a number for a score go. A file
+    whose name has no number at its end has no seed.
+    """
+    raw = spark.read.schema(PREDICTION_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(path, header=True)
+    named = raw.withColumns({**seed_and_step(F.col("_metadata.file_name")), "folder": F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)})
+    score = F.col("score").try_cast("double")
+    return named.withColumn("score", F.when(~F.isnan(score), score)).na.drop(subset=["score"])
 
 
 def parse_training_log(lines: DataFrame, column: str = "value") -> DataFrame:

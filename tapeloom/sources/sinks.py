@@ -21,6 +21,35 @@ def write_csv(df: DataFrame, path: str, dates: Sequence[str] = (), decimals: int
     df.withColumns(cols).write.mode("overwrite" if overwrite else "ignore").csv(path, header=True)
 
 
+def write_prediction_files(scores: DataFrame, path: str, name: str, folder: Sequence[str] = (), seed: str = "seed", step: str = "step") -> None:
+    """One CSV file per model run, named ``{name}_{seed}_{step}.csv``, without the step where it is null.
+
+    ``folder``: columns whose values are sub-folders. The columns named here are in the path only. A run's scores are
+    written by one task, as the format wants one file.
+    """
+    from tapeloom.sources.stored import Folder
+
+    end = F.concat_ws("_", F.lit(name), F.col(seed).cast("string"), F.col(step).cast("string"))
+    keys = [*folder, "_run"]
+    rows = scores.withColumn("_run", end).drop(seed, step)
+    rows.repartition(*keys).write.mode("overwrite").partitionBy(*keys).csv(path, header=True)
+    disk = Folder(scores.sparkSession, path)
+
+    def give_names(at: str, depth: int) -> None:
+        for sub in disk.names(at):
+            if "=" not in sub:
+                continue
+            below, value = f"{at}/{sub}", sub.split("=", 1)[1]
+            if depth < len(folder):
+                give_names(below, depth + 1)
+                continue
+            (part,) = [n for n in disk.names(below) if n.endswith(".csv")]
+            disk.rename(f"{below}/{part}", f"{at}/{value}.csv")
+            disk.delete(below)
+
+    give_names(path, 0)
+
+
 def write_advice_json(report: DataFrame, path: str) -> None:
     """Factor names per advice with their count. One row per factor, so lists are short."""
     report.groupBy("final_advice").agg(
@@ -47,7 +76,7 @@ def new_rows(source: DataFrame, stored: DataFrame, inst: str = "inst", dt: str =
 
 
 def append_new_days(source: DataFrame, stored: DataFrame | None, compute, required: Sequence[str], inst: str = "inst", dt: str = "dt") -> DataFrame:
-    """Stored rows plus ``compute`` of the new days, or everything when the columns drifted."""
+    """Stored rows plus ``compute`` of the new days, or everything when the columns drifted. ``stored.StoredTable`` keeps the table."""
     if needs_rebuild(stored, required):
         return compute(source)
     return stored.unionByName(compute(new_rows(source, stored, inst, dt)).select(*stored.columns))

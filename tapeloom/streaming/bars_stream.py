@@ -2,7 +2,7 @@
 
 Only mergeable aggregates are kept in state (sums, counts, extremes, first and last), so
 the state per (day, instrument) has a fixed size and partial aggregation runs before the
-shuffle. Each closed day is written once; a repeated batch writes the same folder again.
+shuffle. Each closed day is one partition; a repeated batch writes the same partitions again.
 """
 
 from __future__ import annotations
@@ -31,16 +31,26 @@ def daily_from_stream(bars: DataFrame, inst: str = "inst", time: str = "datetime
     ).select(inst, utc_day(F.col("w.start")).alias("day"), "open", "high", "low", "close", "volume", "amount", "bars", "vwap", "hhi")
 
 
-def run_to_table(daily: DataFrame, out: str, checkpoint: str, available_now: bool = True, seconds: int = 60):
-    """Append closed days to ``out``, one folder per batch. Returns the query."""
+def run_to_days(daily: DataFrame, out: str, checkpoint: str, available_now: bool = True, seconds: int = 60, day: str = "day"):
+    """Put closed days into the table at ``out``, one partition ``part=<day>`` each. Returns the query.
+
+    A day closes for all instruments at once, so a batch holds whole days: it overwrites their
+    partitions and no others, and a batch that is run again writes the same partitions again.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows = batch.withColumn("part", F.date_format(day, "yyyy-MM-dd"))
+        rows.repartitionByRange("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(out)
 
     w = daily.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{seconds} seconds")
     return w.start()
 
 
+def late_rows(query) -> int:
+    """Partial sums of closed days that ``query`` left out, over its kept progress: one per task, day and instrument of a batch, so 0 says none were late."""
+    return sum(s.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for s in p["stateOperators"])
+
+
 def stream_files(spark: SparkSession, folder: str, schema, pattern: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
