@@ -25,8 +25,9 @@ LOW, HIGH = 50, 95
 SCALE = 256
 #: Covering radii shrink by this factor from level to level.
 SHRINK = 0.8
-#: Nodes of at most so many candidates are not split; so many nodes are opened at once.
-LEAF, OPEN = 48, 8
+#: Nodes of at most so many candidates are not split, nor those whose children would hold fewer than FEWEST on average; so many
+#: nodes are opened at once.
+LEAF, FEWEST, OPEN = 48, 8, 8
 #: Sums of products below this are exact in doubles; beyond, whole numbers of any size are used.
 _EXACT = 2.0**52
 _LAST = (1 << 63) - 1
@@ -80,18 +81,19 @@ class CoverTree:
         while at < len(start):
             a, b = start[at], end[at]
             if b - a > LEAF and radius[at] > 0:
-                child[at] = len(start)
                 members, reach = self.order[a:b], level[at]
                 groups = []
                 pick, left = centre[at], members
-                while len(left):
+                while len(left) and len(groups) * FEWEST <= b - a:
                     dist = np.sqrt(((full[left] - full[pick]) ** 2).sum(1))
                     near = dist <= reach
                     near[left == pick] = True
                     groups.append((pick, left[near], float(dist[near].max(initial=0.0))))
                     left = left[~near]
                     pick = left[0] if len(left) else -1
-                children[at] = len(groups)
+                if len(left):  # nearly every candidate would be a node of its own: nothing to skip, so it stays a leaf
+                    groups = []
+                child[at], children[at] = len(start), len(groups)
                 for pick, own, r in groups:
                     self.order[a : a + len(own)] = own
                     start.append(a)
