@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rolling as W
+from tapeloom.functions.moments import Gathered, Moments
 from tapeloom.functions.stats import ratio
 
 EPS = 1e-12
@@ -29,24 +30,38 @@ class Stage:
     """Window columns shared by the features of one ``build``.
 
     ``s(name, column)`` computes a window once under a name; features then are plain
-    arithmetic on names. Spark would otherwise evaluate a repeated window each time.
+    arithmetic on names. Spark would otherwise evaluate a repeated window each time. Means, deviations, sums, lines
+    and correlations of all windows come from running totals, ranks and quantiles from one list per series.
     """
 
     def __init__(self):
         self.columns: Family = {}
+        self.figures: Family = {}
+        self.moments = Moments()
+        self.lists = Gathered(self.moments)
 
     def __call__(self, name: str, column: Column) -> Column:
         self.columns.setdefault(name, column)
         return F.col(name)
 
+    def _named(self, name: str, column: Column) -> Column:
+        self.figures.setdefault(name, column)
+        return F.col(name)
+
     def mean(self, x: str, d: int) -> Column:
-        return self(f"_mean_{x}_{d}", W.mean(x, d))
+        return self._named(f"_mean_{x}_{d}", self.moments.mean(x, d))
+
+    def share(self, x: str, d: int) -> Column:
+        return self._named(f"_share_{x}_{d}", self.moments.share(x, d))
 
     def std(self, x: str, d: int) -> Column:
-        return self(f"_std_{x}_{d}", W.std(x, d))
+        return self._named(f"_std_{x}_{d}", self.moments.std(x, d))
 
     def total(self, x: str, d: int) -> Column:
-        return self(f"_sum_{x}_{d}", W.total(x, d))
+        return self._named(f"_sum_{x}_{d}", self.moments.total(x, d))
+
+    def corr(self, x: str, y: str, d: int) -> Column:
+        return self._named(f"_corr_{x}_{y}_{d}", self.moments.corr(x, y, d))
 
     def highest(self, x: str, d: int) -> Column:
         return self(f"_max_{x}_{d}", W.highest(x, d))
@@ -54,21 +69,21 @@ class Stage:
     def lowest(self, x: str, d: int) -> Column:
         return self(f"_min_{x}_{d}", W.lowest(x, d))
 
+    def rank(self, x: str, d: int) -> Column:
+        return self._named(f"_rank_{x}_{d}", self.lists.rank(x, d))
+
+    def quantile(self, x: str, d: int, q: float) -> Column:
+        return self._named(f"_q{round(q * 100)}_{x}_{d}", self.lists.quantile(x, d, q))
+
     def line(self, x: str, d: int) -> Family:
         """Slope, R2 and last residual of the least-squares line, from shared moments."""
-        w = W.last_rows(d)
-        t = F.when(_c(x).isNotNull(), _c("_t"))
-        n = self(f"_n_{x}_{d}", F.count(x).over(w))
-        mx, vx = self.mean(x, d), self(f"_var_{x}_{d}", F.var_pop(x).over(w))
-        mt, vt = self(f"_mt_{x}_{d}", F.avg(t).over(w)), self(f"_vt_{x}_{d}", F.var_pop(t).over(w))
-        cov = self(f"_cov_{x}_{d}", F.covar_pop(_c(x), _c("_t")).over(w))
-        slope = cov / F.nullif(vt, F.lit(0.0))
-        enough = n >= 2
-        r2 = F.when(vx == 0, 1.0).otherwise(cov * cov / F.nullif(vx * vt, F.lit(0.0)))
-        return {
-            "slope": F.when(enough, slope), "rsquare": F.when(enough, r2),
-            "resi": F.when(enough, _c(x) - (mx + slope * (_c("_t") - mt))),
-        }
+        return {k: self._named(f"_{k}_{x}_{d}", c) for k, c in self.moments.line(x, d).items()}
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """``df`` with every column asked for."""
+        df = self.lists.gather(df.withColumns(self.columns) if self.columns else df)
+        df = self.lists.arrange(self.moments.add(df))
+        return df.withColumns(self.figures) if self.figures else df
 
 
 def by_instrument(df: DataFrame, inst: str = "inst") -> DataFrame:
@@ -150,7 +165,7 @@ def rolling_close(s: Stage, windows: Iterable[int] = WINDOWS) -> Family:
     c, v = _c("close"), _c("volume") + EPS
     out: Family = {}
     for d in windows:
-        up, down, line = s.mean("_up", d), s.mean("_down", d), s.line("close", d)
+        up, down, line = s.share("_up", d), s.share("_down", d), s.line("close", d)
         gain, loss, move = s.total("_gain", d), s.total("_loss", d), s.total("_move", d) + EPS
         out |= {
             f"ROC_{d}": W.ref("close", d) / c,
@@ -159,9 +174,9 @@ def rolling_close(s: Stage, windows: Iterable[int] = WINDOWS) -> Family:
             f"BETA_{d}": line["slope"] / c,
             f"RSQR_{d}": line["rsquare"],
             f"RESI_{d}": line["resi"] / c,
-            f"RANK_{d}": W.rank("close", d),
-            f"CORR_{d}": W.corr("close", "_lv", d),
-            f"CORD_{d}": W.corr("_rel", "_lrv", d),
+            f"RANK_{d}": s.rank("close", d),
+            f"CORR_{d}": s.corr("close", "_lv", d),
+            f"CORD_{d}": s.corr("_rel", "_lrv", d),
             f"CNTP_{d}": up, f"CNTN_{d}": down, f"CNTD_{d}": up - down,
             f"SUMP_{d}": gain / move, f"SUMN_{d}": loss / move, f"SUMD_{d}": (gain - loss) / move,
             f"VMA_{d}": s.mean("volume", d) / v, f"VSTD_{d}": s.std("volume", d) / v,
@@ -177,7 +192,7 @@ def channel(s: Stage, windows: Iterable[int] = (20, 30, 60)) -> Family:
         at_low = s(f"_at_low_{d}", W.idx_min("low", d, "_t"))
         out |= {
             f"MAX_{d}": s.highest("high", d) / c, f"MIN_{d}": s.lowest("low", d) / c,
-            f"QTLU_{d}": W.quantile("close", d, 0.8) / c, f"QTLD_{d}": W.quantile("close", d, 0.2) / c,
+            f"QTLU_{d}": s.quantile("close", d, 0.8) / c, f"QTLD_{d}": s.quantile("close", d, 0.2) / c,
             f"IMAX_{d}": at_high / d, f"IMIN_{d}": at_low / d, f"IMXD_{d}": (at_high - at_low) / d,
         }
     return out
@@ -196,7 +211,7 @@ def open_interest(s: Stage, windows: Iterable[int] = WINDOWS) -> Family:
     for d in windows:
         out |= {
             f"OI_LOG_MA_{d}": s.mean("_loi", d), f"OI_LOG_STD_{d}": s.std("_loi", d),
-            f"OI_CORD_{d}": W.corr("_rel", "_lroi", d),
+            f"OI_CORD_{d}": s.corr("_rel", "_lroi", d),
         }
     return out
 
@@ -205,8 +220,8 @@ def roll(s: Stage, windows: Iterable[int] = WINDOWS) -> Family:
     out = {"ROLL_FLAG": _c("roll_flag"), "ROLL_COUNT": _c("roll_count")}
     for d in windows:
         out |= {
-            f"ROLL_FLAG_MEAN_{d}": s.mean("roll_flag", d), f"ROLL_FLAG_SUM_{d}": s.total("roll_flag", d),
-            f"ROLL_COUNT_MEAN_{d}": s.mean("roll_count", d), f"ROLL_COUNT_MAX_{d}": s.highest("roll_count", d),
+            f"ROLL_FLAG_MEAN_{d}": s.share("roll_flag", d), f"ROLL_FLAG_SUM_{d}": s.total("roll_flag", d),
+            f"ROLL_COUNT_MEAN_{d}": s.share("roll_count", d), f"ROLL_COUNT_MAX_{d}": s.highest("roll_count", d),
         }
     return out
 
@@ -326,7 +341,7 @@ def valuation(s: Stage) -> Family:
 
 def turnover_momentum(s: Stage) -> Family:
     mom = s.mean("_ret", 5)
-    return {"LOCK_MOM_5": mom * (1 - W.rank("turn", 20)), "DELTA_TO_MOM_5": _c("_dturn") * mom}
+    return {"LOCK_MOM_5": mom * (1 - s.rank("turn", 20)), "DELTA_TO_MOM_5": _c("_dturn") * mom}
 
 
 def illiquidity(s: Stage, prepared: DataFrame) -> tuple[DataFrame, Family]:
@@ -334,7 +349,7 @@ def illiquidity(s: Stage, prepared: DataFrame) -> tuple[DataFrame, Family]:
     df = prepared.withColumns({"AMIH_5": W.mean("_illiq", 5), "AMIH_20": W.mean("_illiq", 20)})
     return df, {
         "AMIH_5": _c("AMIH_5"), "AMIH_20": _c("AMIH_20"),
-        "IMPACT_PENALTY_5": W.rank("AMIH_5", 20), "IMPACT_PENALTY_20": W.rank("AMIH_20", 60),
+        "IMPACT_PENALTY_5": s.rank("AMIH_5", 20), "IMPACT_PENALTY_20": s.rank("AMIH_20", 60),
     }
 
 
@@ -376,12 +391,12 @@ def rollup(s: Stage, prepared: DataFrame, columns: Sequence[str], windows: Itera
     for c in columns:
         now = F.nullif(_c(c) + EPS, F.lit(0.0))
         for d in windows:
-            up, down = s.mean(f"_u_{c}", d), s.mean(f"_d_{c}", d)
+            up, down = s.share(f"_u_{c}", d), s.share(f"_d_{c}", d)
             line = s.line(c, d)
             made = {
                 "mean": s.mean(c, d) / now, "std": s.std(c, d) / now, "slope": line["slope"] / now,
                 "rsquare": line["rsquare"], "resi": line["resi"] / now, "ref": s(f"_ref_{c}_{d}", W.ref(c, d)) / now,
-                "rank": W.rank(c, d), "qtlu": W.quantile(c, d, 0.8) / now, "qtld": W.quantile(c, d, 0.2) / now,
+                "rank": s.rank(c, d), "qtlu": s.quantile(c, d, 0.8) / now, "qtld": s.quantile(c, d, 0.2) / now,
                 "cntp": up, "cntn": down, "cntd": up - down,
             }
             out |= {f"{f}_{c}_{d}": made[f] for f in forms}
@@ -413,6 +428,6 @@ def scaled_label(prepared: DataFrame, price: str = "adjclose", d: int = 5) -> Co
 
 
 def build(prepared: DataFrame, features: Family, stage: Stage | None = None, keep: Sequence[str] = ("inst", "dt")) -> DataFrame:
-    if stage and stage.columns:
-        prepared = prepared.withColumns(stage.columns)
+    if stage:
+        prepared = stage.apply(prepared)
     return prepared.select(*keep, *[c.alias(n) for n, c in features.items()])
