@@ -118,7 +118,7 @@ class Moments:
         var_u, cov = uu - u * u / n, F.when(self.constant(k, d), 0.0).otherwise(ux - u * s / n)
         spread, enough = self.spread(k, d), n >= 2
         slope = cov / F.nullif(var_u, F.lit(0.0))
-        r2 = F.when(spread == 0, 1.0).otherwise(F.least(cov * cov / F.nullif(spread * var_u, F.lit(0.0)), F.lit(1.0)))
+        r2 = F.when(spread == 0, 1.0).when(spread * var_u > 0, F.least(cov * cov / F.nullif(spread * var_u, F.lit(0.0)), F.lit(1.0)))
         rest = F.col(f"_y_{k}") - (s / n + slope * (F.col("_place") - u / n))
         return {"slope": F.when(enough, slope), "rsquare": F.when(enough, r2), "resi": F.when(enough, rest)}
 

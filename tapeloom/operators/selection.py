@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.stats import correlation, ratio
+from tapeloom.operators import gram
 from tapeloom.session import materialize
 
 # Default limits of the factor report (fixed values).
@@ -23,17 +24,22 @@ LIMITS = {
 }
 
 
-def pair_correlations(df: DataFrame, factors: Sequence[str], by: Sequence[str] = (), batch: int = 400) -> DataFrame:
-    """(by..., f1, f2, pos1, pos2, corr) for all pairs in column order.
+#: Pairs of columns up to which their correlations are columns of one aggregate.
+AGGREGATE_PAIRS = 400
 
-    Pairs are columns of one aggregate, not rows of a self join: the table is read once
-    per batch of pairs and only partial sums are shuffled.
+
+def pair_correlations(df: DataFrame, factors: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., f1, f2, pos1, pos2, corr) for all pairs in column order, from one read and partial sums only.
+
+    A few pairs are columns of one aggregate. More of them come from co-moment matrices (``gram``), which for now have no ``by``.
     """
     at = {f: i for i, f in enumerate(factors)}
     pairs = list(combinations(factors, 2))
+    if len(pairs) > AGGREGATE_PAIRS and not by:
+        return gram.correlations(df, factors).drop("n")
     parts = []
-    for i in range(0, len(pairs), batch):
-        some = pairs[i : i + batch]
+    for i in range(0, len(pairs), AGGREGATE_PAIRS):
+        some = pairs[i : i + AGGREGATE_PAIRS]
         wide = df.groupBy(*by).agg(*[correlation(a, b).alias(f"c{at[a]}_{at[b]}") for a, b in some])
         rows = F.explode(F.array(*[
             F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.lit(at[a]).alias("pos1"), F.lit(at[b]).alias("pos2"),
@@ -47,6 +53,9 @@ def pair_correlations(df: DataFrame, factors: Sequence[str], by: Sequence[str] =
 
 
 def mean_daily_correlation(df: DataFrame, factors: Sequence[str], dt: str = "dt") -> DataFrame:
+    """(f1, f2, corr): mean over days of the day's correlation."""
+    if len(factors) * (len(factors) - 1) // 2 > AGGREGATE_PAIRS:
+        return gram.mean_correlations(df, factors, dt).select("f1", "f2", "corr")
     return pair_correlations(df, factors, [dt]).groupBy("f1", "f2").agg(F.avg("corr").alias("corr"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import features as X
 from tapeloom.functions import rolling as W
 from tapeloom.operators import bars as B
+from tapeloom.operators import selection
 from tapeloom.plans.bar_queries import INTRADAY_SQL, _ORDERED, _RET, day
 from tapeloom.plans.frames import with_frames
 from tapeloom.plans.registry import query
@@ -147,11 +148,12 @@ def family(name: str, make, exprs: dict[str, str], digits: int = 6, summary: boo
     query(name, family_sql(exprs, digits, summary, **extra))(run)
 
 
-family("f01_kbar", X.kbar, {
+KBAR_SQL = {
     "KBAR_RET": "(close - open) / open", "KBAR_RANGE": "(high - low) / open", "KBAR_BODY_RATIO": "(close - open) / (high - low + 1e-12)",
     "KBAR_UPPER_SHADOW": "(high - greatest(open, close)) / open", "KBAR_UPPER_SHADOW_RATIO": "(high - greatest(open, close)) / (high - low + 1e-12)",
     "KBAR_LOWER_SHADOW": "(least(open, close) - low) / open", "KBAR_LOWER_SHADOW_RATIO": "(least(open, close) - low) / (high - low + 1e-12)",
-    "KBAR_CLV": "(2 * close - high - low) / open", "KBAR_CLV_RATIO": "(2 * close - high - low) / (high - low + 1e-12)"})
+    "KBAR_CLV": "(2 * close - high - low) / open", "KBAR_CLV_RATIO": "(2 * close - high - low) / (high - low + 1e-12)"}
+family("f01_kbar", X.kbar, KBAR_SQL)
 family("f02_price_and_size", X.price_and_size, {
     "OPEN": "open / close", "HIGH": "high / close", "LOW": "low / close", "VWAP": "vwap / close", "LOG_VOLUME": "ln(volume + 1)", "LOG_AMOUNT": "ln(amount + 1)"})
 
@@ -172,11 +174,13 @@ def rolling_close_sql(windows) -> dict[str, str]:
 
 
 family("f03_rolling_close", X.rolling_close, rolling_close_sql(X.WINDOWS), summary=True)
-family("f04_channel", X.channel, {k: v for d in (20, 30, 60) for k, v in {
+CHANNEL_SQL = {k: v for d in (20, 30, 60) for k, v in {
     f"MAX_{d}": f"max(high) {over(d)} / close", f"MIN_{d}": f"min(low) {over(d)} / close", f"QTLU_{d}": f"quantile_cont(close, 0.8) {over(d)} / close",
     f"QTLD_{d}": f"quantile_cont(close, 0.2) {over(d)} / close", f"IMAX_{d}": f"{idx_sql('high', d)} / {d}", f"IMIN_{d}": f"{idx_sql('-low', d)} / {d}",
-    f"IMXD_{d}": f"({idx_sql('high', d)} - {idx_sql('-low', d)}) / {d}"}.items()}, summary=True)
-family("f05_rsv", X.rsv, {f"RSV_{d}": f"(close - min(low) {over(d)}) / (max(high) {over(d)} - min(low) {over(d)} + 1e-12)" for d in (10, 20, 30)})
+    f"IMXD_{d}": f"({idx_sql('high', d)} - {idx_sql('-low', d)}) / {d}"}.items()}
+family("f04_channel", X.channel, CHANNEL_SQL, summary=True)
+RSV_SQL = {f"RSV_{d}": f"(close - min(low) {over(d)}) / (max(high) {over(d)} - min(low) {over(d)} + 1e-12)" for d in (10, 20, 30)}
+family("f05_rsv", X.rsv, RSV_SQL)
 family("f06_open_interest", X.open_interest, {"OI_LOG": "ln(open_interest + 1)", "OI_CHG1": "open_interest / (oi1 + 1e-12) - 1"} | {
     k: v for d in X.WINDOWS for k, v in {f"OI_LOG_MA_{d}": f"avg(loi) {over(d)}", f"OI_LOG_STD_{d}": f"stddev_samp(loi) {over(d)}",
                                          f"OI_CORD_{d}": corr_sql("rel", "lroi", d)}.items()}, summary=True)
@@ -325,3 +329,17 @@ def _(t):
     s = X.Stage()
     fam = X.futures_set(s)
     return finish(X.build(prepared(t), fam, s), list(fam), 6, True)
+
+
+# all pairs of 33 features: more than one aggregate is made for
+_WIDE = KBAR_SQL | CHANNEL_SQL | RSV_SQL
+_WIDE_PAIRS = " UNION ALL ".join(f"""SELECT '{a}' AS f1, '{b}' AS f2, corr("{a}", "{b}") AS corr FROM wide""" for i, a in enumerate(_WIDE) for j, b in enumerate(_WIDE) if i < j)
+
+
+@query("d01_wide_correlations", pframes(
+    "SELECT f1, f2, round(corr, 6) AS corr FROM pr", wide="SELECT inst, dt, " + ", ".join(f'{e} AS "{n}"' for n, e in _WIDE.items()) + f" FROM p {WIN}", pr=_WIDE_PAIRS))
+def _(t):
+    s = X.Stage()
+    made = X.kbar(s) | X.channel(s) | X.rsv(s)
+    pairs = selection.pair_correlations(X.build(prepared(t), {n: made[n] for n in _WIDE}, s), list(_WIDE))
+    return pairs.select("f1", "f2", F.round("corr", 6).alias("corr"))
