@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import whole
@@ -16,11 +17,11 @@ from tapeloom.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: Rows of the model over all languages: words, and n-grams of each order. They bound what is broadcast; counts
-#: are of all training text, and a word beyond the bound is scored by its n-grams.
-WORD_ROWS, GRAM_ROWS = 240_000, 40_000
+#: Labelled rows that the model is fitted on, about, in equal parts over the languages; a language with fewer gives all it has. Every
+#: word and n-gram of these rows is in the model with its count in every language.
+SAMPLE_ROWS = 20_000
 ORDERS = (4, 3, 2, 1)
-#: Entries of a worker's tables before they are written out or emptied. Bounds memory only.
+#: Entries of a worker's tables before they are written out or emptied (of scores: divided by the languages). Bounds memory only.
 HELD = 300_000
 
 
@@ -73,78 +74,91 @@ def _counted(kind: str):
     return run
 
 
-def most_frequent(terms: DataFrame, most: int) -> DataFrame:
-    """Terms of every (lang, order) down to the least count at which at most ``most`` are kept; equal counts stay or go together.
+@dataclass
+class Model:
+    """Counts as logarithms: per term the languages that have it, per order what all others get."""
 
-    Terms are first counted per count (map-side), so the window sees different counts only, never terms.
-    """
-    down = Window.partitionBy("lang", "order").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = terms.groupBy("lang", "order", "n").agg(F.count(F.lit(1)).alias("_k")).withColumn("_k", F.sum("_k").over(down))
-    least = steps.where(F.col("_k") <= most).groupBy("lang", "order").agg(F.min("n").alias("_least"))
-    return terms.join(least, ["lang", "order"]).where(F.col("n") >= F.col("_least")).drop("_least")
+    langs: list[str]
+    #: order and term -> place
+    at: dict[str, int]
+    #: languages of the term at place i: ``who[ends[i] : ends[i + 1]]``, with their log frequencies
+    ends: np.ndarray
+    who: np.ndarray
+    logs: np.ndarray
+    #: log frequency of a term that a language lacks, by order
+    lacks: dict[int, np.ndarray]
+
+    def scores(self, key: str) -> np.ndarray | None:
+        """Log frequency of a term in every language, or None if no language has it."""
+        i = self.at.get(key)
+        if i is None:
+            return None
+        out = self.lacks[int(key[0])].copy()
+        out[self.who[self.ends[i] : self.ends[i + 1]]] = self.logs[self.ends[i] : self.ends[i + 1]]
+        return out
+
+
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the rows (lang, text), in equal parts over the languages, by a hash of the text and the row's number; all if there are fewer."""
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = sizes.withColumn("_part", F.lit(most) / F.lit(max(1, sizes.count())) / F.col("_rows"))
+    lot = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)
+    return rows.withColumn("_lot", lot).join(sizes, "lang").where(F.col("_lot") < F.col("_part")).select("lang", "text")
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], dict[str, int], np.ndarray]:
-    """Languages, table row of every word and n-gram, and log frequency per row and language.
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = SAMPLE_ROWS) -> Model:
+    """The model of documents with a non-null ``lang`` and text, fitted on about ``most`` of them.
 
-    Every document with a non-null ``lang`` and text counts. Counts are made in Spark; the most frequent
-    terms per language (at most a fixed number over all languages) come to the driver.
+    A term's share in a language is (count + 1/2) / (all counts + half the number of terms of its order). Counts
+    are made in Spark; what comes to the driver is bounded by the words of the sampled rows.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    rows = sample(rows, most)
     schema = "lang string, order int, term string, n long"
     words = rows.mapInArrow(_counted("word"), schema).groupBy("lang", "order", "term").agg(F.sum("n").alias("n"))
     words = materialize(words, "words")
-    totals = {(r["lang"], 0): r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted({k[0] for k in totals})
-    if not langs:
-        return [], {}, np.zeros((0, 0))
     grams = words.select("lang", "term", "n").mapInArrow(_counted("gram"), schema).groupBy("lang", "order", "term").agg(F.sum("n").alias("n"))
-    grams = materialize(grams, "grams")
-    totals |= {(r["lang"], r["order"]): r["n"] for r in grams.groupBy("lang", "order").agg(F.sum("n").alias("n")).collect()}
-    kept = [most_frequent(x, most // len(langs)).toArrow() for x, most in ((words, WORD_ROWS), (grams, GRAM_ROWS))]
-    table = pa.concat_tables(kept)
-    at: dict[str, int] = {}
-    place = {x: i for i, x in enumerate(langs)}
-    order, term, who, n = (table[c].to_pylist() for c in ("order", "term", "lang", "n"))
-    keys = [f"{o}{t}" for o, t in zip(order, term, strict=True)]
-    for k in keys:
-        at.setdefault(k, len(at))
-    counts = np.zeros((len(at), len(langs)))
-    counts[[at[k] for k in keys], [place[w] for w in who]] = n
-    level = np.array([int(k[0]) for k in at])
-    logs = np.empty_like(counts, np.float32)
+    table = words.unionByName(grams).orderBy("order", "term", "lang").toArrow().to_pandas()
+    langs = sorted(table["lang"].unique().tolist())
+    who = table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int32)
+    order, n = table["order"].to_numpy(), table["n"].to_numpy(float)
+    first = np.flatnonzero(((table["order"] != table["order"].shift()) | (table["term"] != table["term"].shift())).to_numpy())
+    at = {f"{o}{t}": i for i, (o, t) in enumerate(zip(order[first].tolist(), table["term"].iloc[first].tolist()))}
+    logs, lacks = np.zeros(len(n), np.float32), {}
     for o in (0, *ORDERS):
-        total = np.array([totals.get((x, o), 0) for x in langs], float)
-        logs[level == o] = np.log((counts[level == o] + 0.5) / (total + 0.5 * max(1, (level == o).sum())))
-    return langs, at, logs
+        here = order == o
+        total = np.bincount(who[here], n[here], minlength=len(langs)) + 0.5 * max(1, int((order[first] == o).sum()))
+        logs[here] = np.log((n[here] + 0.5) / total[who[here]])
+        lacks[o] = np.log(0.5 / total).astype(np.float32)
+    return Model(langs, at, np.append(first, len(n)), who, logs, lacks)
 
 
 class _Scores(dict):
-    """Word -> row of ``table``; a word not seen before gets a row by backoff."""
+    """Word -> row of ``table``, made when a word is first met: its own log frequencies, or by backoff if no language has it."""
 
-    def __init__(self, at: dict[str, int], logs: np.ndarray):
-        super().__init__((k[1:], i) for k, i in at.items() if k[0] == "0")
-        self.grams = {k: i for k, i in at.items() if k[0] != "0"}
-        self.base, self.logs = len(logs), logs
-        self.table = np.vstack([logs, np.zeros((1024, logs.shape[1]), np.float32)])
-        self.end = self.base
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.end = model, 0
+        self.table = np.zeros((1024, len(model.langs)), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        score = np.zeros(self.logs.shape[1], np.float32)
+    def _backoff(self, word: str) -> np.ndarray:
         for order in ORDERS:
-            rows = [self.grams[k] for g in grams_of(word, order) if (k := f"{order}{g}") in self.grams]
+            rows = [s for g in grams_of(word, order) if (s := self.model.scores(f"{order}{g}")) is not None]
             if rows:
-                score = self.logs[rows].mean(0)
-                break
+                return np.mean(rows, 0)
+        return np.zeros(len(self.model.langs), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        score = self.model.scores(f"0{word}")
         if self.end == len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        self.table[self.end] = score
+        self.table[self.end] = self._backoff(word) if score is None else score
         self[word] = self.end
         self.end += 1
         return self.end - 1
 
 
-def predict(docs: DataFrame, model: tuple[list[str], dict[str, int], np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score; only the text is looked at.
 
     ``und`` with score 0 for a null text, a text without any letter, or an empty model. Otherwise the
@@ -155,8 +169,8 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, int], np.ndarray]
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, at, logs = shared.value
-        scores = _Scores(at, logs) if langs else None
+        langs = shared.value.langs
+        scores = _Scores(shared.value) if langs else None
         for batch in batches:
             best, share = [], []
             for x in batch.column(1):
@@ -169,8 +183,8 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, int], np.ndarray]
                 p = np.exp((mean - mean.max()) * min(len(words), 20))
                 k = int(np.argmax(mean))
                 best.append(langs[k]), share.append(float(p[k] / p.sum()))
-                if scores.end - scores.base > HELD:
-                    scores = _Scores(at, logs)
+                if scores.end * len(langs) > 4 * HELD:
+                    scores = _Scores(shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(share, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text")).mapInArrow(run, schema)
