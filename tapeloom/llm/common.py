@@ -26,14 +26,20 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column is called so (case does not count)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` written once with a number of its own for every row, and that column's name.
 
     Ids may be null or repeat; decisions on rows meet their rows by this key.
     """
-    name = "_row_key"
-    while name in docs.columns:
-        name += "_"
+    name = free("_row_key", docs.columns)
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import whole
+from tapeloom.llm.common import free, whole
 from tapeloom.session import materialize
 
 #: A digest with more than this share of all rows is frequent. At most 1 / SUPPORT such digests exist,
@@ -49,8 +49,8 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", suppo
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows that stay, with all columns of ``docs``: one per distinct text, as ``decisions`` says."""
-    digest = "_sha256_of_text"
-    stay = decisions(docs, doc_id, text, support).where("kept").select(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_digest"))
+    digest, stays, own = (free(n, docs.columns) for n in ("_sha256_of_text", "_stay", "_digest"))
+    stay = decisions(docs, doc_id, text, support).where("kept").select(F.col("doc_id").alias(stays), F.col("text_sha256").alias(own))
     marked = docs.withColumn(digest, F.sha2(whole(text), 256))
-    same = F.col(doc_id).eqNullSafe(F.col("_stay")) & (F.col(digest) == F.col("_digest"))
+    same = F.col(doc_id).eqNullSafe(F.col(stays)) & (F.col(digest) == F.col(own))
     return marked.join(stay, same, "left_semi").dropDuplicates([digest]).drop(digest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import SPACE, whole
+from tapeloom.llm.common import SPACE, keyed, whole
 from tapeloom.session import materialize
 
 SAMPLES = 64
@@ -75,15 +75,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """key, next: structs of each doc_id and of the next smaller one, null last; after the last comes the first. ``ids``: different keys.
+    """key, next: structs (id, row) of each row and of the next by descending id, then row, null last; after the last comes the first. ``ids``: different keys.
 
     Ids are dealt by range; the order inside a range is a window there, and one row per range carries its
     first id to the range before.
     """
-    down = F.col("key.id").desc_nulls_last()
-    cut = ids.repartitionByRange(down).withColumn("_range", F.spark_partition_id())
+    down = [F.col("key.id").desc_nulls_last(), F.col("key.row").desc()]
+    cut = ids.repartitionByRange(*down).withColumn("_range", F.spark_partition_id())
     cut = materialize(cut, "ranges")
-    inside = Window.partitionBy("_range").orderBy(down)
+    inside = Window.partitionBy("_range").orderBy(*down)
     along = Window.orderBy("_range")
     heads = cut.groupBy("_range").agg(F.max("key").alias("_head"))
     heads = heads.withColumn("_following", F.coalesce(F.lead("_head").over(along), F.first("_head").over(along)))
@@ -92,21 +92,25 @@ def successors(ids: DataFrame) -> DataFrame:
 
 
 def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per doc_id: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or
     all) of the next document's, by descending doc_id; the first follows the last. Null text counts as empty. A fingerprint is
     SAMPLES samples of the words and their counts; texts without a word share one, and are alike to
-    each other only. Rows that repeat a doc_id are one document, with the greatest of their texts; a
-    null doc_id is a document, last in order. An empty table gives no rows.
+    each other only. A row is a document: rows that share a doc_id, or have none, follow each other by their
+    numbers, written for them; without a doc_id they are last in order. An empty table gives no rows.
 
     Texts are shuffled once by doc_id; the next document then sends only the characters that its neighbour takes.
     Words are counted inside each row, and samples of a row's words are combined in the task that reads
     them; only signatures travel after that. The key is a struct, which equals itself with a null inside.
     """
-    key = F.struct(F.col(doc_id).alias("id")).alias("key")
-    texts = docs.groupBy(key).agg(F.max(whole(text)).alias("text"))
-    order = materialize(successors(docs.select(key).distinct()), "successors")
+    row = F.lit(0).cast("long")
+    if docs.groupBy(doc_id).count().where("count > 1").limit(1).count():
+        docs, name = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+        doc_id, text, row = "doc_id", "text", F.col(name)
+    key = F.struct(F.col(doc_id).alias("id"), row.alias("row")).alias("key")
+    texts = docs.select(key, whole(text).alias("text"))
+    order = materialize(successors(docs.select(key)), "successors")
     half = F.floor(F.length("text") / 2).cast("int")
     taken = texts.select("key", half.alias("_n")).join(order, "key").select(F.col("next").alias("key"), F.col("key").alias("_owner"), "_n")
     tail = texts.join(taken, "key").select(F.col("_owner").alias("key"), F.substr("text", F.lit(1), F.col("_n")).alias("_tail"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm import setjoin
-from tapeloom.llm.common import keyed, whole
+from tapeloom.llm.common import free, keyed, whole
 from tapeloom.session import materialize
 
 
@@ -72,10 +72,11 @@ def flags(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without their removed lines, columns as given; a document that loses all its lines with words goes. Rows meet their cuts by a written row key."""
     keys, row = keyed(docs)
+    cut_, gone = free("_cut", keys.columns), free("_gone", keys.columns)
     cut = flags(keys, doc_id, text, row).groupBy(row).agg(
-        F.collect_set(F.when(F.col("removed"), F.col("line"))).alias("_cut"), F.min("removed").alias("_gone"))
+        F.collect_set(F.when(F.col("removed"), F.col("line"))).alias(cut_), F.min("removed").alias(gone))
     rows = keys.join(cut, row, "left")
-    rows = rows.where(~F.coalesce("_gone", F.lit(False)))
-    left = F.array_join(F.filter(_lines(F.col(text)), lambda x, i: ~F.array_contains(F.col("_cut"), i)), "\n")
-    put = F.when(F.size("_cut") > 0, left).otherwise(F.col(text))
+    rows = rows.where(~F.coalesce(gone, F.lit(False)))
+    left = F.array_join(F.filter(_lines(F.col(text)), lambda x, i: ~F.array_contains(F.col(cut_), i)), "\n")
+    put = F.when(F.size(cut_) > 0, left).otherwise(F.col(text))
     return rows.select(*[put.alias(c) if c == text else F.col(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import keyed, let, n_words, whole
+from tapeloom.llm.common import free, keyed, let, n_words, whole
 from tapeloom.session import materialize
 
 #: Words in a block of a source, about; and blocks drawn into one output shard, about.
@@ -198,7 +198,8 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: the columns of ``docs`` and _shard, a row for each draw of a document, shuffled inside each shard.
+    """The mix itself: the columns of ``docs`` and, last, the shard (``_shard``, with underscores added if ``docs`` has such a
+    column): a row for each draw of a document, shuffled inside each shard.
 
     A document that is drawn in part gives its first words. Rows meet their own draws by a written row key,
     so doc_ids may be null or repeat. Shards are hashed to tasks and ordered by a hash there; no order spans tasks.
@@ -206,11 +207,12 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     seed = options.get("seed", 11)
     docs, row = keyed(docs)
     columns = [c for c in docs.columns if c != row]
+    draw, body, shard, lot = (free(n, docs.columns) for n in ("_draw", "_text", "_shard", "_lot"))
     chosen = mix(docs, doc_id, text, source, row=row, **options).where(F.size("draws") > 0)
-    rows = docs.join(chosen.select(row, F.explode("draws").alias("_draw")), row)
-    words = F.col("_draw.words")
+    rows = docs.join(chosen.select(row, F.explode("draws").alias(draw)), row)
+    words = F.col(draw)["words"]
     cut = F.when(words.isNull() | (words >= n_words(whole(text))), F.col(text)).otherwise(first_words(F.col(text), words))
-    rows = rows.withColumn("_text", cut).withColumn("_shard", F.col("_draw.shard")).withColumn("_lot", _key(seed, F.col("_shard"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_lot", row)
-    keep = [F.col("_text").alias(c) if c == text else F.col(c) for c in columns]
-    return rows.select(*keep, "_shard")
+    rows = rows.withColumn(body, cut).withColumn(shard, F.col(draw)["shard"]).withColumn(lot, _key(seed, F.col(shard), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    rows = rows.repartition(shard).sortWithinPartitions(shard, lot, row)
+    keep = [F.col(body).alias(c) if c == text else F.col(c) for c in columns]
+    return rows.select(*keep, shard)

@@ -12,6 +12,8 @@ from tapeloom.session import materialize
 
 #: Rounds in which the documents of a token's list only meet one of them.
 STAR_ROUNDS = 2
+#: Rows without a doc_id are numbered from here.
+NO_ID = 1 << 62
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -20,7 +22,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     A-Z is lowered, words are runs without ASCII white space, a set holds the distinct five-word shingles (fewer
     words: the whole sequence as one; no words or null: empty). Two documents link when 4 * common >= 3 *
     union; ``component_id`` is the smallest doc_id reachable, its own for an empty or unlinked one. A null doc_id sorts
-    last and is replaced by a linked document's; rows that repeat a doc_id get that document's class, and their
+    last and is replaced by a linked document's; rows without one are documents of their own (other ids are then below 2^62); rows that repeat a doc_id get that document's class, and their
     texts link like any others. Shingles are compared by 57-bit hashes. An empty table gives no rows.
 
     Grouped prefix join: documents with the same prefix and size are one group; postings and group
@@ -30,12 +32,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     number of common prefix tokens. So no link between different classes is lost, and a large class
     never becomes all its pairs.
     """
-    src = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
+    missing = src.where(F.col("doc_id").isNull()).limit(1).count() > 0
+    if missing:  # the numbers are written, as several readers must see them alike
+        src = materialize(src.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.monotonically_increasing_id())), "numbered")
     table = np.array(setjoin.rarity(shingles.low_tokens(src.select("text"))).first()["a"], np.int32)
     rows = materialize(shingles.prefixes(src, table), "sets")
 
     # a set is named by the smallest doc_id that has it, a group by the smallest of its sets
-    key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    key = F.col("doc_id")
     same_set, same_prefix = ["n", "p1", "p2", "s1", "s2"], ["n", "p1", "p2"]
     sets = rows.where("n > 0").groupBy(*same_set).agg(F.min(key).alias("id"))
     sets = materialize(sets.withColumn("group", F.min("id").over(Window.partitionBy(*same_prefix))), "representatives")
@@ -88,8 +93,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     else:
         sets = sets.join(setjoin.components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = rows.drop("prefix").join(sets.select(*same_set, "root"), same_set, "left")
-    root = F.when(F.col("root") < (1 << 63) - 1, F.col("root"))
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(root, "doc_id").alias("component_id"))
+    given = lambda c: F.when(c < NO_ID, c) if missing else c
+    return named.select(given(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), given(F.coalesce("root", "doc_id")).alias("component_id"))
 
 
 def expand(pairs: DataFrame, entries: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def edge_docs(spark):
     from pyspark.sql import functions as F
 
     # names that the operators use themselves
-    clash = ("_row", "size", "target", "block", "draws", "piece", "length", "sequence_id", "score", "term", "component_id", "line", "text_sha256", "_s", "words")
+    clash = ("_row", "size", "target", "block", "draws", "piece", "length", "sequence_id", "score", "term", "component_id", "line", "text_sha256", "_s", "words",
+             "_cut", "_gone", "_shard", "_draw", "_text", "_lot", "_digest", "_stay", "_sha256_of_text", "_row_key", "_first", "key", "g", "at", "items", "hits")
     return df.withColumns({c: F.lit("x") for c in clash})
 
 

@@ -67,6 +67,23 @@ def test_join_equals_brute_force(near_docs):
     assert got == want
 
 
+def test_join_keeps_rows_without_an_id_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(1, a), (2, b), (None, a + " end"), (None, b + " end"), (None, "alone " * 9), (None, "all alone " * 9), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.classes(df).collect())
+    assert got == Counter({(1, 1): 1, (2, 2): 1, (None, 1): 1, (None, 2): 1, (None, None): 3})
+
+
+def test_fingerprints_follow_row_by_row(spark):
+    rows = [(5, "aa bb"), (5, "cc dd"), (None, "ee ff"), (None, "gg hh"), (1, "ii jj")]
+    got = fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter({5: 2, None: 2, 1: 1})
+    assert len({r["fingerprint"] for r in got}) == 5 and len({r["edited_sha256"] for r in got}) == 5
+    takes = {hashlib.sha256((x[:3] + y[:2]).encode()).hexdigest() for x in ("aa bb", "cc dd", "ee ff", "gg hh", "ii jj") for y in ("aa", "cc", "ee", "gg", "ii") if x[:2] != y}
+    assert all(r["edited_sha256"] in takes for r in got)
+
+
 def test_join_edges(edge_docs, no_docs):
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.classes(edge_docs).collect())
     assert got[(1, 5, 1)] == 1 and got[(2, 5, 1)] == 2 and got[(3, 0, 3)] == got[(4, 0, 4)] == got[(5, 0, 5)] == 1
@@ -144,7 +161,8 @@ def test_fingerprints(near_docs):
 
 
 def test_fingerprint_edges(edge_docs, no_docs):
-    assert fingerprints.compare(edge_docs).count() == edge_docs.select("doc_id").distinct().count()
+    rows = fingerprints.compare(edge_docs).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in edge_docs.collect())
     assert fingerprints.compare(no_docs).count() == 0
 
 
