@@ -37,7 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row per draw of a document, cut documents with the words they give."""
-    return mixing.mixed_documents(docs).drop("_shard").select(docs.columns)
+    return mixing.mixed_documents(docs).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
