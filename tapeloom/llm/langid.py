@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import whole
+from tapeloom.llm.common import sized, whole
 from tapeloom.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -91,9 +91,10 @@ class Model:
     def scores(self, key: str) -> np.ndarray | None:
         """Log frequency of a term in every language, or None if no language has it."""
         i = self.at.get(key)
-        if i is None:
-            return None
-        out = self.lacks[int(key[0])].copy()
+        return None if i is None else self.row(i, int(key[0]))
+
+    def row(self, i: int, order: int) -> np.ndarray:
+        out = self.lacks[order].copy()
         out[self.who[self.ends[i] : self.ends[i + 1]]] = self.logs[self.ends[i] : self.ends[i + 1]]
         return out
 
@@ -101,7 +102,8 @@ class Model:
 def sample(rows: DataFrame, most: int) -> DataFrame:
     """About ``most`` of the rows (lang, text), in equal parts over the languages, by a hash of the text and the row's number; all if there are fewer."""
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
-    sizes = sizes.withColumn("_part", F.lit(most) / F.lit(max(1, sizes.count())) / F.col("_rows"))
+    n = sizes.count()
+    sizes = sized(sizes.withColumn("_part", F.lit(most) / F.lit(max(1, n)) / F.col("_rows")), n)
     lot = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)
     return rows.withColumn("_lot", lot).join(sizes, "lang").where(F.col("_lot") < F.col("_part")).select("lang", "text")
 
@@ -139,15 +141,23 @@ class _Scores(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.end = model, 0
+        #: rows of the n-grams met so far: at most those of the model, and emptied with the words
+        self.grams: dict[int, np.ndarray] = {}
         self.table = np.zeros((1024, len(model.langs)), np.float32)
 
     def _backoff(self, word: str) -> np.ndarray:
         for order in ORDERS:
-            rows = [s for g in grams_of(word, order) if (s := self.model.scores(f"{order}{g}")) is not None]
-            if rows:
-                return np.mean(rows, 0)
+            places = [i for g in grams_of(word, order) if (i := self.model.at.get(f"{order}{g}")) is not None]
+            if places:
+                return sum(self._gram(i, order) for i in places) / len(places)
         return np.zeros(len(self.model.langs), np.float32)
 
+    def _gram(self, i: int, order: int) -> np.ndarray:
+        row = self.grams.get(i)
+        if row is None:
+            row = self.grams[i] = self.model.row(i, order)
+        return row
+
     def __missing__(self, word: str) -> int:
         score = self.model.scores(f"0{word}")
         if self.end == len(self.table):
