@@ -1,9 +1,9 @@
 """Rolling means, deviations, lines and correlations of any window at constant cost a row.
 
 A window's sum is the difference of two running totals. The totals start anew every BLOCK rows and
-are taken of values less their instrument's mean, so what is subtracted is of the size of the
+are taken of values less their instrument's first known one (no later row is looked at), so what is subtracted is of the size of the
 block's sums however long the history. Of the about 15 digits, those are lost by which the square of the distance from the
-instrument's mean exceeds the window's variance. Whether a window moves at all is not read off
+instrument's first value exceeds the window's variance. Whether a window moves at all is not read off
 a rounded variance but off row counts: the last change of the value, against the first known row of the window.
 
 All windows share one order (instrument, block, day), so one sort serves any number of series and lengths. A
@@ -32,7 +32,7 @@ def _known(x: Column) -> Column:
 class Moments:
     """Series and windows asked for; ``add`` computes them all in one go.
 
-    Columns it makes for series ``x`` and window ``d``: ``_n_x_d`` (known values), ``_s_x_d`` (sum less the mean's share), ``_q``
+    Columns it makes for series ``x`` and window ``d``: ``_n_x_d`` (known values), ``_s_x_d`` (sum, values less their centre), ``_q``
     (squares), ``_p`` (products), ``_u`` / ``_uu`` / ``_ux`` (place, its square, place times value), ``_z`` (values that are not 0).
     """
 
@@ -147,7 +147,7 @@ class Moments:
         place = (F.col("_t") - 1) % block + 1
         df = df.withColumns({"_block": F.floor((F.col("_t") - 1) / block), "_place": place, **{f"_x_{k}": _known(x) for k, x in self.series.items()}})
         df = df.withColumns({
-            **{f"_centre_{k}": F.avg(f"_x_{k}").over(inst) for k in self.series if k in self.centred},
+            **{f"_centre_{k}": F.first(f"_x_{k}", ignorenulls=True).over(upto) for k in self.series if k in self.centred},
             **{f"_N_{k}": F.count(f"_x_{k}").over(upto).cast("double") for k in self.series},
             **{f"_last_{k}": F.last(f"_x_{k}", ignorenulls=True).over(before) for k in self.moving}})
         changed = {k: F.when(F.col(f"_x_{k}").isNotNull() & ~F.col(f"_x_{k}").eqNullSafe(F.col(f"_last_{k}")), F.col(f"_N_{k}")) for k in self.moving}
