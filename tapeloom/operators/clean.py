@@ -115,6 +115,41 @@ def limit_class(code: Column) -> Column:
     )
 
 
+# First-level industry code to industry index.
+INDUSTRY_INDEX = {
+    "10": "CI005001.INDX",
+    "11": "CI005002.INDX",
+    "12": "CI005003.INDX",
+    "20": "CI005004.INDX",
+    "21": "CI005005.INDX",
+    "22": "CI005006.INDX",
+    "23": "CI005007.INDX",
+    "24": "CI005008.INDX",
+    "25": "CI005009.INDX",
+    "26": "CI005010.INDX",
+    "27": "CI005011.INDX",
+    "28": "CI005012.INDX",
+    "30": "CI005013.INDX",
+    "31": "CI005014.INDX",
+    "32": "CI005015.INDX",
+    "33": "CI005016.INDX",
+    "34": "CI005017.INDX",
+    "35": "CI005018.INDX",
+    "36": "CI005019.INDX",
+    "37": "CI005020.INDX",
+    "40": "CI005021.INDX",
+    "41": "CI005022.INDX",
+    "42": "CI005023.INDX",
+    "43": "CI005030.INDX",
+    "50": "CI005024.INDX",
+    "60": "CI005025.INDX",
+    "61": "CI005026.INDX",
+    "62": "CI005027.INDX",
+    "63": "CI005028.INDX",
+    "70": "CI005029.INDX",
+}
+
+
 def lookup(c: Column, table: Mapping[str, str]) -> Column:
     """Small fixed dictionary as a map literal; unknown keys give null."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]

@@ -342,13 +342,10 @@ def _(t):
     return t.read("customer").select("c_custkey", clean.limit_class(F.substring(symbol, 3, 6).cast("int")).alias("max_change"))
 
 
-# Industry id to index id, taken as a sample of consecutive ids.
-CODES = {"0": "CI005001.INDX", "1": "CI005002.INDX", "2": "CI005003.INDX", "3": "CI005004.INDX", "4": "CI005005.INDX"}
-
-
-@query("p25_code_dictionary", "SELECT s_suppkey, CASE CAST(s_nationkey AS VARCHAR) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CODES.items()) + " END AS index_code FROM supplier")
+@query("p25_code_dictionary", "SELECT s_suppkey, CASE CAST(s_nationkey % 7 * 10 + s_suppkey % 10 AS VARCHAR) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in clean.INDUSTRY_INDEX.items()) + " END AS index_code FROM supplier")
 def _(t):
-    return t.read("supplier").select("s_suppkey", clean.lookup(F.col("s_nationkey").cast("string"), CODES).alias("index_code"))
+    code = (F.col("s_nationkey") % 7 * 10 + F.col("s_suppkey") % 10).cast("string")
+    return t.read("supplier").select("s_suppkey", clean.lookup(code, clean.INDUSTRY_INDEX).alias("index_code"))
 
 
 @query("p26_drop_column", "SELECT n_nationkey, n_name FROM nation")
@@ -649,11 +646,16 @@ def _(t):
     return t.spark.read.parquet(out).select("inst", day("day"), "close", "high", "volume", "bars", rnd("vwap"))
 
 
+_SERIES_SQL = {
+    "factor_mom": "round(ln(avg(close)), 8)", "factor_std": "round(ln(1 + stddev_pop(close)), 6)", "pb": "min(close)", "turnover": "round(sum(volume), 3)", "crowd": "max(close)"}
+
+
 @query("f21_style_factor_series", with_frames(
-    "SELECT code, type, CAST(dt AS VARCHAR) AS dt, round(ln(avg(close)), 8) AS v FROM (SELECT * FROM daily JOIN industry USING (inst)) x RIGHT JOIN codes ON pos = industry GROUP BY code, type, dt", "daily", "industry",
-    codes="SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{k}')" for i, (c, k) in enumerate((c, k) for k, cs in style_factors.TYPES.items() for c in cs)) + ") v(pos, code, type)"))
+    "SELECT type, code, name, CAST(dt AS VARCHAR) AS dt, " + ", ".join(f"{e} AS {n}" for n, e in _SERIES_SQL.items()) + " FROM (SELECT * FROM daily JOIN industry USING (inst)) x RIGHT JOIN codes ON pos = industry GROUP BY type, code, name, dt",
+    "daily", "industry", codes="SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{c}', '{n}')" for i, (k, c, n) in enumerate(style_factors.FACTORS)) + ") v(pos, type, code, name)"))
 def _(t):
     table = style_factors.factor_table(t.spark)
+    made = {"factor_mom": F.round(F.ln(F.avg("close")), 8), "factor_std": F.round(F.ln(1 + F.stddev_pop("close")), 6), "pb": F.min("close"), "turnover": F.round(F.sum("volume"), 3), "crowd": F.max("close")}
+    series = t.daily().join(t.industry(), "inst").groupBy("industry", "dt").agg(*[made[n].alias(n) for n in style_factors.SERIES])
     codes = table.select(F.col("pos").alias("industry"), "code")
-    series = t.daily().join(t.industry(), "inst").groupBy("industry", "dt").agg(F.round(F.ln(F.avg("close")), 8).alias("v")).join(F.broadcast(codes), "industry").drop("industry")
-    return style_factors.with_series(table, series).select("code", "type", day(), "v")
+    return style_factors.with_series(table, series.join(F.broadcast(codes), "industry").drop("industry")).select("type", "code", "name", day(), *style_factors.SERIES)
