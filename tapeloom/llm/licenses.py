@@ -99,8 +99,13 @@ def passages(rows: DataFrame, marks: DataFrame, found: DataFrame, least: float)
     heads = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (F.get("at", i - 1) < F.get("at", i) - 1))
     tails = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == F.col("_n") - 1) | (F.get("at", i + 1) > F.get("at", i) + 1))
     seen = materialize(seen.withColumn("_heads", heads).withColumn("_tails", tails), "license-runs")
-    one = seen.select(*own, "at", "_tails", F.explode("_heads").alias("_i")).withColumn("a", F.get("at", F.col("_i")))
-    one = one.select(*own, "at", "_i", "a", F.explode("_tails").alias("_j")).withColumn("b", F.get("at", F.col("_j")))
+    # a window is no longer than its reach: a start meets the ends of its own stretch of that length and of the next, never all of them
+    seen = seen.withColumn("reach", F.ceil(F.col("long") / F.lit(ratio)).cast("int"))
+    starts = seen.select(*own, "reach", "at", F.explode("_heads").alias("_i")).withColumn("a", F.get("at", F.col("_i"))).drop("at")
+    starts = starts.withColumn("stretch", F.explode(F.array(F.floor(F.col("a") / F.col("reach")), F.floor(F.col("a") / F.col("reach")) + 1)))
+    ends = seen.select("_row", "license", "reach", "at", F.explode("_tails").alias("_j")).withColumn("b", F.get("at", F.col("_j")))
+    ends = ends.select("_row", "license", F.floor(F.col("b") / F.col("reach")).alias("stretch"), "_j", "b")
+    one = starts.join(ends, ["_row", "license", "stretch"])
     one = one.where((F.col("_j") >= F.col("_i")) & (F.col("_j") - F.col("_i") + 1 >= F.col("m") * F.lit(ratio)) & ((F.col("b") - F.col("a") + 1) * F.lit(ratio) <= F.col("long")))
     texts = rows.join(seen.select("_row").distinct(), "_row", "left_semi")
     texts = materialize(with_all_bigrams(texts, F.col("text")), "license-texts")

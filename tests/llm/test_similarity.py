@@ -259,3 +259,16 @@ def test_pipeline_rows_without_or_with_shared_ids(spark, edge_docs, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         step = stage(spark, step, "")
     assert len(packed) == step.count() > 0
+
+
+def test_license_in_a_very_long_text(spark):
+    """Thousands of stray template bigrams, one notice among them: starts meet near ends only."""
+    import time
+
+    apache = dict(licenses.TEMPLATES)["Apache-2.0-line"]
+    stray = " ".join(f"other{i} under the word{i} in compliance" for i in range(12_000))
+    docs = spark.createDataFrame([(1, f"{stray} {apache} {stray}"), (2, stray)], "doc_id long, text string")
+    t0 = time.time()
+    got = [(r["doc_id"], r["unit"], r["license"]) for r in licenses.scan(docs).collect()]
+    assert (1, "passage", "Apache-2.0-line") in got and all(d == 1 for d, _, _ in got)
+    assert time.time() - t0 < 240
