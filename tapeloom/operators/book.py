@@ -70,20 +70,20 @@ def lot_size(cash: Column, names: Column, close: Column) -> Column:
     return (F.floor(cash * 0.99 / names / close / 100) * 100).cast("long")
 
 
-def affordable(candidates: DataFrame, cash: float, dt: str = "dt", close: str = "close", score: str = "score", tie: str = "inst") -> DataFrame:
-    """Largest number x of best names per day for which each gets at least one lot, with sizes.
+def affordable(candidates: DataFrame, cash: float, dt: str = "dt", close: str = "close", score: str = "score", tie: str = "inst", by: Sequence[str] = ()) -> DataFrame:
+    """Largest number x of best names per day (and ``by``, as the seed of a run) for which each gets at least one lot, with sizes.
 
     A book of x names works when its dearest close is at most cash * .99 / x / 100, so the
     running maximum of the close along the ranks decides it, without trying each x.
     ``candidates`` is already cut to the book size (see ``top_n``).
     """
-    w = Window.partitionBy(dt).orderBy(F.desc(score), tie)
+    w = Window.partitionBy(*by, dt).orderBy(F.desc(score), tie)
     rows = candidates.withColumns({
         "_x": F.row_number().over(w),
         "_dearest": F.max(close).over(w.rowsBetween(Window.unboundedPreceding, 0)),
     })
     fits = F.floor(F.lit(cash) * 0.99 / F.col("_x") / F.col("_dearest") / 100) >= 1
-    best = F.max(F.when(fits, F.col("_x"))).over(Window.partitionBy(dt))
+    best = F.max(F.when(fits, F.col("_x"))).over(Window.partitionBy(*by, dt))
     rows = rows.withColumn("names", best).where(F.col("_x") <= F.col("names"))
     return rows.withColumn("lots", lot_size(F.lit(cash), F.col("names"), F.col(close))).drop("_x", "_dearest")
 

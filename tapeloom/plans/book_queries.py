@@ -44,12 +44,12 @@ def _(t):
 
 
 @query("b03_lot_sizing", with_frames(
-    f"""SELECT inst, {D}, names, CAST(floor(1000000.0 * 0.99 / names / close / 100) * 100 AS BIGINT) AS lots FROM (SELECT *, max(CASE WHEN floor(1000000.0::DOUBLE * 0.99 / rn / dear / 100) >= 1 THEN rn END) OVER (PARTITION BY dt) AS names
- FROM (SELECT *, max(close) OVER (PARTITION BY dt ORDER BY rn) AS dear FROM (SELECT s.inst, s.dt, close, row_number() OVER (PARTITION BY s.dt ORDER BY score DESC, s.inst) AS rn FROM scores s JOIN daily d ON s.inst = d.inst AND s.dt = d.dt WHERE seed = 0) WHERE rn <= 10)) WHERE rn <= names""",
+    f"""SELECT seed, inst, {D}, names, CAST(floor(1000000.0 * 0.99 / names / close / 100) * 100 AS BIGINT) AS lots FROM (SELECT *, max(CASE WHEN floor(1000000.0::DOUBLE * 0.99 / rn / dear / 100) >= 1 THEN rn END) OVER (PARTITION BY seed, dt) AS names
+ FROM (SELECT *, max(close) OVER (PARTITION BY seed, dt ORDER BY rn) AS dear FROM (SELECT seed, s.inst, s.dt, close, row_number() OVER (PARTITION BY seed, s.dt ORDER BY score DESC, s.inst) AS rn FROM scores s JOIN daily d ON s.inst = d.inst AND s.dt = d.dt) WHERE rn <= 10)) WHERE rn <= names""",
     "scores", "daily"))
 def _(t):
-    rows = t.scores().where(F.col("seed") == 0).join(t.daily().select("inst", "dt", "close"), ["inst", "dt"])
-    return book.affordable(book.top_n(rows, 10), 1_000_000.0).select("inst", day(), F.col("names").cast("long").alias("names"), "lots")
+    rows = t.scores().join(t.daily().select("inst", "dt", "close"), ["inst", "dt"])
+    return book.affordable(book.top_n(rows, 10, ["seed", "dt"]), 1_000_000.0, by=["seed"]).select("seed", "inst", day(), F.col("names").cast("long").alias("names"), "lots")
 
 
 @query("b04_cost_with_floor", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(l_extendedprice * 0.00031, 5.0), 2) AS cost FROM lineitem")
