@@ -205,6 +205,21 @@ def _(t):
     return seeds(t).select(runs.seed_class().alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("seeds"))
 
 
+_CLASS = """CASE WHEN top_rankicir_mean > 0.7 AND cv_rankicir > 0.6 THEN 'scalpel'
+ WHEN mean_rankicir > 0.35 AND cv_rankicir < 0.35 AND abs(overfit_gap) < 0.05 THEN 'workhorse' WHEN mean_rankicir > 0.45 AND cv_rankicir < 0.5 THEN 'swiss_knife'
+ WHEN top_rankicir_mean > 0.8 AND mean_rankicir < 0.2 THEN 'lottery' WHEN abs(mean_rankicir) < 0.1 AND cv_rankicir < 0.4 THEN 'blunt_knife'
+ WHEN overfit_gap > 0.15 THEN 'paper_knife' ELSE 'unclassified' END"""
+_LABELS = ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in runs.SEED_CLASSES.items())
+
+
+@query("a52_seed_label", with_frames(
+    "SELECT seed, seed_type, recommended_usage FROM sc JOIN lb USING (class)", "epochs", **_SEED, sc=f"SELECT seed, {_CLASS} AS class FROM mm",
+    lb=f"SELECT * FROM (VALUES {_LABELS}) v(class, seed_type, recommended_usage)"))
+def _(t):
+    labels = runs.seed_class_labels(runs.seed_class())
+    return seeds(t).select("seed", labels["SeedType"].alias("seed_type"), labels["RecommendedUsage"].alias("recommended_usage"))
+
+
 _PM = """round(avg(annual_return), 6) AS annual_return_mean, round(avg(max_drawdown), 6) AS max_drawdown_mean, round(avg(sharpe), 6) AS sharpe_mean,
  round(avg(information_ratio), 6) AS information_ratio_mean, round(avg(annual_return) FILTER (gate_excess_return > 0), 6) AS q_annual_return_mean,
  round(avg(information_ratio) FILTER (gate_excess_return > 0), 6) AS q_information_ratio_mean"""
