@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import bisect
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +27,30 @@ CACHED_WORDS = 400_000
 RANK_ROWS = 200_000
 
 
+class _ByteLetters(dict):
+    """Letters that the vocabulary has for the bytes of a character."""
+
+    def __missing__(self, code: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        found = self[code] = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))[0][0]
+        return found
+
+
+#: Letters and marks below U+0250 without blanks: normal form C already, lowered to one character each, of settled categories.
+_PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+#: Marks that end words; a run of them is one piece of its own.
+_STOPS = ".,;:!?"
+
+
 class WordEncoder:
     """Ids of a text, word by word from a cache.
 
     The vocabulary splits at white space first and drops it, so the ids of a text are those of its
-    parts between spaces and line ends, one after the other. Parts not seen yet go to
-    the tokenizer in one batch.
+    parts between spaces and line ends, one after the other. A part not seen yet is lowered and split by the
+    pattern in the tokenizer's file, and its pieces go to the file's model; far fewer pieces than parts are
+    distinct. Parts with other characters than ``_PLAIN``, or with a special token, and all parts of
+    a file of another make go through the whole tokenizer in one batch.
     """
 
     def __init__(self, path: str):
@@ -36,16 +58,60 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+        self.letters = _ByteLetters()
+        self.split, self.special = self._make()
+
+    def _make(self) -> tuple[regex.Pattern | None, list[str]]:
+        """The file's own split pattern, None where the file does more than lower, split and spell bytes."""
+        made = json.loads(self.tokenizer.to_str())
+        special = [t["content"] for t in made["added_tokens"]]
+        kinds = [[x["type"] for x in (made[k] or {}).get(v, [])] for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or made["post_processor"] or made["truncation"]:
+            return None, special
+        split, spell = made["pre_tokenizer"]["pretokenizers"]
+        if not split["invert"] or split["behavior"] != "Removed" or spell["add_prefix_space"] or spell["use_regex"]:
+            return None, special
+        return regex.compile(split["pattern"]["Regex"]), special
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            spelt = piece if piece.isascii() else piece.translate(self.letters)
+            found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.tokenizer.model.tokenize(spelt)]) else b""
+        return found
+
+    def _learn(self, parts: list[str]) -> None:
+        plain = self.split is not None and _PLAIN.fullmatch("".join(parts)) and not self._special("\n".join(parts))
+        odd = []
+        for x in parts:
+            if not plain and (self.split is None or not _PLAIN.fullmatch(x) or self._special(x)):
+                odd.append(x)
+                continue
+            low = x.lower()
+            if low.isalpha():
+                self.ids[x] = self._piece(low)
+            elif (core := low.rstrip(_STOPS)).isalpha():
+                self.ids[x] = self._piece(core) + self._piece(low[len(core) :])
+            else:
+                self.ids[x] = b"".join(map(self._piece, self.split.findall(low)))
+        if odd:
+            found = self.tokenizer.encode_batch(odd, add_special_tokens=False)
+            self.ids.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(odd, found, strict=True))
+
+    def _special(self, x: str) -> bool:
+        return any(t in x for t in self.special)
 
     def __call__(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
         new = [w for w in set(parts) if w not in self.ids]
         if new:
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            self.ids.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+            self._learn(new)
         out = b"".join(map(self.ids.__getitem__, parts))
         if len(self.ids) > CACHED_WORDS:
             self.ids = {"": b""}
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces = {}
         return out
 
 

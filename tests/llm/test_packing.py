@@ -23,6 +23,19 @@ def test_word_cache_equals_tokenizer():
         assert np.frombuffer(encode(x), "<u4").tolist() == tok.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_equal_tokenizer(seed):
+    """Parts of every make: plain, with stops, contractions, special tokens, and characters beyond the plain ones."""
+    rng = random.Random(seed)
+    bits = [*"abcXYZ019'’.,!-—<|>\t\x0b\x0c\x1c\x85\xa0 \n\xad", *map(chr, range(0xA0, 0x260)), *"Σς\u0301\u200b中\U0001f600ﬁ",
+            "'s", "'ll", "'T", "<|endoftext|>", "don't", "I'VE", "<|startoftext|>", "word,", "Word...", "..."]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(40))) for _ in range(3000)]
+    encode = packing.WordEncoder(VOCABULARY)
+    found = Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)
+    for x, e in zip(texts, found, strict=True):
+        assert np.frombuffer(encode(x), "<u4").tolist() == e.ids, ascii(x)
+
+
 def check_layout(rows, capacity):
     by = {}
     for r in rows:
