@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -130,16 +132,18 @@ mit einheitverfahren erberbeeinheitkeitern und lebensversicherungsgesellschaft
 """
 # tokens may stand in quotes or before a stop; those do not belong to the span
 _STRIP = "\"'.,;:!?()[]{}<>"
+_STOPS = ".,;:!?"
+_HEX = re.compile(r"[0-9a-f]+")
 
 
 def _shape(token: str) -> str:
-    x = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", token[:64])))
+    x = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", token)))
     return re.sub(r"(.)\1+", r"\1", x)
 
 
 def _lengths(token: str) -> str:
     """Run lengths of digits with what stands between: 078-05-1120 is 3-2-4."""
-    return re.sub(r"[0-9]+", lambda m: str(min(len(m[0]), 9)), token[:32])
+    return re.sub(r"[0-9]+", lambda m: str(min(len(m[0]), 9)), token)
 
 
 def _long(token: str) -> int:
@@ -147,11 +151,11 @@ def _long(token: str) -> int:
 
 
 def _own(token: str) -> list[str]:
-    t = token.rstrip(".,;:!?")
+    t = token.rstrip(_STOPS)
     letters, digits = sum(c.isalpha() for c in t), sum(c.isdigit() for c in t)
     mix = f"{min(digits, 12)}"
     kind = f"{'A' if t.upper() == t and letters else 'a' if letters else '-'}{'9' if digits else '-'}"
-    hexa = re.fullmatch(r"[0-9a-f]+", t.strip(_STRIP)) is not None and letters > 0
+    hexa = _HEX.fullmatch(t.strip(_STRIP)) is not None and letters > 0
     return [
         "s=" + _shape(t)[:12], "d=" + (_lengths(t) if len(t) <= 20 and not letters else kind), f"l={_long(t)}",
         f"k={kind}{_long(t)}", "p=" + t[:4] if letters >= 4 and t[:4].isalpha() else "p=-", f"h={hexa}{_long(t)}",
@@ -271,77 +275,159 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, tr: np.ndarray) -> np.nd
     return path
 
 
-def _token_lines(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
-    """Words of every line with a word, and their places in the text."""
-    at = 0
-    for line in text.split("\n"):
-        found = [(m[0], (at + m.start(), at + m.end())) for m in _TOKEN.finditer(line)]
-        if found:
-            yield [t for t, _ in found], [p for _, p in found]
-        at += len(line) + 1
+class _Ids(dict):
+    """Row of a word in the tagger's table, made at its first sight."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, token: str) -> int:
+        return self.make(token)
 
 
 class Tagger:
+    """Added spans of texts. Every word of every line takes part; only words that may be other than O are decoded.
+
+    A stretch of labels other than O can win over plain O only if what its words gain by their best
+    other label, each with the best transition into it, and the best way back to O add up to zero or more. Words that lie in
+    no such stretch are O in every best path, so the stretches between them are decoded for themselves, beside O on both
+    sides, with the labels that the whole line would give.
+    """
+
+    #: Sums are compared with this slack, far above rounding: a word in doubt is decoded.
+    SLACK = 1e-3
+    #: A stand-in for the end of a line. No word has a white space.
+    BORDER = "\n"
+    #: Words scored at once.
+    WORDS = 200_000
+
     def __init__(self, model: tuple[dict[str, int], np.ndarray, np.ndarray]):
         self.at, self.w, self.tr = model
+        self.kinds: dict[tuple, np.ndarray] = {}  # bounded by the features of the model
+        self.enter = self.tr[:, 1:].max(0) - self.tr[0, 0]
+        self.leave = float(self.tr[1:, 0].max() - self.tr[0, 0])
         self._fresh()
 
     def _fresh(self) -> None:
-        self.ids: dict[str, int] = {}
+        self.ids = _Ids(self._add)
         self.parts = np.zeros((1024, 3, len(LABELS)))
-        for x in ("<", ">"):
-            self._id(x)
+        border, start, end = self.ids[self.BORDER], self.ids["<"], self.ids[">"]
+        self.parts[border] = self.parts[border, 0], self.parts[start, 1], self.parts[end, 2]
 
-    def _id(self, token: str) -> int:
+    def _add(self, token: str) -> int:
         """Row of ``parts``: what the token adds for itself, for the one after it and for the one before it."""
-        k = self.ids.get(token)
-        if k is None:
-            k = self.ids[token] = len(self.ids)
-            if k == len(self.parts):
-                self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
-            for j, names in enumerate((_own(token), [_left(token)], [_right(token)])):
-                self.parts[k, j] = self.w[[self.at[f] for f in names if f in self.at]].sum(0)
+        k = self.ids[token] = len(self.ids)
+        if k == len(self.parts):
+            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+        kind = self._kind(token)
+        part = self.kinds.get(kind) if kind else None
+        if part is None:
+            part = np.array([self.w[[self.at[f] for f in names if f in self.at]].sum(0) for names in (_own(token), [_left(token)], [_right(token)])])
+            if kind:
+                self.kinds[kind] = part
+        self.parts[k] = part
         return k
 
+    def _kind(self, token: str) -> tuple | None:
+        """What the features of a word of ASCII letters, with stops behind it or not, depend on; None for other tokens."""
+        t = token.rstrip(_STOPS)
+        if not (t.isascii() and t.isalpha()):
+            return None
+        case = 0 if t.islower() else 1 if t.isupper() else 2 if t.istitle() else 3
+        if case == 3:
+            return None
+        start, before = ("p=" + t[:4] if len(t) >= 4 else "p=-"), _left(token)
+        return case, _long(t), not case and _HEX.fullmatch(t) is not None, start if start in self.at else "", before if before in self.at else ""
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Scores of the labels of every word; lines stand between borders, and borders get none that counts."""
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        e = self.parts[ids, 0]
+        e[1:] += self.parts[ids[:-1], 1]
+        e[:-1] += self.parts[ids[1:], 2]
+        return e
+
+    def doubtful(self, e: np.ndarray, border: np.ndarray) -> np.ndarray:
+        """Words that a best path may label other than O."""
+        gain = np.maximum((e[:, 1:] - e[:, :1] + self.enter).max(1), -50.0)  # a higher bound is still a bound
+        gain[border] = -50.0
+        total = np.concatenate([[0.0], np.cumsum(gain)])
+        best = np.maximum.accumulate(total[::-1])[::-1][1:] - np.minimum.accumulate(total)[:-1]
+        open_ = best + self.leave >= -self.SLACK
+        open_[border] = False
+        return open_
+
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-        """Added spans of every text; whole lines of all texts are decoded together, in batches of near length."""
+        """Added spans of every text, by place."""
         found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         if len(self.ids) > 200_000:
             self._fresh()
-        lines = [(len(tokens), k, tokens, spans) for k, x in enumerate(texts) for tokens, spans in _token_lines(x)]
-        lines.sort(key=lambda r: (r[0], r[1]))
-        i = 0
-        while i < len(lines):
-            size = max(1, min(2048, 200_000 // lines[min(len(lines) - 1, i + 2047)][0]))
-            batch = lines[i : i + size]
-            i += size
-            lengths = np.array([r[0] for r in batch])
-            ids = np.zeros((len(batch), int(lengths.max()) + 2), np.int64)
-            for row, (m, _, tokens, _) in enumerate(batch):
-                ids[row, 1 : m + 1] = [self._id(t) for t in tokens]
-                ids[row, m + 1] = self.ids[">"]
-            ids[:, 0] = self.ids["<"]
-            e = self.parts[ids[:, 1:-1], 0] + self.parts[ids[:, :-2], 1] + self.parts[ids[:, 2:], 2]
-            paths = viterbi(e, lengths, self.tr)
-            for row in np.flatnonzero(paths.any(1)):
-                _, k, tokens, spans = batch[row]
-                open_ = ""
-                for step in range(lengths[row]):
-                    label = LABELS[paths[row, step]]
-                    if label == "O":
-                        open_ = ""
-                        continue
-                    token, (a, b) = tokens[step], spans[step]
-                    if label[2:] != "tel":
-                        a += len(token) - len(token.lstrip(_STRIP))
-                    b -= len(token) - len(token.rstrip(_STRIP))
-                    if label[0] == "I" and open_ == label[2:]:
-                        found[k][-1] = (label[2:], found[k][-1][1], b)
-                    elif a < b:
-                        found[k].append((label[2:], a, b))
-                        open_ = label[2:]
+        words: list[str] = [self.BORDER]
+        lines: list[tuple[int, int, int, str]] = []  # first word, text, place, line
+        for k, text in enumerate(texts):
+            at = 0
+            for line in text.split("\n"):
+                here = line.split()
+                if here:
+                    lines.append((len(words), k, at, line))
+                    words += here
+                    words.append(self.BORDER)
+                at += len(line) + 1
+                if len(words) > self.WORDS:
+                    self._decode(words, lines, found)
+                    words, lines = [self.BORDER], []
+        self._decode(words, lines, found)
         return found
 
+    def _decode(self, words: list[str], lines: list[tuple[int, int, int, str]], found: list[list[tuple[str, int, int]]]) -> None:
+        e = self.emissions(words)
+        firsts = np.array([r[0] for r in lines], np.int64)
+        border = np.append(firsts - 1, len(words) - 1)
+        open_ = np.concatenate([[0], self.doubtful(e, border).astype(np.int8), [0]])
+        starts, ends = np.flatnonzero(np.diff(open_) == 1), np.flatnonzero(np.diff(open_) == -1)
+        by_length = np.argsort(ends - starts, kind="stable")
+        hits, i = [], 0
+        while i < len(by_length):
+            size = max(1, min(2048, self.WORDS // int((ends - starts)[by_length[min(len(by_length) - 1, i + 2047)]])))
+            some = by_length[i : i + size]
+            i += size
+            lengths = (ends - starts)[some]
+            steps = np.arange(int(lengths.max()))
+            paths = viterbi(e[np.minimum(starts[some][:, None] + steps, len(e) - 1)], lengths, self.tr)
+            hits += [(int(starts[some[r]]), paths[r, : lengths[r]]) for r in np.flatnonzero(paths.any(1))]
+        places: dict[int, list[tuple[int, int]]] = {}
+        for start, path in sorted(hits, key=lambda h: h[0]):
+            n = int(np.searchsorted(firsts, start, "right")) - 1
+            first, k, at, line = lines[n]
+            if n not in places:
+                places = {n: [(at + m.start(), at + m.end()) for m in _TOKEN.finditer(line)]}
+            open_kind = ""
+            for step, y in enumerate(path, start - first):
+                label = LABELS[y]
+                if label == "O":
+                    open_kind = ""
+                    continue
+                token, (a, b) = words[first + step], places[n][step]
+                if label[2:] != "tel":
+                    a += len(token) - len(token.lstrip(_STRIP))
+                b -= len(token) - len(token.rstrip(_STRIP))
+                if label[0] == "I" and open_kind == label[2:]:
+                    found[k][-1] = (label[2:], found[k][-1][1], b)
+                elif a < b:
+                    found[k].append((label[2:], a, b))
+                    open_kind = label[2:]
+
+
+def apart(spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that meet none of ``taken``."""
+    if not taken or not spans:
+        return spans
+    order = sorted((a, b) for _, a, b in taken)
+    starts = [a for a, _ in order]
+    ends = list(itertools.accumulate((b for _, b in order), max))  # furthest end of the spans that start so far
+    return [s for s in spans if not (i := bisect.bisect_left(starts, s[2])) or ends[i - 1] <= s[1]]
+
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
@@ -368,7 +454,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 out: list[list] = [[] for _ in range(7)]
                 for x, more in zip(texts, tagger.spans(texts), strict=True):
                     base = base_spans(x)
-                    more = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
+                    more = apart(more, base)
                     for c, k in zip(out, BASE, strict=False):
                         c.append(sum(s[0] == k for s in base))
                     text_base = _joined(base)

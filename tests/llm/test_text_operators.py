@@ -266,6 +266,57 @@ def test_tagger_reads_all_words():
     assert [(k, long[a:b]) for k, a, b in tagger.spans([long])[0]] == [("secret", "password=openthedoor")]
 
 
+def lines_decoded_whole(tagger, text):
+    """Labels of every word of every line, each line decoded from end to end with features made afresh."""
+    out = []
+    for line in text.split("\n"):
+        tokens = line.split()
+        if tokens:
+            e = np.array([tagger.w[[tagger.at[f] for f in pii.features(tokens, i) if f in tagger.at]].sum(0) for i in range(len(tokens))])
+            out.append([pii.LABELS[y] for y in pii.viterbi(e[None], np.array([len(tokens)]), tagger.tr)[0]])
+    return out
+
+
+def test_doubtful_words_are_enough():
+    """Decoding only the words in doubt gives the labels of whole lines, with the trained model and with random ones."""
+    rng = np.random.default_rng(7)
+    at, w, tr = pii.train()
+    words = [*(x for line in pii._labelled() for x in line[0]), "Abc", "ABCD,", "deadbeef.", "add", "A", "x=1", "über", "Straße.", "ab-cd", "iPhone", "<", ">", "...", "a" * 400 + "1"]
+    for trial in range(12):
+        models = (at, w, tr) if trial % 2 else (at, w + rng.normal(size=w.shape) * 0.7, np.where(tr <= -1e3, tr, tr + rng.normal(size=tr.shape)))
+        tagger = pii.Tagger(models)
+        text = "\n".join(" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(60))
+        whole = lines_decoded_whole(tagger, text)
+        flat = [pii.Tagger.BORDER] + [x for line in text.split("\n") if line.split() for x in [*line.split(), pii.Tagger.BORDER]]
+        border = np.array([i for i, x in enumerate(flat) if x == pii.Tagger.BORDER])
+        open_ = np.delete(tagger.doubtful(tagger.emissions(flat), border), border)
+        labels = np.array([y for line in whole for y in line])
+        assert len(labels) == len(open_) and (labels[~open_] == "O").all()
+        starts = sum(y[0] == "B" for y in labels)
+        assert starts and len(tagger.spans([text])[0]) <= starts
+        if trial % 2:
+            assert open_.mean() < 0.9
+        # spans of all lines at once are those of every line for itself
+        at_, alone = 0, []
+        for line in text.split("\n"):
+            alone += [(k, a + at_, b + at_) for k, a, b in tagger.spans([line])[0]]
+            at_ += len(line) + 1
+        assert tagger.spans(["", text, text])[1:] == [alone, alone]
+        decoded = []
+        for line, path in zip([x for x in text.split("\n") if x.split()], whole, strict=True):
+            decoded.append((line, path))
+        covered = sum(len(b.split()) for b in (text[a:b] for _, a, b in alone))
+        assert covered <= sum(y != "O" for _, path in decoded for y in path)
+
+
+def test_spans_apart():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        make = lambda n: [("x", int(a), int(a) + int(m)) for a, m in zip(rng.integers(0, 60, n), rng.integers(1, 9, n), strict=True)]
+        spans, taken = make(8), make(int(rng.integers(0, 5)))
+        assert pii.apart(spans, taken) == [s for s in spans if not any(s[1] < b and a < s[2] for _, a, b in taken)]
+
+
 def test_viterbi_equals_brute_force():
     from itertools import product
 
