@@ -134,6 +134,7 @@ mit einheitverfahren erberbeeinheitkeitern und lebensversicherungsgesellschaft
 _STRIP = "\"'.,;:!?()[]{}<>"
 _STOPS = ".,;:!?"
 _HEX = re.compile(r"[0-9a-f]+")
+_SIGN = {ord(c): "9" if c.isdigit() else "A" if c.isupper() else "a" for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
 
 
 def _shape(token: str) -> str:
@@ -164,7 +165,7 @@ def _own(token: str) -> list[str]:
 
 
 def _left(before: str) -> str:
-    return "b=" + (before.lower() if len(before) <= 8 and not _DIGIT.search(before) else _lengths(before))
+    return "b=" + (_lengths(before) if _DIGIT.search(before) else before.lower() if len(before) <= 8 else before)
 
 
 def _right(after: str) -> str:
@@ -304,7 +305,7 @@ class Tagger:
 
     def __init__(self, model: tuple[dict[str, int], np.ndarray, np.ndarray]):
         self.at, self.w, self.tr = model
-        self.kinds: dict[tuple, np.ndarray] = {}  # bounded by the features of the model
+        self.kinds: dict[tuple, np.ndarray] = {}
         self.enter = self.tr[:, 1:].max(0) - self.tr[0, 0]
         self.leave = float(self.tr[1:, 0].max() - self.tr[0, 0])
         self._fresh()
@@ -320,26 +321,18 @@ class Tagger:
         k = self.ids[token] = len(self.ids)
         if k == len(self.parts):
             self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
-        kind = self._kind(token)
-        part = self.kinds.get(kind) if kind else None
+        t = token.rstrip(_STOPS)
+        start = "p=" + t[:4] if len(t) >= 4 and t[:4].isalpha() else "p=-"
+        names = start, _left(token), _right(token)
+        # the other features of a word see no more of its letters and digits than their case and whether they could be hexadecimal
+        kind = token.translate(_SIGN) if token.isascii() else token, _HEX.fullmatch(t.strip(_STRIP)) is not None, *(x if x in self.at else "" for x in names)
+        part = self.kinds.get(kind)
         if part is None:
             part = np.array([self.w[[self.at[f] for f in names if f in self.at]].sum(0) for names in (_own(token), [_left(token)], [_right(token)])])
-            if kind:
-                self.kinds[kind] = part
+            self.kinds[kind] = part
         self.parts[k] = part
         return k
 
-    def _kind(self, token: str) -> tuple | None:
-        """What the features of a word of ASCII letters, with stops behind it or not, depend on; None for other tokens."""
-        t = token.rstrip(_STOPS)
-        if not (t.isascii() and t.isalpha()):
-            return None
-        case = 0 if t.islower() else 1 if t.isupper() else 2 if t.istitle() else 3
-        if case == 3:
-            return None
-        start, before = ("p=" + t[:4] if len(t) >= 4 else "p=-"), _left(token)
-        return case, _long(t), not case and _HEX.fullmatch(t) is not None, start if start in self.at else "", before if before in self.at else ""
-
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of the labels of every word; lines stand between borders, and borders get none that counts."""
         ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
@@ -363,6 +356,8 @@ class Tagger:
         found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         if len(self.ids) > 200_000:
             self._fresh()
+        if len(self.kinds) > 100_000:
+            self.kinds = {}
         words: list[str] = [self.BORDER]
         lines: list[tuple[int, int, int, str]] = []  # first word, text, place, line
         for k, text in enumerate(texts):
