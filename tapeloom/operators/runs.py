@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.stats import ratio
 from tapeloom.operators.clean import lookup
-from tapeloom.scale import group_limit, per_group, quantiles, row_numbers, with_ranks
+from tapeloom.scale import group_limit, join_keys, per_group, quantiles, ranked_values, row_numbers
 from tapeloom.session import materialize
 
 # Weights and labels of the seed and run rankings (fixed values).
@@ -280,12 +280,26 @@ def pareto_front(df: DataFrame, maximize: Sequence[str], minimize: Sequence[str]
 
 
 def composite_rank(df: DataFrame, weights: Mapping[str, float] = FINAL_WEIGHTS, split: bool = False) -> DataFrame:
-    """Weighted sum of average percent ranks."""
-    total, source = F.lit(0.0), df
+    """Weighted sum of average percent ranks over the whole frame.
+
+    There is no key to spread the rows by, so values are counted and ranked, all columns of a type at once, and the
+    ranks are joined back; a window would hand every row to one task. ``split`` changes nothing any more.
+    """
+    types = {c: df.schema[c].dataType for c in weights}
+    ranks = {}
+    for kind in dict.fromkeys(types.values()):
+        some = [c for c in weights if types[c] == kind]
+        names = {c: str(i) for i, c in enumerate(some)}
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(names[c]).alias("_c"), F.col(c).alias("_v")) for c in some])).alias("_r")).select("_r.*")
+        found = ranked_values(long, ["_c"], "_v")
+        pct = (F.col("below") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total")
+        found = materialize(found.select("_c", "_v", pct.alias("_pct")), "ranks")
+        ranks |= {c: found.where(F.col("_c") == names[c]).select(F.col("_v").alias(c), "_pct") for c in some}
+    total, columns = F.lit(0.0), df.columns
     for i, (c, w) in enumerate(weights.items()):
-        df = with_ranks(df, [], c, pct=f"_pct{i}", split=split, source=source)
+        df = join_keys(df, ranks[c].withColumnRenamed("_pct", f"_pct{i}"), [], "left", equal=[c])
         total = total + F.col(f"_pct{i}") * w
-    return df.withColumn("final_score", total).drop(*[f"_pct{i}" for i in range(len(weights))])
+    return df.select(*columns, total.alias("final_score"))
 
 
 def dense_rank_score(runs: DataFrame, n: int, weights: Mapping[str, float] = RANK_WEIGHTS, tie: str = "Step") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from tapeloom import scale
+from tapeloom.operators import runs
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,24 @@ def test_largest_group(frame):
     pdf, df = frame
     assert scale.largest_group(df, ["g"]) == pdf["g"].value_counts().max()
     assert scale.largest_group(df) == len(pdf)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_table_ranks_leave_no_row_window(spark):
+    """Without a key a plain window would take the whole table into one task."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": np.arange(400), "a": rng.integers(0, 30, 400) / 7, "b": rng.normal(size=400), "c": rng.integers(0, 9, 400)})
+    df = spark.createDataFrame([(int(r.id), float(r.a), None if r.id == 5 else float(r.b), int(r.c)) for r in pdf.itertuples()], "id long, a double, b double, c long")
+    pdf.loc[5, "b"] = np.nan
+    out = runs.composite_rank(df, {"a": 0.5, "b": -0.25, "c": 1.0})
+    assert "Window" not in plan_of(out) and out.columns == [*df.columns, "final_score"]
+    got = out.toPandas().set_index("id").sort_index()["final_score"].astype(float)
+    want = pdf["a"].rank(pct=True) * 0.5 + pdf["b"].rank(pct=True) * -0.25 + pdf["c"].rank(pct=True)
+    np.testing.assert_allclose(got, want)
+    for ranked in (scale.with_ranks(df, [], "a", avg="r"), scale.row_numbers(df, [], "a", "id", "r")):
+        assert "rank(a" not in plan_of(ranked) and "_b" in plan_of(ranked)
+    no = scale.row_numbers(df, [], "a", "id", "r").toPandas().set_index("id").sort_index()["r"]
+    assert (no.to_numpy() == pdf.sort_values(["a", "id"]).assign(r=range(1, 401)).sort_values("id")["r"].to_numpy()).all()
