@@ -24,6 +24,25 @@ def test_prediction_files_keep_their_names(spark, tmp_path):
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_prediction_files_are_written_without_a_sort(spark, tmp_path):
+    """A sort by file holds whole runs in one task; its memory grew with the scores."""
+    scores = spark.range(200_000).selectExpr("id AS datetime", "id % 7 AS instrument", "id / 3.0D AS score", "id % 2 AS seed", "1L AS step", "'x' AS run")
+    bus = spark.sparkContext._jsc.sc().statusStore()
+    before = {s.stageId() for s in stages(bus)}
+    sinks.write_prediction_files(scores, str(tmp_path / "p"), "a_predictions", ["run"])
+    seen = [s.peakExecutionMemory() for s in stages(bus) if s.stageId() not in before]
+    assert seen and max(seen) < 1_000_000
+    assert spark.conf.get(sinks.OPEN_FILES_KEY) == "0"
+    assert sorted(f for f in os.listdir(tmp_path / "p" / "run=x") if f.endswith(".csv")) == ["a_predictions_0_1.csv", "a_predictions_1_1.csv"]
+    got = readers.read_predictions(spark, str(tmp_path / "p"))
+    assert got.count() == 200_000 and got.select("datetime").distinct().count() == 200_000
+
+
+def stages(store):
+    found = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
 SCHEMA = "inst string, datetime timestamp, open double, high double, low double, close double, volume double, amount double"
 
 
