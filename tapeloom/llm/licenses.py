@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import whole
+from tapeloom.llm.common import sized, whole
 from tapeloom.session import materialize
 
 LEAST = 0.75
@@ -74,6 +74,27 @@ def units(text: Column) -> Column:
     return F.concat(F.transform(lines, piece("line")), several, F.coalesce(all_, none))
 
 
+def near_texts(own: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """The rows of ``own`` (doc_id, _row, text) that can hold a match, written.
+
+    Any unit or passage that reaches ``least`` with a template has a share of least / (2 - least) of its distinct
+    bigrams, and all of them are neighbours in the whole text. So one pass looks up the texts' bigrams: per text and
+    template hits with repeats are counted, and the template's bigrams, in 64 slots, marked as seen. Both only
+    overcount, and both combine map-side: a row per text and template is shuffled, never a hit.
+    """
+    share = F.col("m") * F.lit(least / (2 - least)) - 1e-6
+    index = marks.select("_t", "m", F.posexplode("grams").alias("_i", "_g")).withColumn("_g", F.split("_g", " "))
+    index = F.broadcast(index.select("_t", "m", F.expr("shiftleft(1L, _i % 64)").alias("_bit"), F.xxhash64(F.get("_g", F.lit(0)), F.get("_g", F.lit(1))).alias("h")))
+    pairs = own.select("_row", words(F.col("text")).alias("_w"))
+    pairs = pairs.withColumn("_next", F.slice("_w", F.lit(2), F.lit(1 << 30)))
+    # the last word meets a null; outer, so that no filter evaluates the words once more
+    pairs = pairs.select("_row", F.explode_outer(F.zip_with("_w", "_next", lambda a, b: F.xxhash64(a, b))).alias("h"))
+    seen = pairs.join(index, "h").groupBy("_row", "_t", "m").agg(F.count(F.lit(1)).alias("_hits"), F.bit_or("_bit").alias("_bits"))
+    seen = seen.where((F.col("_hits") >= share) & (F.bit_count("_bits") * F.ceil(F.col("m") / 64) >= share))
+    ids = materialize(seen.select("_row").distinct(), "license-near")
+    return materialize(own.join(sized(ids, ids.count()), "_row", "left_semi"), "license-near-texts")
+
+
 def passages(rows: DataFrame, marks: DataFrame, found: DataFrame, least: float) -> DataFrame:
     """Runs of words inside a text that reach ``least`` with a template: _row, place (first word, from 0), license, n_bigrams, common, dice.
 
@@ -144,6 +165,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     name. Null and empty texts, units of one word and documents without a match give no rows; rows that
     repeat give their matches again. Templates are a small table, checked to be under a thousand rows.
 
+    Texts that hold too few bigrams of every template are left out first, see ``near_texts``; only the others are cut into units.
     A unit with n bigrams can only reach ``least`` with a template of n * least / (2 - least) to its inverse;
     units outside the range of all templates are dropped before their bigrams are made into rows, and
     each template outside it is left out of the match. The bigrams then meet an index of the templates' bigrams
@@ -157,8 +179,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     marks = with_bigrams(table, F.col("template")).withColumn("m", F.size("grams")).where("m > 0")
     span = marks.agg(F.struct(F.min("m").alias("lo"), F.max("m").alias("hi")).alias("s")).scalar()
     index = marks.select("license", "m", F.explode_outer("grams").alias("gram"))
-    marks = materialize(marks.withColumn("long", F.size(words(F.col("template"))) - 1).drop("template"), "license-templates")
+    marks = materialize(marks.withColumn("long", F.size(words(F.col("template"))) - 1).withColumn("_t", F.monotonically_increasing_id()).drop("template"), "license-templates")
     own = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), whole(text).alias("text")), "license-rows")
+    own = near_texts(own, marks, least)
     rows = own.select("doc_id", "_row", F.explode_outer(units(F.col("text"))).alias("_u"))
     rows = rows.select("doc_id", "_row", "_u.unit", "_u.place", "_u.body")
     rows = with_bigrams(rows, F.col("body")).withColumn("n_bigrams", F.size("grams"))

@@ -271,3 +271,20 @@ def test_license_in_a_very_long_text(spark):
     got = [(r["doc_id"], r["unit"], r["license"]) for r in licenses.scan(docs).collect()]
     assert (1, "passage", "Apache-2.0-line") in got and all(d == 1 for d, _, _ in got)
     assert time.time() - t0 < 240
+
+
+def test_license_units_of_near_texts_only(spark):
+    """Only texts with enough bigrams of a template are cut into units; a line that just reaches the least likeness is found among them."""
+    from pathlib import Path
+
+    from tapeloom.session import shared_dir
+
+    templates = spark.createDataFrame([("five", "one two three four five six"), ("long", " ".join(f"t{i}" for i in range(201)))], "license string, template string")
+    rows = [(1, "two three four five"), (2, "two three four"), (3, "x two three\ny three four\nz four five"), (None, "other words"), (5, None), (6, "one"),
+            (7, " ".join(f"t{i}" for i in range(121))), (8, " ".join(f"t{i}" for i in range(120))), (9, "t0 t1 " * 300), (9, "a\nTwo, three\tFOUR-five")]
+    written = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("license-near-texts-*"))
+    before = written()
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect()
+    assert sorted((r["doc_id"], r["unit"], r["place"], r["license"], r["dice"]) for r in got) == [(1, "line", 0, "five", 0.75), (7, "line", 0, "long", 0.75), (9, "line", 1, "five", 0.75)]
+    near = spark.read.parquet(*map(str, written() - before))
+    assert sorted(r["doc_id"] for r in near.collect()) == [1, 3, 7, 9]
