@@ -13,6 +13,8 @@ SAMPLES = 64
 _TOGETHER = 8
 #: Bits of each uniform number, and of a sample.
 _BITS, _LOW = 12, 20
+#: In keys a null doc_id is this number, and its row is less by NO_ID, so below zero.
+_LAST, NO_ID = (1 << 63) - 1, 1 << 62
 
 
 def log_table(spark: SparkSession) -> Column:
@@ -33,8 +35,8 @@ def weighted_terms(df: DataFrame, text: Column) -> DataFrame:
     return df.drop("_w", "_at")
 
 
-def signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and ``sig`` (array of SAMPLES numbers) from rows with ``keys`` and ``terms``.
+def signatures(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``keys`` and ``sig`` (array of SAMPLES numbers) from rows with ``keys`` and ``terms``; ``by``: those of the keys that rows are dealt by.
 
     For sample j a term of weight w draws r and c from Gamma(2, 1) (minus the log of a product of two
     uniform numbers) and b from [0, 1), all from a hash of term and j; t = floor(ln w / r + b), and the term with the least ln c - r (t - b) - r wins. The sample is
@@ -60,7 +62,7 @@ def signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     least = flat.groupBy(*keys, "_j").agg(*[F.min(sample(F.col("_j") + k)).alias(f"_s{k}") for k in range(_TOGETHER)])
     one = lambda c: F.coalesce(F.col(c), F.lit(-1).cast("long")).bitwiseAND(F.lit((1 << _LOW) - 1)).cast("int")
-    least = least.select(*keys, "_j", *[one(f"_s{k}").alias(f"_s{k}") for k in range(_TOGETHER)]).repartition(keys[0])
+    least = least.select(*keys, "_j", *[one(f"_s{k}").alias(f"_s{k}") for k in range(_TOGETHER)]).repartition(*by)
     whole_sig = least.groupBy(*keys).agg(*[F.max(F.when(F.col("_j") == j, F.col(f"_s{k}"))).alias(f"_s{j + k}") for j in starts for k in range(_TOGETHER)])
     return whole_sig.select(*keys, F.array(*[F.col(f"_s{j}") for j in range(SAMPLES)]).alias("sig"))
 
@@ -102,31 +104,36 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     Texts are shuffled once by doc_id; the next document then sends only the characters that its neighbour takes.
     Words are counted inside each row, and samples of a row's words are combined in the task that reads
-    them; only signatures travel after that. The key is a struct, which equals itself with a null inside.
+    them; only signatures travel after that. The key is two plain numbers, never null: a struct is cast where one side has been
+    written, and then the texts are shuffled twice.
     """
     row = F.lit(0).cast("long")
     if docs.groupBy(doc_id).count().where("count > 1").limit(1).count():
         docs, name = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
         doc_id, text, row = "doc_id", "text", F.col(name)
-    key = F.struct(F.col(doc_id).alias("id"), row.alias("row")).alias("key")
-    texts = docs.select(key, whole(text).alias("text"))
-    order = materialize(successors(docs.select(key)), "successors")
+    row = F.when(F.col(doc_id).isNull(), row - F.lit(NO_ID)).otherwise(row)
+    number = lambda c: F.coalesce(c, F.lit(_LAST).cast("long"))
+    texts = docs.select(number(F.col(doc_id).cast("long")).alias("id"), row.alias("row"), whole(text).alias("text"))
+    order = successors(docs.select(F.struct(F.col(doc_id).cast("long").alias("id"), row.alias("row")).alias("key")))
+    order = order.select(number(F.col("key.id")).alias("id"), "key.row", number(F.col("next.id")).alias("next_id"), F.col("next.row").alias("next_row"))
+    order = materialize(order, "successors")
+    key = ["id", "row"]
     half = F.floor(F.length("text") / 2).cast("int")
-    taken = texts.select("key", half.alias("_n")).join(order, "key").select(F.col("next").alias("key"), F.col("key").alias("_owner"), "_n")
-    tail = texts.join(taken, "key").select(F.col("_owner").alias("key"), F.substr("text", F.lit(1), F.col("_n")).alias("_tail"))
+    taken = texts.select(*key, half.alias("_n")).join(order, key).select(F.col("next_id").alias("id"), F.col("next_row").alias("row"), F.col("id").alias("_id"), F.col("row").alias("_row"), "_n")
+    tail = texts.join(taken, key).select(F.col("_id").alias("id"), F.col("_row").alias("row"), F.substr("text", F.lit(1), F.col("_n")).alias("_tail"))
     n = F.length("text")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.col("_tail"))
-    both = texts.join(tail, "key").select("key", n.cast("long").alias("n_chars"), "text", edited.alias("_edited"))
+    both = texts.join(tail, key).select(*key, n.cast("long").alias("n_chars"), "text", edited.alias("_edited"))
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("_edited").alias("body")))
-    own = ["key", "n_chars", "sha"]
-    rows = both.select("key", "n_chars", F.unhex(F.sha2("_edited", 256)).alias("sha"), F.explode_outer(sides).alias("_x"))
+    own = [*key, "n_chars", "sha"]
+    rows = both.select(*key, "n_chars", F.unhex(F.sha2("_edited", 256)).alias("sha"), F.explode_outer(sides).alias("_x"))
     rows = weighted_terms(rows.select(*own, "_x.side", "_x.body"), F.col("body")).drop("body")
-    sig = signatures(rows, [*own, "side"])
+    sig = signatures(rows, [*own, "side"], key)
     pick = lambda k: F.max(F.when(F.col("side") == k, F.col("sig")))
     sig = materialize(sig.groupBy(*own).agg(pick(0).alias("sig"), pick(1).alias("edited_sig")), "signatures")
-    following = order.join(sig.select(F.col("key").alias("next"), F.col("sig").alias("next_sig")), "next").select("key", "next_sig")
-    out = sig.join(following, "key")
+    following = sig.select(F.col("id").alias("next_id"), F.col("row").alias("next_row"), F.col("sig").alias("next_sig"))
+    out = sig.join(order.join(following, ["next_id", "next_row"]).select(*key, "next_sig"), key)
     return out.select(
-        F.col("key.id").alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
+        F.when(F.col("row") >= 0, F.col("id")).alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
         as_text(F.col("sig")).alias("fingerprint"), as_text(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))

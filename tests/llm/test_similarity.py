@@ -288,3 +288,22 @@ def test_license_units_of_near_texts_only(spark):
     assert sorted((r["doc_id"], r["unit"], r["place"], r["license"], r["dice"]) for r in got) == [(1, "line", 0, "five", 0.75), (7, "line", 0, "long", 0.75), (9, "line", 1, "five", 0.75)]
     near = spark.read.parquet(*map(str, written() - before))
     assert sorted(r["doc_id"] for r in near.collect()) == [1, 3, 7, 9]
+
+
+def test_fingerprints_shuffle_texts_once(spark, tmp_path, monkeypatch):
+    """The join with the next document and the one with its characters read one shuffle of the texts."""
+    plans, write = [], fingerprints.materialize
+    monkeypatch.setattr(fingerprints, "materialize", lambda df, label="stage": (plans.append((label, df)), write(df, label))[1])
+    rows = [(i, f"word{i} and word{i % 7}") for i in range(40)] + [(None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fingerprints.compare(spark.read.parquet(f"{tmp_path}/d")).collect()
+        plan = dict(plans)["signatures"]
+        plan.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(got) == 41 and sum(r["doc_id"] is None for r in got) == 1
+    final = plan._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
+    assert "ReusedExchange" in final and "cast(key" not in final
