@@ -1,32 +1,36 @@
 """Building blocks of the exact set-similarity joins: token sets, rarity order, prefixes, candidates, verification.
 
-A set's tokens are hashed five-word shingles in one global order, rare ones first. Two sets with
+A set's tokens are hashed five-word shingles in one global order, common ones last. Two sets with
 Jaccard of at least 3/4 share a token within their first n - ceil(3n/4) + 1 tokens, so
 only these are indexed. All comparisons of sizes are done in whole numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import SPACE, sized
-from tapeloom.session import materialize
+from tapeloom.llm.common import sized
+from tapeloom.session import discard, materialize
 
 SHINGLE = 5
 #: Similarity, as a fraction.
 NUM, DEN = 3, 4
-#: Rarity: tokens seen in more sets than FREQUENT are put last, by magnitude; the RANKED most frequent are
-#: told apart through RARITY_SLOTS hashed slots. The order only steers work: any order gives the same links.
-FREQUENT, RANKED, RARITY_SLOTS = 24, 20_000, 1 << 18
+#: Tokens in more lists than this are common and go last, by magnitude. The order only steers work: any order gives the same links.
+FREQUENT = 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HASH_BITS = 57
 
 
 def words(text: Column) -> Column:
-    """Words with A-Z lowered. Text of ASCII only takes the faster ``lower``, which is the same there."""
+    """Words with A-Z lowered. Text of ASCII only takes the faster ``lower``, which is the same there; white space becomes spaces, as a split at one character needs no pattern."""
     plain = F.length(text) == F.octet_length(text)
-    return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), SPACE), "")
+    other = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in "\t\n\v\f\r"])
+    spaced = F.when(other, F.translate(text, "\t\n\v\f\r", " " * 5)).otherwise(text)
+    return F.array_remove(F.split(F.when(plain, F.lower(spaced)).otherwise(F.translate(spaced, UPPER, LOWER)), " "), "")
 
 
 def with_hashes(df: DataFrame, text: Column) -> DataFrame:
@@ -52,33 +56,50 @@ def prefix_size(n: Column) -> Column:
     return n - F.floor((n * NUM + (DEN - 1)) / DEN).cast("int") + 1
 
 
-#: Prefixes of a quarter lie in the lowest 3/10 of the hash range; frequencies are counted there.
-LOW = int((1 << _HASH_BITS) * 0.3)
-
+def prefix(tokens: Column, n: Column) -> Column:
+    return F.slice(tokens, F.lit(1), prefix_size(n))
 
-def low_tokens(sets: DataFrame) -> DataFrame:
-    """(t, c): the low tokens of ``hashes``, once each."""
-    tokens = sets.select(F.explode_outer(F.filter("hashes", lambda h: h < LOW)).alias("t"), F.lit(1).cast("long").alias("c"))
-    return tokens.where(F.col("t").isNotNull())
 
+def postings(heads: DataFrame, tokens_of: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """(id, n, pos, token), written: the prefix tokens that more than one of ``heads`` has, in one rarity order.
 
-def rarity(tokens: DataFrame) -> DataFrame:
-    """Slot table of token frequency, as one written row with one array (magnitude of the count, 0 if rare).
-
-    Counts of all low tokens (t, c) are exact and combine map-side; what comes back is bounded by RARITY_SLOTS.
+    ``heads``, written: id, n, prefix in the order of the hashes. ``tokens_of(ids, count)``: id and all tokens of those sets.
+    All prefix tokens are counted. Sets with a common one are read again and all of their tokens counted, as others move up; then
+    common tokens go last, by magnitude, in every set whose prefix holds one. So a list is long only where its sets have too few rare tokens.
     """
-    often = tokens.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "t").limit(RANKED)
-    slots = often.groupBy(F.col("t").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("id")).agg(F.max(F.least(F.floor(F.log2("c")), F.lit(31))).cast("int").alias("m"))
-    slots = materialize(slots, "rarity")
-    every = tokens.sparkSession.range(RARITY_SLOTS).join(F.broadcast(slots), "id", "left").select("id", F.coalesce("m", F.lit(0)).alias("m"))
-    return materialize(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("a")), "slots")
-
-
-def ordered(sets: DataFrame, table: Column) -> DataFrame:
-    """Replaces ``hashes`` by ``tokens`` in rarity order (sorted numbers) and ``n``, their count."""
-    df = sets.withColumn("_table", table).withColumn("n", F.size("hashes"))
-    key = F.transform("hashes", lambda h: F.shiftleft(F.get(F.col("_table"), h.bitwiseAND(F.lit(RARITY_SLOTS - 1)).cast("int")).cast("bigint"), _HASH_BITS).bitwiseOR(h))
-    return df.withColumn("tokens", F.sort_array(key)).drop("_table", "hashes")
+    tokens = heads.select("id", F.explode("prefix").alias("token"))
+    number = F.count(F.lit(1)).alias("c")
+    often = materialize(tokens.groupBy("token").agg(number).where(F.col("c") > FREQUENT), "often")
+    done, count = [often], often.count()
+    if count:
+        hit, size = _ids(tokens.join(sized(often, count), "token", "left_semi"))
+        full = materialize(tokens_of(hit, size).select("id", "tokens").distinct().withColumn("key", F.monotonically_increasing_id()), "full-sets")
+        among = full.select(F.explode("tokens").alias("token")).groupBy("token").agg(number).where(F.col("c") > FREQUENT)
+        common = often.unionByName(among).groupBy("token").agg(F.floor(F.log2(F.max("c"))).cast("int").alias("m"))
+        common = materialize(common, "common")
+        count = common.count()
+        done += [hit, full, common]
+        late, more = _ids(tokens.join(sized(common, count), "token", "left_semi").join(sized(hit, size), "id", "left_anti"))
+        if more:
+            rest = tokens_of(late, more).select("id", "tokens").distinct().withColumn("key", -1 - F.monotonically_increasing_id())
+            rest = materialize(rest, "full-sets")
+            done.append(rest)
+            full = full.unionByName(rest)
+        each = full.select("key", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(sized(common, count), "token", "left")
+        sets = each.groupBy("key", "id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "token"))).alias("all"))
+        done.append(late)
+        moved = hit.unionByName(late)
+        heads = heads.join(sized(moved, size + more), "id", "left_anti").unionByName(sets.select("id", "n", prefix(F.col("all.token"), F.col("n")).alias("prefix")))
+    posts = heads.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    posts = posts.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("_k > 1").drop("_k")
+    posts = materialize(posts, "postings")
+    discard(*done)
+    return posts
+
+
+def _ids(rows: DataFrame) -> tuple[DataFrame, int]:
+    ids = materialize(rows.select("id").distinct(), "ids")
+    return ids, ids.count()
 
 
 def overlap_needed(a: Column, b: Column) -> Column:
@@ -115,9 +136,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def members(pairs: DataFrame) -> tuple[DataFrame, int]:
     """Distinct ids of written ``pairs`` and how many."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = materialize(ids, "ids")
-    return ids, ids.count()
+    return _ids(pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
 
 def only(df: DataFrame, ids: DataFrame, count: int) -> DataFrame:

@@ -44,37 +44,18 @@ class Shingler:
         return np.unique((out >> np.uint64(7)).astype(np.int64))
 
 
-def ordered(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Tokens in rarity order."""
-    return np.sort((table[hashes & (len(table) - 1)].astype(np.int64) << 57) | hashes)
-
-
-def low_tokens(docs: DataFrame) -> DataFrame:
-    """(t, c) of all documents, ``docs`` with one column of text; equal tokens of a batch are added up at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler()
-        for batch in batches:
-            found = [h[: np.searchsorted(h, setjoin.LOW)] for h in map(make, batch.column(0).to_pylist())]
-            t, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c.astype(np.int64))], names=["t", "c"])
-
-    return docs.mapInArrow(run, "t long, c long")
-
-
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
 
 
-def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, n, s1, s2 (name of the set), p1, p2 (name of its prefix), prefix; ``docs``: doc_id, text."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def prefixes(docs: DataFrame) -> DataFrame:
+    """doc_id, n, s1, s2 (name of the set), p1, p2 (name of its prefix), prefix in the order of the hashes; ``docs``: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler()
         for batch in batches:
-            sets = [ordered(make(x), shared.value) for x in batch.column(1).to_pylist()]
+            sets = [make(x) for x in batch.column(1).to_pylist()]
             heads = [s[: len(s) - -(-setjoin.NUM * len(s) // setjoin.DEN) + 1] for s in sets]
             names = [np.array([xxhash.xxh64_intdigest(x.tobytes(), seed) for x in part], np.uint64).view(np.int64) for part in (sets, heads) for seed in (1, 2)]
             yield pa.RecordBatch.from_arrays(

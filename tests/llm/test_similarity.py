@@ -307,3 +307,35 @@ def test_fingerprints_shuffle_texts_once(spark, tmp_path, monkeypatch):
     assert len(got) == 41 and sum(r["doc_id"] is None for r in got) == 1
     final = plan._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
     assert "ReusedExchange" in final and "cast(key" not in final
+
+
+@pytest.mark.parametrize("run", [line_dedup.flags, ngram_join.classes])
+def test_common_passage_makes_no_long_list(spark, monkeypatch, run):
+    """A passage that all texts share: its tokens go last wherever their hashes lie, and what was written on the way is gone."""
+    from pathlib import Path
+
+    from tapeloom.llm import setjoin
+    from tapeloom.session import shared_dir
+
+    lists, write = [], setjoin.materialize
+
+    def keep(df, label="stage"):
+        out = write(df, label)
+        if label == "postings":
+            lists.extend(r["count"] for r in out.groupBy("token").count().collect())
+        return out
+
+    for module in (setjoin, line_dedup, ngram_join):
+        monkeypatch.setattr(module, "materialize", keep)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"o{k}x{i}" for i in range(40)) + " " + passage for k in range(300)]
+    rows = [*enumerate(texts), (300, texts[7] + " end"), (301, texts[7]), (302, None), (None, texts[9] + " end")]
+    written = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("p*-*"))  # noqa: E731  pairs, postings
+    before = written()
+    got = run(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    if run is line_dedup.flags:
+        assert {r["doc_id"] for r in got if r["removed"]} == {300, 301, None} and len(got) == 303
+    else:
+        assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] != r["component_id"]} == {(300, 7), (301, 7), (None, 9)}
+    assert lists and max(lists) <= 2 * setjoin.FREQUENT
+    assert not [p for p in written() - before if p.name.startswith("pairs" if run is ngram_join.classes else ("pairs", "postings"))]
