@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     missing = src.where(F.col("doc_id").isNull()).limit(1).count() > 0
     if missing:  # the numbers are written, as several readers must see them alike
         src = materialize(src.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.monotonically_increasing_id())), "numbered")
-    rows = materialize(shingles.prefixes(src), "sets")
+    table = np.array(setjoin.rarity(shingles.low_tokens(src.select("text"))).first()["a"], np.int32)
+    rows = materialize(shingles.prefixes(src, table), "sets")
 
     # a set is named by the smallest doc_id that has it, a group by the smallest of its sets
     key = F.col("doc_id")
@@ -43,18 +45,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     sets = rows.where("n > 0").groupBy(*same_set).agg(F.min(key).alias("id"))
     sets = materialize(sets.withColumn("group", F.min("id").over(Window.partitionBy(*same_prefix))), "representatives")
 
-    def tokens_of(ids: DataFrame, count: int) -> DataFrame:
-        return shingles.token_sets(setjoin.only(src.select(key.alias("id"), "text"), ids, count))
-
     def verify(pairs: DataFrame) -> DataFrame | None:
         pairs = materialize(pairs, "pairs")
         ids, count = setjoin.members(pairs)
         if not count:
             discard(pairs, ids)
             return None
-        bodies = materialize(tokens_of(ids, count), "bodies")
-        found = materialize(setjoin.verified(pairs, bodies).select("a", "b"), "links")
-        discard(pairs, ids, bodies)
+        texts = setjoin.only(src.select(key.alias("id"), "text"), ids, count)
+        found = materialize(setjoin.verified(pairs, shingles.token_sets(texts)).select("a", "b"), "links")
+        discard(pairs, ids)
         return found
 
     # a set that is not linked to the first one of its group enters the lists by itself
@@ -66,11 +65,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         entries = sets.join(near, ["group", "id"], "left").withColumn("entry", F.when(F.col("_near") | (F.col("id") == F.col("group")), F.col("group")).otherwise(F.col("id")))
     entries = materialize(entries.select("id", "entry", *same_set), "entries")
 
-    heads = rows.select(key.alias("id"), *same_set, "prefix").join(entries.where("id = entry").drop("entry"), ["id", *same_set], "left_semi")
-    heads = materialize(heads.select("id", "n", "prefix"), "heads")
-    posts = setjoin.postings(heads, tokens_of)
-    discard(heads)
+    lists = rows.select(key.alias("id"), *same_set, "prefix").join(entries.where("id = entry").drop("entry"), ["id", *same_set], "left_semi")
+    posts = lists.select("id", "n", F.posexplode_outer("prefix").alias("pos", "token"))
     size = Window.partitionBy("token")
+    posts = materialize(posts.withColumn("_k", F.count(F.lit(1)).over(size)).where("_k > 1").drop("_k"), "postings")
 
     for round_ in range(STAR_ROUNDS + 1):
         at = posts.join(setjoin.components(links), "id", "left").withColumn("root", F.coalesce("root", "id")) if links is not None else posts.withColumn("root", F.col("id"))
@@ -93,6 +91,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         if new is not None:
             links = new if links is None else materialize(links.unionByName(new), "links")
 
+    discard(posts)
     if links is None:
         sets = sets.withColumn("root", F.col("id"))
     else:

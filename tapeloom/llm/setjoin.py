@@ -21,6 +21,8 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Tokens in more lists than this are common and go last, by magnitude. The order only steers work: any order gives the same links.
 FREQUENT = 24
+#: Documents: the RANKED most frequent are told apart through RARITY_SLOTS hashed slots.
+RANKED, RARITY_SLOTS = 20_000, 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HASH_BITS = 57
 
@@ -102,6 +104,22 @@ def _ids(rows: DataFrame) -> tuple[DataFrame, int]:
     return ids, ids.count()
 
 
+#: Prefixes of a quarter lie in the lowest 3/10 of the hash range; frequencies are counted there.
+LOW = int((1 << _HASH_BITS) * 0.3)
+
+
+def rarity(tokens: DataFrame) -> DataFrame:
+    """Slot table of token frequency, as one written row with one array (magnitude of the count, 0 if rare).
+
+    Counts of all low tokens (t, c) are exact and combine map-side; what comes back is bounded by RARITY_SLOTS.
+    """
+    often = tokens.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "t").limit(RANKED)
+    slots = often.groupBy(F.col("t").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("id")).agg(F.max(F.least(F.floor(F.log2("c")), F.lit(31))).cast("int").alias("m"))
+    slots = materialize(slots, "rarity")
+    every = tokens.sparkSession.range(RARITY_SLOTS).join(F.broadcast(slots), "id", "left").select("id", F.coalesce("m", F.lit(0)).alias("m"))
+    return materialize(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("a")), "slots")
+
+
 def overlap_needed(a: Column, b: Column) -> Column:
     """Least common tokens of sets of a and b tokens at the similarity: ceil(3 (a + b) / 7)."""
     s = (a + b).cast("long") * NUM
