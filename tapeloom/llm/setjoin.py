@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ NUM, DEN = 3, 4
 #: Tokens in more lists than this are common and go last, by magnitude. The order only steers work: any order gives the same links.
 FREQUENT = 24
 #: Documents: the RANKED most frequent are told apart through RARITY_SLOTS hashed slots.
-RANKED, RARITY_SLOTS = 20_000, 1 << 18
+RANKED, RARITY_SLOTS = 200_000, 1 << 22
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HASH_BITS = 57
 
@@ -74,14 +75,14 @@ def postings(heads: DataFrame, tokens_of: Callable[[DataFrame, int], DataFrame])
     often = materialize(tokens.groupBy("token").agg(number).where(F.col("c") > FREQUENT), "often")
     done, count = [often], often.count()
     if count:
-        hit, size = _ids(tokens.join(sized(often, count), "token", "left_semi"))
+        hit, size = distinct_ids(tokens.join(sized(often, count), "token", "left_semi"))
         full = materialize(tokens_of(hit, size).select("id", "tokens").distinct().withColumn("key", F.monotonically_increasing_id()), "full-sets")
         among = full.select(F.explode("tokens").alias("token")).groupBy("token").agg(number).where(F.col("c") > FREQUENT)
         common = often.unionByName(among).groupBy("token").agg(F.floor(F.log2(F.max("c"))).cast("int").alias("m"))
         common = materialize(common, "common")
         count = common.count()
         done += [hit, full, common]
-        late, more = _ids(tokens.join(sized(common, count), "token", "left_semi").join(sized(hit, size), "id", "left_anti"))
+        late, more = distinct_ids(tokens.join(sized(common, count), "token", "left_semi").join(sized(hit, size), "id", "left_anti"))
         if more:
             rest = tokens_of(late, more).select("id", "tokens").distinct().withColumn("key", -1 - F.monotonically_increasing_id())
             rest = materialize(rest, "full-sets")
@@ -99,25 +100,26 @@ def postings(heads: DataFrame, tokens_of: Callable[[DataFrame, int], DataFrame])
     return posts
 
 
-def _ids(rows: DataFrame) -> tuple[DataFrame, int]:
+def distinct_ids(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct ids of ``rows``, written, and how many."""
     ids = materialize(rows.select("id").distinct(), "ids")
     return ids, ids.count()
 
 
-#: Prefixes of a quarter lie in the lowest 3/10 of the hash range; frequencies are counted there.
+#: Prefixes of a quarter lie in the lowest 3/10 of the hash range, unless common tokens are passed over; frequencies are counted there first.
 LOW = int((1 << _HASH_BITS) * 0.3)
 
 
-def rarity(tokens: DataFrame) -> DataFrame:
-    """Slot table of token frequency, as one written row with one array (magnitude of the count, 0 if rare).
+def rarity(tokens: DataFrame) -> np.ndarray:
+    """Slot table of token frequency (magnitude of the count, 0 if rare).
 
-    Counts of all low tokens (t, c) are exact and combine map-side; what comes back is bounded by RARITY_SLOTS.
+    Counts of ``tokens`` (t, c) are exact and combine map-side; what comes back is bounded by RANKED.
     """
     often = tokens.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "t").limit(RANKED)
-    slots = often.groupBy(F.col("t").bitwiseAND(F.lit(RARITY_SLOTS - 1)).alias("id")).agg(F.max(F.least(F.floor(F.log2("c")), F.lit(31))).cast("int").alias("m"))
-    slots = materialize(slots, "rarity")
-    every = tokens.sparkSession.range(RARITY_SLOTS).join(F.broadcast(slots), "id", "left").select("id", F.coalesce("m", F.lit(0)).alias("m"))
-    return materialize(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("a")), "slots")
+    found = materialize(often.select("t", F.least(F.floor(F.log2("c")), F.lit(31)).cast("byte").alias("m")), "rarity").toArrow()
+    table = np.zeros(RARITY_SLOTS, np.int8)
+    np.maximum.at(table, found["t"].to_numpy() & (RARITY_SLOTS - 1), found["m"].to_numpy())
+    return table
 
 
 def overlap_needed(a: Column, b: Column) -> Column:
@@ -154,7 +156,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def members(pairs: DataFrame) -> tuple[DataFrame, int]:
     """Distinct ids of written ``pairs`` and how many."""
-    return _ids(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    return distinct_ids(pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
 
 def only(df: DataFrame, ids: DataFrame, count: int) -> DataFrame:

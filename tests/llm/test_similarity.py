@@ -340,3 +340,40 @@ def test_common_passage_makes_no_long_list(spark, monkeypatch, run):
     if run is line_dedup.flags:  # documents know the frequency of a part of their tokens only
         assert max(lists) <= 2 * setjoin.FREQUENT
     assert not [p for p in written() - before if p.name.startswith(("pairs", "postings"))]
+
+
+def test_join_lists_hold_no_common_passage(spark, monkeypatch):
+    """Tokens of a passage that all texts share go last also where their hashes are high, if their texts run out of rare low ones."""
+    lists, write = [], ngram_join.materialize
+
+    def keep(df, label="stage"):
+        out = write(df, label)
+        if label == "postings":
+            lists.extend(r["count"] for r in out.groupBy("token").count().collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", keep)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"o{k}x{i}" for i in range(40)) + " " + passage for k in range(200)]
+    rows = [*enumerate(texts), (200, texts[7] + " end"), (201, passage), (202, passage + " end")]
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] != r["component_id"]} == {(200, 7), (202, 201)}
+    assert len(got) == 203 and max(lists) <= 24
+
+
+def test_join_long_lists_of_near_copies(spark, monkeypatch):
+    """Copies with few to many changes, some linked to few others: stars of long lists and marks lose no link."""
+    monkeypatch.setattr(ngram_join, "LONG", 3)
+    monkeypatch.setattr(ngram_join, "STARS", 1)
+    rng, rows = random.Random(5), []
+    base = [f"w{i}" for i in range(90)]
+    for i in range(110):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(90)] = f"e{i}x{rng.randrange(9)}"
+        rows.append(" ".join(words))
+    rows = [*enumerate(rows), *((200 + i, " ".join(base[i:] + [f"z{k}" for k in range(i)])) for i in range(0, 60, 3))]
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components(rows)
+    assert len(set(c for _, c in want.values())) > 2
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
